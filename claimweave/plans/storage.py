@@ -1,0 +1,31 @@
+"""Tables written between the steps of a flow."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Only a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="claimweave-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that later steps read several times, and read it back.
+
+    Its lineage is cut, it outlives lost executors, and readers get columnar pruning.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
