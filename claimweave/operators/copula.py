@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import draws
 from claimweave.functions.dates import coerce_date, spark_pattern
 from claimweave.functions.normal import literal_array, normal_cdf, normal_level, normal_quantile
-from claimweave.functions.statistics import correlation
+from claimweave.functions.statistics import correlation, distinct_estimate
 from claimweave.operators import ranks
 from claimweave.operators.parse import normalise_nulls
 from claimweave.operators.profile import DATE_TYPES, is_number
@@ -218,7 +218,7 @@ def _fit_grids(
     stats = wide.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[distinct_estimate(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
         *[F.percentile_approx(c, shares, 10 * ranges).alias(f"b{i}") for i, c in enumerate(columns)],
     ).first()
     many = {c: i for i, c in enumerate(columns) if stats[f"d{i}"] > steps}

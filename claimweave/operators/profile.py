@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.dates import DEFAULT_FORMATS, STRFTIME_TO_SPARK, coerce_date
+from claimweave.functions.statistics import distinct_estimate
 from claimweave.sources.metadata import CATEGORICAL, DATETIME, ID, NUMERICAL, Metadata
 
 DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
@@ -17,7 +18,6 @@ INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint")
 MOST_CODES = 10
 # Share of distinct values from which a sketched count is taken as "all distinct".
 SKETCH_UNIQUE = 0.95
-SKETCH_ERROR = 0.01
 
 
 def non_null_counts(df: DataFrame) -> DataFrame:
@@ -47,14 +47,12 @@ def column_kinds(
     table, or counted exactly by grouping on the values.
     """
     types = dict(df.dtypes)
-    sketch = F.lit(0) if exact else None
+    no_sketch = F.lit(0).cast("bigint")
     stats = df.agg(
         *[
             F.struct(
                 F.count(c).alias("non_null"),
-                (sketch if exact else F.approx_count_distinct(c, SKETCH_ERROR))
-                .cast("bigint")
-                .alias("n_distinct"),
+                (no_sketch if exact else distinct_estimate(F.col(c))).alias("n_distinct"),
                 _parsed_dates(df, c, date_formats).alias("n_dates"),
                 F.lit(types[c]).alias("data_type"),
             ).alias(c)

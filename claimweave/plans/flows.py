@@ -48,6 +48,8 @@ class Sections:
     detail: DataFrame
     control: DataFrame
     files: DataFrame
+    header_fields: list[Field]
+    detail_fields: list[Field]
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,8 @@ def read_positional(
         detail=coerce_dates(detail, date_columns),
         control=part(CONTROL).select(*LINE_KEY, control_line(F.col("value")).alias("CD_Record")),
         files=lines.filter(F.col("line_no") == 1).select("file"),
+        header_fields=header_fields,
+        detail_fields=detail_fields,
     )
 
 
@@ -125,8 +129,6 @@ def output_sections(
     sections: Sections,
     header: DataFrame,
     detail: DataFrame,
-    header_fields: Sequence[Field],
-    detail_fields: Sequence[Field],
     date_columns: Sequence[str] = (),
     amounts: str = ZERO,
     overflow: str = KEEP,
@@ -136,9 +138,9 @@ def output_sections(
     no_rows = trailer_line(*[F.lit(0)] * 4)
     trailers = sections.files.join(page_trailers(detail, ["file"], amounts), "file", "left")
     return join_sections(
-        section_lines(header, "header", render_line(header_fields, (), overflow), out, F.col("line_no")),
+        section_lines(header, "header", render_line(sections.header_fields, (), overflow), out, F.col("line_no")),
         section_lines(
-            detail, "detail", render_line(detail_fields, date_columns, overflow), out, F.col("line_no")
+            detail, "detail", render_line(sections.detail_fields, date_columns, overflow), out, F.col("line_no")
         ),
         section_lines(sections.control, "control", F.col("CD_Record"), out, F.col("line_no")),
         section_lines(trailers, "trailer", F.coalesce("line", no_rows), out, F.lit(0)),
@@ -170,14 +172,13 @@ def synthesize_file(
     sections = read_positional(
         spark, paths, layout_path, date_columns, header_layout_path, control_prefix, detail_exclude
     )
-    header_fields, detail_fields = read_fields(spark, layout_path, header_layout_path)
 
     header_metadata = stored_or_detected(
         sections.header.drop(*LINE_KEY), metadata_base, "header", use_same_metadata_version
     )
     header = synthesize_headers(sections.header, header_metadata, seed)
 
-    masked = sensitive_fields(detail_fields) if mask is True else list(mask or ())
+    masked = sensitive_fields(sections.detail_fields) if mask is True else list(mask or ())
     real = written(mask_columns(sections.detail, masked, LINE_KEY, seed), "detail")
     write_delimited(real.drop(*LINE_KEY), f"{output}/dataframe_output_presdv.csv")
 
@@ -189,9 +190,7 @@ def synthesize_file(
     write_delimited(synthetic.drop(*LINE_KEY), f"{output}/synthetic_data.csv")
 
     text_path = f"{output}/files"
-    pieces = output_sections(
-        sections, header, synthetic, header_fields, detail_fields, date_columns, amounts, overflow
-    )
+    pieces = output_sections(sections, header, synthetic, date_columns, amounts, overflow)
     write_sections(pieces, text_path)
     if not evaluate:
         return FileSynthesis(real, synthetic, metadata, text_path)

@@ -196,7 +196,7 @@ def test_file_flow_keeps_files_apart(spark, folder):
     assert (one[0], one[2], len(one)) == ("PA111111", "CD1", 4)
     assert (two[0], two[6], len(two)) == ("PA222222", "CD2", 8)
     assert only == ["PA333333", "PT000000000000000000000A00000000000G00000000000D"]
-    total = sum(int(x[11]) for x in one[1:2]), sum(int(x[11]) for x in two[1:6])
+    total = [sum(10 * int(x[4:11]) + 1 for x in lines) for lines in (one[1:2], two[1:6])]
     assert one[-1].startswith(f"PT0000000001{total[0]:011d}A")
     assert two[-1].startswith(f"PT0000000005{total[1]:011d}A")
     assert latest_versions_written(spark, folder) == (1, 1)
