@@ -35,7 +35,17 @@ def stack(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> Data
 
 def _source_counts() -> dict[str, Column]:
     flag = F.col(IS_REAL)
-    return {"real": flag.cast("bigint"), "synthetic": (~flag).cast("bigint")}
+    return {"real": F.count_if(flag), "synthetic": F.count_if(~flag)}
+
+
+def _value_counts(both: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value as text, real, synthetic), null being a value."""
+    texts = both.select(IS_REAL, *[F.col(c).cast("string").alias(c) for c in columns])
+    return (
+        texts.unpivot([IS_REAL], list(columns), "column", "value")
+        .groupBy("column", "value")
+        .agg(*[c.alias(n) for n, c in _source_counts().items()])
+    )
 
 
 def _scores(column: Column, metric: str, score: Column) -> list[Column]:
@@ -46,9 +56,8 @@ def ks_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     """1 - the largest distance of the two distribution functions, per numeric column."""
     counts = _source_counts()
     wide = ranks.numbers(both, columns, [IS_REAL])
-    bounds = ranks.sampled_bounds(wide, columns, ranks.range_count(both.sparkSession))
-    counted = ranks.count_values(wide, columns, counts)
-    ranked = ranks.running_counts(counted, list(counts), bounds)
+    counted = ranks.count_values(wide, columns, counts, [IS_REAL])
+    ranked = ranks.running_counts(counted, list(counts))
 
     def share_up_to(name: str) -> Column:
         return F.try_divide(F.col(f"before_{name}") + F.col(name), F.col(f"total_{name}"))
@@ -78,16 +87,7 @@ def _tv_of_counts(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def tv_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     """1 - half the summed differences of the value shares, null being a value."""
-    counts = _source_counts()
-    texts = both.select(
-        *[c.alias(n) for n, c in counts.items()],
-        *[F.col(c).cast("string").alias(c) for c in columns],
-    )
-    counted = (
-        texts.unpivot(list(counts), list(columns), "column", "value")
-        .groupBy("column", "value")
-        .agg(*[F.sum(n).alias(n) for n in counts])
-    )
+    counted = _value_counts(both, columns)
     scored = _tv_of_counts(counted, ["column"])
     return scored.select(*_scores(F.col("column"), TV, F.col("score")))
 
@@ -131,9 +131,8 @@ def contingency_scores(
     Columns in ``numeric`` are cut into equal ranges between the real least and greatest.
     """
     both = _cut_numbers(both, [c for c in numeric if any(c in p for p in pairs)])
-    counts = _source_counts()
     long = both.select(
-        *[c.alias(n) for n, c in counts.items()],
+        IS_REAL,
         F.explode(
             F.array(
                 *[
@@ -147,8 +146,10 @@ def contingency_scores(
                 ]
             )
         ).alias("pair"),
-    ).select(*counts, "pair.*")
-    counted = long.groupBy("first", "second", "a", "b").agg(*[F.sum(n).alias(n) for n in counts])
+    ).select(IS_REAL, "pair.*")
+    counted = long.groupBy("first", "second", "a", "b").agg(
+        *[c.alias(n) for n, c in _source_counts().items()]
+    )
     scored = _tv_of_counts(counted, ["first", "second"])
     return scored.select("first", "second", F.lit(CONTINGENCY).alias("metric"), "score")
 
@@ -195,16 +196,7 @@ def boundary_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def category_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of synthetic rows whose value occurs in the real column; null counts as real."""
-    counts = _source_counts()
-    counted = (
-        both.select(
-            *[c.alias(n) for n, c in counts.items()],
-            *[F.col(c).cast("string").alias(c) for c in columns],
-        )
-        .unpivot(list(counts), list(columns), "column", "value")
-        .groupBy("column", "value")
-        .agg(*[F.sum(n).alias(n) for n in counts])
-    )
+    counted = _value_counts(both, columns)
     known = (F.col("real") > 0) | F.col("value").isNull()
     kept = F.sum(F.when(known, F.col("synthetic")).otherwise(F.lit(0)))
     return counted.groupBy("column").agg(F.try_divide(kept, F.sum("synthetic")).alias("score")).select(

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from claimweave.functions import draws
 from claimweave.functions.dates import coerce_date, spark_pattern
 from claimweave.functions.normal import literal_array, normal_cdf, normal_level, normal_quantile
-from claimweave.functions.statistics import correlation, distinct_estimate
+from claimweave.functions.statistics import correlation
 from claimweave.operators import ranks
 from claimweave.operators.parse import normalise_nulls
 from claimweave.operators.profile import DATE_TYPES, is_number
 from claimweave.sources.metadata import DATETIME, ID, NUMERICAL, Metadata
+from claimweave.sources.storage import written
 
 GRID_STEPS = 1000
 # Categories of one column that the model keeps on the driver; more stay a table.
@@ -78,6 +79,7 @@ class Shares:
     """Marginal of categories, or of few numbers: each value with its count, in order.
 
     ``columns`` are several for a combination kept whole; a value is then a JSON text.
+    Columns of few numbers have them in ``numbers`` instead of ``values``.
     """
 
     name: str
@@ -194,11 +196,11 @@ def fit(
         or (metadata[c]["sdtype"] == DATETIME and types[c] in DATE_TYPES)
     ]
     ids = [c for c in single if metadata[c]["sdtype"] == ID]
-    grids, few = _fit_grids(df, numeric, steps)
-    units = {c: [c] for c in single if c not in grids and c not in ids}
+    numbers = _fit_numbers(df, numeric, steps)
+    units = {c: [c] for c in single if c not in numbers and c not in ids}
     units.update({"+".join(group): group for group in combined})
-    shares = _fit_shares(df, units, few)
-    by_first = {m.columns[0]: m for m in [*grids.values(), *shares.values()]}
+    shares = _fit_shares(df, units)
+    by_first = {m.columns[0]: m for m in [*numbers.values(), *shares.values()]}
     by_first.update({c: Identifier(c, types[c]) for c in ids})
     marginals = [by_first[c] for c in wanted if c in by_first]
     modelled = [m for m in marginals if not isinstance(m, Identifier)]
@@ -206,37 +208,43 @@ def fit(
     return CopulaModel(wanted, marginals, correlations(scores, names), text_dates)
 
 
-def _fit_grids(
-    df: DataFrame, columns: Sequence[str], steps: int
-) -> tuple[dict[str, Grid], set[str]]:
-    """Grids of the columns with more distinct values than steps, and the other columns."""
+def _fit_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
+    """Grids of the columns with more distinct values than steps, shares of the others."""
     if not columns:
-        return {}, set()
-    wide = ranks.numbers(df, columns)
-    ranges = ranks.range_count(df.sparkSession)
-    shares = [i / ranges for i in range(1, ranges)]
-    stats = wide.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[distinct_estimate(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, shares, 10 * ranges).alias(f"b{i}") for i, c in enumerate(columns)],
-    ).first()
-    many = {c: i for i, c in enumerate(columns) if stats[f"d{i}"] > steps}
-    if not many:
-        return {}, set(columns)
-    bounds = {c: list(stats[f"b{i}"] or []) for c, i in many.items()}
-    counted = ranks.count_values(wide.select(*many), list(many), {"n": F.lit(1)})
-    ranked = ranks.running_counts(counted, ["n"], bounds)
-    rows = ranks.quantiles_of_ranked(ranked, steps).collect()  # columns x (steps + 1)
+        return {}
     types = dict(df.dtypes)
-    grids = {}
-    for c, i in many.items():
-        mine = sorted((r["idx"], r["quantile"], r["lower"]) for r in rows if r["column"] == c)
-        lower = [x for _, _, x in mine]
-        null_share = 1.0 - stats[f"n{i}"] / stats["n"]
-        unit = value_unit(lower, types[c])
-        grids[c] = Grid(c, types[c], null_share, [q for _, q, _ in mine], unit)
-    return grids, {c for c in columns if c not in many}
+    counted = ranks.count_values(ranks.numbers(df, columns), columns, {"n": F.count(F.lit(1))})
+    stats = {
+        r["column"]: r
+        for r in counted.groupBy("column")
+        .agg(
+            F.count("value").alias("distinct"),
+            F.sum("n").alias("total"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        )
+        .collect()
+    }
+    many = [c for c in columns if c in stats and stats[c]["distinct"] > steps]
+    few = [c for c in columns if c in stats and c not in many]
+    result: dict[str, Marginal] = {}
+    found: dict[str, list] = {c: [] for c in few}
+    if few:  # at most steps + 1 rows per column
+        for r in counted.filter(F.col("column").isin(few)).collect():
+            found[r["column"]].append((r["value"], r["n"]))
+    for c, rows in found.items():
+        rows.sort(key=lambda r: ranks.LOWEST if r[0] is None else r[0])
+        result[c] = Shares(
+            c, [c], [types[c]], [None] * len(rows), [n for _, n in rows], [v for v, _ in rows]
+        )
+    if many:
+        ranked = ranks.running_counts(counted.filter(F.col("column").isin(many)), ["n"])
+        grid = ranks.quantiles_of_ranked(ranked, steps).collect()  # columns x (steps + 1)
+        for c in many:
+            mine = sorted((r["idx"], r["quantile"], r["lower"]) for r in grid if r["column"] == c)
+            null_share = stats[c]["nulls"] / stats[c]["total"]
+            unit = value_unit([low for _, _, low in mine], types[c])
+            result[c] = Grid(c, types[c], null_share, [q for _, q, _ in mine], unit)
+    return result
 
 
 def value_unit(values: Sequence[float], data_type: str) -> float:
@@ -259,17 +267,13 @@ def unit_key(columns: Sequence[str]) -> Column:
     return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
 
 
-def _fit_shares(
-    df: DataFrame, units: dict[str, list[str]], few_numbers: set[str]
-) -> dict[str, Marginal]:
+def _fit_shares(df: DataFrame, units: dict[str, list[str]]) -> dict[str, Marginal]:
     if not units:
         return {}
     types = dict(df.dtypes)
     texts = df.select(*[unit_key(cols).alias(name) for name, cols in units.items()])
-    counted = texts.unpivot([], list(units), "unit", "value").groupBy("unit", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    counted.persist()  # used for the sizes, the small units and each large one
+    long = texts.unpivot([], list(units), "unit", "value")
+    counted = written(long.groupBy("unit", "value").agg(F.count(F.lit(1)).alias("n")), "shares")
     sizes = {
         r["unit"]: r
         for r in counted.groupBy("unit")
@@ -285,7 +289,8 @@ def _fit_shares(
     for name, cols in units.items():
         data_types = [types[c] for c in cols]
         if name in collected:
-            result[name] = _small_shares(df, name, cols, data_types, collected[name], name in few_numbers)
+            rows = sorted(collected[name], key=lambda r: (r[0] is not None, r[0] or ""))
+            result[name] = Shares(name, list(cols), data_types, [v for v, _ in rows], [n for _, n in rows])
         elif name in sizes:
             table = counted.filter(F.col("unit") == name).select("value", "n")
             total, distinct = sizes[name]["total"], sizes[name]["distinct"]
@@ -299,27 +304,9 @@ def _fit_shares(
                 distinct,
                 [r["value"] for r in hot.select("value").collect()],
             )
-    if all(isinstance(m, Shares) for m in result.values()):
-        counted.unpersist()
     return result
 
 
-def _small_shares(df, name, cols, data_types, rows, is_number_column) -> Shares:
-    numbers = None
-    if is_number_column:
-        values = df.sparkSession.createDataFrame(
-            [(v,) for v, _ in rows], f"`{cols[0]}` string"
-        ).select(F.col(cols[0]).alias("text"), F.col(cols[0]).cast(data_types[0]).alias(cols[0]))
-        back = {r["text"]: r["number"] for r in values.select(
-            "text", ranks.as_number(values, cols[0]).alias("number")).collect()}
-        lowest = float("-inf")
-        rows = sorted(rows, key=lambda r: lowest if back[r[0]] is None else back[r[0]])
-        numbers = [back[v] for v, _ in rows]
-    else:
-        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
-    return Shares(name, list(cols), data_types, [v for v, _ in rows], [n for _, n in rows], numbers)
-
-
 def hashed_running_counts(table: DataFrame) -> DataFrame:
     """(value, n) -> (value, n, before): counts summed up in hash order.
 
@@ -501,8 +488,12 @@ def sample(model: CopulaModel, rows: DataFrame, key: Sequence[str], seed: int =
             columns[m.column] = _grid_value(m, F.col(f"_u{i}"))
         elif isinstance(m, Shares):
             at = F.col(f"_at{i}").cast("int") + F.lit(1) if len(m.values) > 1 else F.lit(1)
-            value = F.element_at(literal_array(m.values, "string"), at)
-            columns.update(_restored(m, value))
+            if m.numbers is not None:
+                number = F.element_at(literal_array(m.numbers, "double"), at)
+                columns[m.columns[0]] = ranks.from_number(number, m.data_types[0])
+            else:
+                value = F.element_at(literal_array(m.values, "string"), at)
+                columns.update(_restored(m, value))
         else:
             result = draw_from_table(result, f"_u{i}", m, f"_v{i}")
             columns.update(_restored(m, F.col(f"_v{i}")))

@@ -1,9 +1,9 @@
 """Running counts and exact quantiles over all values of many columns at once.
 
 A cumulative window over a whole column would pull it into one task. Here equal values are
-counted first (map side, so a hot value is one row per task), the distinct values are cut
-into ranges at sampled bounds, the few range totals are summed up, and the running counts
-are completed inside each range.
+counted first (map side, so a hot value is one row per task) and the counts written, the distinct
+values are cut into ranges at sampled bounds, the few range totals are summed up, and the
+running counts are completed inside each range.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimweave.sources.storage import written
+
 LOWEST, HIGHEST = float("-inf"), float("inf")
 MOST_RANGES = 2000
 
@@ -64,49 +66,53 @@ def splits_from(points: Sequence[float]) -> list[float]:
     return [LOWEST, *inner, HIGHEST]
 
 
-def sampled_bounds(df: DataFrame, columns: Sequence[str], ranges: int) -> dict[str, list[float]]:
-    """Per column about ``ranges`` values that cut it into ranges of similar size.
+def count_values(
+    df: DataFrame, columns: Sequence[str], counts: dict[str, Column], keep: Sequence[str] = ()
+) -> DataFrame:
+    """(column, value, one aggregate per entry of ``counts``) over the distinct values.
+
+    The aggregates may use the columns in ``keep``. The one pass over the base table; all
+    later steps read the counts, which are therefore written.
+    """
+    long = df.select(*keep, *columns).unpivot(list(keep), list(columns), "column", "value")
+    counted = long.groupBy("column", "value").agg(*[c.alias(name) for name, c in counts.items()])
+    return written(counted, "counts")
+
+
+def value_bounds(counted: DataFrame, ranges: int) -> dict[str, list[float]]:
+    """Per column about ``ranges`` values that cut its distinct values into similar parts.
 
-    One aggregation; what reaches the driver is columns x ranges doubles. The bounds only
-    balance the work, results do not depend on them.
+    What reaches the driver is columns x ranges doubles. The bounds only balance the work,
+    results do not depend on them.
     """
     shares = [i / ranges for i in range(1, ranges)]
-    row = df.agg(
-        *[F.percentile_approx(c, shares, 10 * ranges).alias(f"b{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c: list(row[f"b{i}"] or []) for i, c in enumerate(columns)}
-
-
-def count_values(df: DataFrame, columns: Sequence[str], counts: dict[str, Column]) -> DataFrame:
-    """(column, value, one sum per entry of ``counts``) over the distinct non-null values."""
-    long = df.select(
-        *[c.alias(name) for name, c in counts.items()], *columns
-    ).unpivot(list(counts), list(columns), "column", "value")
-    return (
-        long.filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(*[F.sum(name).alias(name) for name in counts])
+    rows = counted.groupBy("column").agg(
+        F.percentile_approx("value", shares, 10 * ranges).alias("bounds")
     )
+    return {r["column"]: list(r["bounds"] or []) for r in rows.collect()}
 
 
-def running_counts(
-    counted: DataFrame, count_names: Sequence[str], bounds: dict[str, list[float]]
-) -> DataFrame:
+def running_counts(counted: DataFrame, count_names: Sequence[str]) -> DataFrame:
     """Add ``before_<n>`` and ``total_<n>`` for each count: the counts of all lower values
-    and of the whole column. ``counted`` has (column, value double, counts)."""
-    columns = list(bounds)
+    and of the whole column. ``counted`` has (column, value double, counts); null values
+    are left out."""
+    counted = counted.filter(F.col("value").isNotNull())
+    bounds = value_bounds(counted, range_count(counted.sparkSession))
+    columns = sorted(bounds) or [""]
+    bounds = bounds or {"": []}
+    splits = [splits_from(bounds[c]) for c in columns]
     wide = counted.withColumns(
         {f"_v{i}": F.when(F.col("column") == c, F.col("value")) for i, c in enumerate(columns)}
     )
     ranged = Bucketizer(
-        splitsArray=[splits_from(bounds[c]) for c in columns],
+        splitsArray=splits,
         inputCols=[f"_v{i}" for i in range(len(columns))],
         outputCols=[f"_r{i}" for i in range(len(columns))],
     ).transform(wide)
-    ranged = ranged.select(
-        *counted.columns,
-        F.coalesce(*[F.col(f"_r{i}") for i in range(len(columns))]).cast("int").alias("range_no"),
-    )
+    # Ranges are numbered through over all columns, so that one integer is the shuffle key.
+    starts_at = [sum(len(s) - 1 for s in splits[:i]) for i in range(len(columns))]
+    range_no = F.coalesce(*[F.col(f"_r{i}") + F.lit(float(n)) for i, n in enumerate(starts_at)])
+    ranged = ranged.select(*counted.columns, range_no.cast("int").alias("range_no"))
     # Columns x ranges rows: small by construction, so windowed and broadcast.
     lower_ranges = (
         Window.partitionBy("column").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,23 +122,20 @@ def running_counts(
         *[F.sum(n).alias(f"sum_{n}") for n in count_names]
     )
     range_starts = range_totals.select(
-        "column",
         "range_no",
         *[F.coalesce(F.sum(f"sum_{n}").over(lower_ranges), F.lit(0)).alias(f"start_{n}") for n in count_names],
         *[F.sum(f"sum_{n}").over(whole_column).alias(f"total_{n}") for n in count_names],
     )
     lower_values = (
-        Window.partitionBy("column", "range_no")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("range_no").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = ranged.join(F.broadcast(range_starts), ["column", "range_no"])
+    # Every value has its range; a left join spares testing the range for null first.
+    joined = ranged.withColumns(
+        {f"in_range_{n}": F.coalesce(F.sum(n).over(lower_values), F.lit(0)) for n in count_names}
+    ).join(F.broadcast(range_starts), "range_no", "left")
     return joined.select(
         *counted.columns,
-        *[
-            (F.col(f"start_{n}") + F.coalesce(F.sum(n).over(lower_values), F.lit(0))).alias(f"before_{n}")
-            for n in count_names
-        ],
+        *[(F.col(f"start_{n}") + F.col(f"in_range_{n}")).alias(f"before_{n}") for n in count_names],
         *[F.col(f"total_{n}") for n in count_names],
     )
 
@@ -143,35 +146,32 @@ def quantile_table(df: DataFrame, columns: Sequence[str], steps: int) -> DataFra
     (column, idx, lower, quantile, n_rows): ``lower`` is the value at the rank's whole part,
     ``quantile`` interpolates linearly to the next value.
     """
-    wide = numbers(df, columns)
-    bounds = sampled_bounds(wide, columns, range_count(df.sparkSession))
-    ranked = running_counts(count_values(wide, columns, {"n": F.lit(1)}), ["n"], bounds)
-    return quantiles_of_ranked(ranked, steps)
+    counted = count_values(numbers(df, columns), columns, {"n": F.count(F.lit(1))})
+    return quantiles_of_ranked(running_counts(counted, ["n"]), steps)
 
 
 def quantiles_of_ranked(ranked: DataFrame, steps: int) -> DataFrame:
-    n, before, total = F.col("n"), F.col("before_n"), F.col("total_n")
-    last_rank = F.greatest(total - F.lit(1), F.lit(1))
+    # The grid indices whose whole rank i * (total - 1) div steps lies in [rank, rank + n) run
+    # from ceil(rank * steps / (total - 1)) up to the first index of the next value.
+    last_rank = "greatest(total_n - 1, 1)"
 
-    def first_index(rank: Column) -> Column:
-        """Least i whose rank i * (total - 1) / steps reaches ``rank``."""
-        reach = rank * F.lit(steps) + last_rank - F.lit(1)
-        return F.round((reach - reach % last_rank) / last_rank).cast("bigint")
+    def first_index(rank: str) -> str:
+        return f"((({rank}) * {steps} + {last_rank} - 1) div {last_rank})"
 
-    # Grid indices whose whole rank lies in [rank, rank + n); all of them for a single row.
-    def covered_low(rank: Column) -> Column:
-        return F.greatest(first_index(rank), F.lit(0).cast("bigint"))
+    def low(rank: str) -> Column:
+        return F.expr(f"greatest({first_index(rank)}, 0L)")
 
-    def covered_high(rank: Column) -> Column:
-        top = F.lit(steps).cast("bigint")
-        return F.when(total == 1, top).otherwise(F.least(first_index(rank + n) - F.lit(1), top))
+    def high(rank: str) -> Column:
+        # A single row holds all of them.
+        return F.expr(
+            f"if(total_n = 1, {steps}L, least({first_index(f'{rank} + n')} - 1, {steps}L))"
+        )
 
     # Few values hold a grid point; the others are dropped before any array is built.
     places = ranked.select(
         "column", "value", "total_n",
-        covered_low(before).alias("low"), covered_high(before).alias("high"),
-        covered_low(before - F.lit(1)).alias("next_low"),
-        covered_high(before - F.lit(1)).alias("next_high"),
+        low("before_n").alias("low"), high("before_n").alias("high"),
+        low("before_n - 1").alias("next_low"), high("before_n - 1").alias("next_high"),
     ).filter("low <= high or next_low <= next_high")
 
     def indices(low: str, high: str, is_lower: bool) -> Column:

@@ -25,7 +25,6 @@ from claimweave.operators.render import (
     write_sections,
 )
 from claimweave.operators.trailer import ZERO, page_trailers, trailer_line
-from claimweave.plans.storage import written
 from claimweave.sources.delimited import read_delimited, run_output_name, write_delimited
 from claimweave.sources.layout import DETAIL_SECTION, HEADER_SECTION, Field, fields_of, read_layout, strip_column_names
 from claimweave.sources.lines import CONTROL, DETAIL, HEADER, read_lines, route
@@ -36,6 +35,7 @@ from claimweave.sources.metadata import (
     read_metadata,
     save_metadata,
 )
+from claimweave.sources.storage import written
 
 LINE_KEY = ["file", "line_no"]
 
