@@ -28,6 +28,7 @@ from claimweave.sources.metadata import (
     latest_versions,
     override_kind,
 )
+from claimweave.sources.storage import spread
 
 ORDER_WIDTHS = (
     ("o_orderkey", 10),
@@ -242,7 +243,7 @@ def page_trailer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select("o_orderkey")
+    return spread(table(spark, folder, "orders").select("o_orderkey"))
 
 
 def generate_claims(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,7 +273,10 @@ def claims_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def priced_items(spark: SparkSession, folder: str) -> DataFrame:
     net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
-    return table(spark, folder, "lineitem").withColumn("net", net)
+    items = table(spark, folder, "lineitem").select(
+        "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
+    )
+    return spread(items).withColumn("net", net)
 
 
 def detect_kinds(spark: SparkSession, folder: str) -> DataFrame:

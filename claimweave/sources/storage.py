@@ -29,3 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+# Tasks that an input of a few splits is spread over at most.
+MOST_SPREAD = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Let idle cores share an input that comes in fewer splits than there are cores.
+
+    An input of many splits, as any large one is, is left as it is and not shuffled.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
