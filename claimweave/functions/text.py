@@ -26,7 +26,7 @@ def field(line: Column, start: int, length: int) -> Column:
     Lines of visible ASCII characters and blanks, tested once per line, are sliced by bytes
     and need their blanks trimmed only; this halves the time of parsing.
     """
-    is_plain = line.rlike("^[ -~]*$")
+    is_plain = line.rlike(r"^[ -~]*\z")
     of_bytes = F.substring(line.cast("binary"), start, length).cast("string")
     return F.when(is_plain, F.trim(of_bytes)).otherwise(strip(F.substring(line, start, length)))
 

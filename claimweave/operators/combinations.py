@@ -18,17 +18,19 @@ def synthesize_with_combinations(
     columns: Sequence[str],
     n: int = 1000,
     seed: int = 0,
-    keep_key: bool = False,
+    row_key: str | None = None,
 ) -> DataFrame:
     """``n`` rows like those of ``real``, with ``columns`` together only as they occur.
 
     The columns become categorical and one marginal: each combination is drawn by its
-    share. If the table lacks any of them there is nothing to keep.
+    share. If the table lacks any of them there is nothing to keep. ``row_key`` names a
+    column for the number of the row, which is otherwise dropped.
     """
     chosen = override_kind(metadata, list(columns), CATEGORICAL)
     model = fit(real, chosen, fixed_combinations=[columns])
-    rows = sample(model, spark.range(n), ["id"], seed)
-    return rows if keep_key else rows.drop("id")
+    name = row_key or "_row"
+    rows = sample(model, spark.range(n).withColumnRenamed("id", name), [name], seed)
+    return rows if row_key else rows.drop(name)
 
 
 def unseen_combinations(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -469,6 +469,9 @@ def sample(model: CopulaModel, rows: DataFrame, key: Sequence[str], seed: int =
     Draws depend on seed and key only. ``rows`` may be the real table's own keys, which
     keeps its number of rows per file, or ``spark.range(n)``.
     """
+    taken = {c.lower() for c in model.column_order} & {k.lower() for k in key}
+    if taken:
+        raise ValueError(f"key columns are also columns of the model: {sorted(taken)}")
     keys = [F.col(k) for k in key]
     modelled = model.modelled
     result = rows.select(*key)

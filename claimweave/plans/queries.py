@@ -345,7 +345,7 @@ def fixed_combinations(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_brand", "p_type")
     kinds = {c: {"sdtype": CATEGORICAL} for c in parts.columns}
     return synthesize_with_combinations(
-        spark, parts, kinds, ["p_brand", "p_type"], n=1000, keep_key=True
+        spark, parts, kinds, ["p_brand", "p_type"], n=1000, row_key="id"
     )
 
 
