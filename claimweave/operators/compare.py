@@ -97,16 +97,17 @@ def correlation_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     wide = ranks.numbers(both, columns, [IS_REAL])
     pairs = list(combinations(columns, 2))
 
-    def of_source(a: str, b: str, real: bool) -> Column:
-        chosen = F.col(IS_REAL) if real else ~F.col(IS_REAL)
-        return correlation(F.when(chosen, F.col(a)), F.when(chosen, F.col(b)))
+    by_source = wide.groupBy(IS_REAL).agg(
+        *[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    )
+
+    def of_source(i: int, real: bool) -> Column:
+        return F.max(F.when(F.col(IS_REAL) == real, F.col(f"c{i}")))
 
-    scored = wide.agg(
+    scored = by_source.agg(
         *[
-            (
-                F.lit(1.0) - F.abs(of_source(a, b, True) - of_source(a, b, False)) / F.lit(2.0)
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(pairs)
+            (F.lit(1.0) - F.abs(of_source(i, True) - of_source(i, False)) / F.lit(2.0)).alias(f"p{i}")
+            for i in range(len(pairs))
         ]
     )
     rows = F.array(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import draws
 from claimweave.functions.dates import coerce_date, spark_pattern
 from claimweave.functions.normal import literal_array, normal_cdf, normal_level, normal_quantile
-from claimweave.functions.statistics import correlation
+from claimweave.functions.statistics import distinct_estimate
 from claimweave.operators import ranks
 from claimweave.operators.parse import normalise_nulls
 from claimweave.operators.profile import DATE_TYPES, is_number
@@ -43,7 +43,7 @@ HOT_SALTS = 64
 CORRELATION_PLACES = 6
 LEAST_EIGENVALUE = 1e-9
 # Above this number of columns the k * k correlations are taken as one matrix product.
-MOST_CORR_COLUMNS = 30
+MOST_CORR_COLUMNS = 12
 DAY_MICROS, SECOND_MICROS = 86400e6, 1e6
 MOST_DECIMALS = 6
 
@@ -162,9 +162,14 @@ def fit(
     metadata: Metadata,
     fixed_combinations: Sequence[Sequence[str]] = (),
     steps: int = GRID_STEPS,
+    exact: bool = True,
 ) -> CopulaModel:
     """Model of the columns named in ``metadata``.
 
+    Exact grids shuffle the distinct values of the number columns. Without ``exact`` they
+    are sketched in one pass, each point within a tenth of a step of its rank, and may
+    differ in that range from run to run.
+
     Columns of a fixed combination are one categorical together, so only combinations that
     occur are ever sampled. What reaches the driver per column is the grid or at most
     ``COLLECTED_CATEGORIES`` categories.
@@ -196,12 +201,17 @@ def fit(
         or (metadata[c]["sdtype"] == DATETIME and types[c] in DATE_TYPES)
     ]
     ids = [c for c in single if metadata[c]["sdtype"] == ID]
-    numbers = _fit_numbers(df, numeric, steps)
+    numbers = (_fit_numbers if exact else _sketch_numbers)(df, numeric, steps)
     units = {c: [c] for c in single if c not in numbers and c not in ids}
     units.update({"+".join(group): group for group in combined})
     shares = _fit_shares(df, units)
     by_first = {m.columns[0]: m for m in [*numbers.values(), *shares.values()]}
     by_first.update({c: Identifier(c, types[c]) for c in ids})
+    # A table without rows gives nulls.
+    modelled_columns = {c for m in by_first.values() for c in m.columns}
+    by_first.update(
+        {c: Shares(c, [c], [types[c]], [None], [1]) for c in wanted if c not in modelled_columns}
+    )
     marginals = [by_first[c] for c in wanted if c in by_first]
     modelled = [m for m in marginals if not isinstance(m, Identifier)]
     scores, names = normal_scores(df, modelled)
@@ -247,6 +257,29 @@ def _fit_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str,
     return result
 
 
+def _sketch_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
+    """As ``_fit_numbers``, with grids from quantile sketches and no shuffle of values."""
+    if not columns:
+        return {}
+    types = dict(df.dtypes)
+    wide = ranks.numbers(df, columns)
+    places = [i / steps for i in range(steps + 1)]
+    row = wide.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[distinct_estimate(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, places, 10 * steps).alias(f"q{i}") for i, c in enumerate(columns)],
+    ).first()
+    result: dict[str, Marginal] = {}
+    few = [c for i, c in enumerate(columns) if row[f"d{i}"] <= steps]
+    for i, c in enumerate(columns):
+        if c not in few:
+            points = list(row[f"q{i}"])
+            null_share = 1.0 - row[f"n{i}"] / row["n"]
+            result[c] = Grid(c, types[c], null_share, points, value_unit(points, types[c]))
+    return {**result, **_fit_numbers(df, few, 2 * steps)}
+
+
 def value_unit(values: Sequence[float], data_type: str) -> float:
     """Largest usual unit all values are multiples of: a day, a second, 1, 0.1, 0.01 ..."""
     if data_type in DATE_TYPES:
@@ -443,15 +476,14 @@ def correlations(scores: DataFrame, names: Sequence[str]) -> np.ndarray:
         return matrix
     if k <= MOST_CORR_COLUMNS:
         pairs = list(combinations(range(k), 2))
+        # Scores have no nulls, so one spread per column serves all its pairs.
         row = scores.agg(
-            *[
-                correlation(F.col(names[i]), F.col(names[j])).alias(f"c{i}_{j}")
-                for i, j in pairs
-            ]
+            *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)],
+            *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
         ).first()
         for i, j in pairs:
-            value = row[f"c{i}_{j}"]
-            matrix[i, j] = matrix[j, i] = 0.0 if value is None else value
+            spread = (row[f"s{i}"] or 0.0) * (row[f"s{j}"] or 0.0)
+            matrix[i, j] = matrix[j, i] = row[f"c{i}_{j}"] / spread if spread > 0 else 0.0
     else:
         vectors = scores.select(array_to_vector(F.array(*names)).alias("features"))
         matrix = Correlation.corr(vectors, "features").first()[0].toArray()

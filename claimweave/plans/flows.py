@@ -81,10 +81,17 @@ def read_positional(
     header_layout_path: str | None = None,
     control_prefix: str = "CD",
     detail_exclude: Sequence[str] = ("CD",),
+    stored: bool = False,
 ) -> Sections:
-    """Route and parse positional files by one layout with sections, or by two layouts."""
+    """Route and parse positional files by one layout with sections, or by two layouts.
+
+    ``stored`` writes the routed lines once, by section, for jobs that read the sections
+    again and again; the files are then scanned no more.
+    """
     header_fields, detail_fields = read_fields(spark, layout_path, header_layout_path)
     lines = route(read_lines(spark, paths), control_prefix, detail_exclude)
+    if stored:
+        lines = written(lines, "lines", "section")
 
     def part(section: str) -> DataFrame:
         return lines.filter(F.col("section") == section)
@@ -163,14 +170,22 @@ def synthesize_file(
     detail_exclude: Sequence[str] = ("CD",),
     evaluate: bool = True,
     seed: int = 0,
+    exact: bool = True,
 ) -> FileSynthesis:
     """Positional files to synthetic positional files of the same sections and row counts.
 
     ``mask`` replaces identifiers before anything is learned from them: a list of columns,
-    or True for those that the layout marks as sensitive.
+    or True for those that the layout marks as sensitive. ``exact`` is that of ``fit``.
     """
     sections = read_positional(
-        spark, paths, layout_path, date_columns, header_layout_path, control_prefix, detail_exclude
+        spark,
+        paths,
+        layout_path,
+        date_columns,
+        header_layout_path,
+        control_prefix,
+        detail_exclude,
+        stored=True,
     )
 
     header_metadata = stored_or_detected(
@@ -179,13 +194,14 @@ def synthesize_file(
     header = synthesize_headers(sections.header, header_metadata, seed)
 
     masked = sensitive_fields(sections.detail_fields) if mask is True else list(mask or ())
-    real = written(mask_columns(sections.detail, masked, LINE_KEY, seed), "detail")
+    real = mask_columns(sections.detail, masked, LINE_KEY, seed)
+    real = written(real.sortWithinPartitions(*LINE_KEY), "detail")
     write_delimited(real.drop(*LINE_KEY), f"{output}/dataframe_output_presdv.csv")
 
     metadata = stored_or_detected(
         real.drop(*LINE_KEY), metadata_base, "data", use_same_metadata_version
     )
-    model = fit(real.drop(*LINE_KEY), metadata)
+    model = fit(real.drop(*LINE_KEY), metadata, exact=exact)
     synthetic = written(sample(model, real, LINE_KEY, seed), "synthetic")
     write_delimited(synthetic.drop(*LINE_KEY), f"{output}/synthetic_data.csv")
 

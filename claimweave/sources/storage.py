@@ -20,15 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table that later steps read several times, and read it back.
 
     Its lineage is cut, it outlives lost executors, and readers get columnar pruning.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    # The schema is given, as a table without rows may have no files to take it from.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Tasks that an input of a few splits is spread over at most.

@@ -178,6 +178,7 @@ def test_file_flow_end_to_end(spark, folder):
     assert header_quality["Overall"] == 1.0
     diagnostic = {r["column"]: r["score"] for r in result.detail_scores[0].collect()}
     assert set(diagnostic.values()) - {None} == {1.0}
+    assert text_of(f"{folder}/out/dataframe_output_presdv.csv") == DETAIL_CSV.encode()
     assert text_of(f"{folder}/out/synthetic_data.csv").decode().startswith("Test1,Test2,Test3,")
 
 

@@ -174,6 +174,20 @@ def test_sampled_table_is_like_the_real_one(spark):
     assert synthetic.filter("abs(l_extendedprice * 100 - round(l_extendedprice * 100)) > 1e-6").count() == 0
 
 
+def test_sketched_grids_are_near_the_exact_ones(spark):
+    real = items(spark).select("l_quantity", "l_extendedprice", "l_shipdate")
+    kinds = {c: ITEM_KINDS[c] for c in real.columns}
+    exact, sketched = (copula.fit(real, kinds, steps=50, exact=e).marginals for e in (True, False))
+    assert [type(m) for m in exact] == [type(m) for m in sketched]
+    for a, b in zip(exact, sketched):
+        if isinstance(a, copula.Grid):
+            assert a.null_share == pytest.approx(b.null_share) and a.unit == b.unit
+            span = a.points[-1] - a.points[0]
+            assert max(abs(x - y) for x, y in zip(a.points, b.points)) < 0.01 * span
+        else:
+            assert (a.numbers, a.counts) == (b.numbers, b.counts)
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     model = copula.fit(items(spark).select(*ITEM_KINDS), ITEM_KINDS, steps=50)
     results = [
@@ -206,6 +220,17 @@ def test_one_row_gives_itself(spark):
     assert copula.sample(model, spark.range(2), ["id"]).drop("id").collect() == [("PA", "22", None)] * 2
 
 
+def test_table_without_rows(spark):
+    df = spark.createDataFrame([], "a string, x double, d string, p int, q int")
+    kinds = {
+        "a": {"sdtype": "categorical"}, "x": {"sdtype": "numerical"}, "p": {"sdtype": "categorical"},
+        "q": {"sdtype": "categorical"}, "d": {"sdtype": "datetime", "datetime_format": "%Y%m%d"},
+    }
+    model = copula.fit(df, kinds, [["p", "q"]])
+    made = copula.sample(model, spark.range(2), ["id"]).drop("id")
+    assert made.dtypes == df.dtypes and made.distinct().collect() == [(None,) * 5]
+
+
 def test_text_dates_come_back_as_text(spark):
     df = spark.createDataFrame([("20010101",), ("20010103",), ("bad",), ("20010102",)] * 30, "day string")
     kinds = {"day": {"sdtype": "datetime", "datetime_format": "%Y%m%d"}}
