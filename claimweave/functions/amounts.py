@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import NUMBER_PATTERN, strip
-
 # Sign characters in the order of the digits 0-9. This is the reverse of the
 # usual zoned-decimal table and must stay so for equal results.
 NEGATIVE_SIGNS = "}ABCDEFGHI"
@@ -14,18 +12,6 @@ POSITIVE_SIGNS = "{JKLMNOPQR"
 DIGITS = "0123456789"
 
 
-def amount_body(c: Column, negative: str = NEGATIVE_SIGNS, positive: str = POSITIVE_SIGNS) -> Column:
-    """The amount's text with its sign character replaced by the digit it stands for.
-
-    Every occurrence of that character is replaced, not only the last one. Null when the
-    text does not end in a sign character or digit.
-    """
-    last = F.right(c, F.lit(1))
-    digit = F.translate(last, negative + positive, DIGITS + DIGITS)
-    signs = F.lit(negative + positive + DIGITS)
-    return F.when((F.length(c) > 0) & (F.instr(signs, last) > 0), F.replace(c, last, digit))
-
-
 def decode_amount(
     c: Column,
     data_type: str = "double",
@@ -34,14 +20,19 @@ def decode_amount(
 ) -> Column:
     """Signed value of an overpunched text, not scaled.
 
-    Plain digits are taken as they are; a text ending in any other character is 0; empty
-    texts and bodies that are not a number are null, to be counted as rejects. ``data_type``
-    may name a decimal, so that sums do not depend on the order of their rows.
+    Every occurrence of the sign character becomes its digit, not only the last one. Plain
+    digits are taken as they are; a text ending in any other character is 0; empty texts
+    and bodies that are not a number are null, to be counted as rejects. ``data_type`` may
+    name a decimal, so that sums do not depend on the order of their rows.
     """
-    body = strip(amount_body(c, negative, positive))
-    is_negative = F.instr(F.lit(negative), F.right(c, F.lit(1))) > 0
-    value = F.when(body.rlike(NUMBER_PATTERN), body.try_cast(data_type))
+    last = F.right(c, F.lit(1))
+    body = F.replace(c, last, F.translate(last, negative + positive, DIGITS + DIGITS))
+    # A body ends in a digit, so of what Spark reads as a number and is none here only the
+    # hexadecimal form is left; it needs a p, which no number has.
+    value = F.translate(body, "pP", "??").try_cast(data_type)
     return (
-        F.when(body.isNotNull(), F.when(is_negative, -value).otherwise(value))
-        .when(F.length(c) > 0, F.lit(0).cast(data_type))
+        F.when(F.length(c) == 0, F.lit(None).cast(data_type))
+        .when(F.instr(F.lit(negative), last) > 0, -value)
+        .when(F.instr(F.lit(positive + DIGITS), last) > 0, value)
+        .when(c.isNotNull(), F.lit(0).cast(data_type))
     )

@@ -92,10 +92,10 @@ def tv_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scored.select(*_scores(F.col("column"), TV, F.col("score")))
 
 
-def correlation_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlation_scores(both: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(first, second, metric, score): 1 - half the difference of Pearson correlations."""
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
     wide = ranks.numbers(both, columns, [IS_REAL])
-    pairs = list(combinations(columns, 2))
 
     by_source = wide.groupBy(IS_REAL).agg(
         *[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
@@ -259,27 +259,43 @@ def column_shapes(real: DataFrame, synthetic: DataFrame, metadata: Metadata) ->
     return _union(parts)
 
 
-def column_pairs(real: DataFrame, synthetic: DataFrame, metadata: Metadata) -> DataFrame | None:
-    """(first, second, metric, score): how alike the pairs of columns depend on each other."""
+def column_pairs(
+    real: DataFrame,
+    synthetic: DataFrame,
+    metadata: Metadata,
+    pairs: Sequence[tuple[str, str]] | None = None,
+) -> DataFrame | None:
+    """(first, second, metric, score): how alike the pairs of columns depend on each other.
+
+    All pairs unless some are named, which saves work on tables of very many columns.
+    """
     numeric, other = split_columns(real, metadata)
-    both = stack(real, synthetic, [*numeric, *other])
+    chosen = list(combinations([*numeric, *other], 2) if pairs is None else pairs)
+    used = [c for c in [*numeric, *other] if any(c in p for p in chosen)]
+    both = stack(real, synthetic, used)
     parts = []
-    if len(numeric) > 1:
-        parts.append(correlation_scores(both, numeric))
-    mixed = [p for p in combinations([*numeric, *other], 2) if not set(p) <= set(numeric)]
+    of_numbers = [p for p in chosen if set(p) <= set(numeric)]
+    if of_numbers:
+        parts.append(correlation_scores(both, of_numbers))
+    mixed = [p for p in chosen if p not in of_numbers]
     if mixed:
         parts.append(contingency_scores(both, mixed, numeric))
     return _union(parts) if parts else None
 
 
-def quality(real: DataFrame, synthetic: DataFrame, metadata: Metadata) -> DataFrame:
+def quality(
+    real: DataFrame,
+    synthetic: DataFrame,
+    metadata: Metadata,
+    pairs: Sequence[tuple[str, str]] | None = None,
+) -> DataFrame:
     """(property, score): mean of the column scores, of the pair scores, and of both."""
     shapes = column_shapes(real, synthetic, metadata).select(
         F.lit("Column Shapes").alias("property"), "score"
     )
-    pairs = column_pairs(real, synthetic, metadata)
-    if pairs is not None:
-        shapes = shapes.unionByName(pairs.select(F.lit("Column Pair Trends").alias("property"), "score"))
+    trends = column_pairs(real, synthetic, metadata, pairs)
+    if trends is not None:
+        shapes = shapes.unionByName(trends.select(F.lit("Column Pair Trends").alias("property"), "score"))
     by_property = shapes.groupBy("property").agg(F.avg("score").alias("score"))
     overall = by_property.agg(F.lit("Overall").alias("property"), F.avg("score").alias("score"))
     return by_property.unionByName(overall)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,7 +283,7 @@ def priced_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def detect_kinds(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
-        column_kinds(table(spark, folder, name), exact=True).select(
+        column_kinds(spread(table(spark, folder, name)), exact=True).select(
             F.lit(name).alias("table_name"), "column", "kind", "non_null", "n_distinct"
         )
         for name in ("lineitem", "part")
@@ -382,9 +384,8 @@ def shape_categorical(spark: SparkSession, folder: str) -> DataFrame:
 
 def pair_correlation(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["l_quantity", "l_extendedprice", "l_discount", "net"]
-    return rounded_scores(
-        compare.correlation_scores(compare.stack(*flagged_items(spark, folder), columns), columns)
-    )
+    both = compare.stack(*flagged_items(spark, folder), columns)
+    return rounded_scores(compare.correlation_scores(both, list(combinations(columns, 2))))
 
 
 def pair_contingency(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,7 +35,7 @@ def decoded_by_rule(value):
 
 def test_decoder_table(spark):
     values = [f"0012{c}" for c in "}{ABCDEFGHIJKLMNOPQR0123456789"]
-    values += ["0015083H", "0000839I", "1A2A", "1B2A", "5Z", "", "-5J", "1.5C", "+7", "x", "A", "{", "12 "]
+    values += ["0015083H", "0000839I", "1A2A", "1B2A", "5Z", "", "-5J", "1.5C", "+7", "x", "A", "{", "12 ", "0x1p3", "0x1", "Infinity1", "1e2", " 7", "1.2.3", "1e"]
     got = applied(spark, values, amounts.decode_amount)
     assert got == [decoded_by_rule(v) for v in values]
     assert dict(zip(values, got))["0015083H"] == -150838.0
