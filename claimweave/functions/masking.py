@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimweave.functions.draws import Key, hex_number, key_hash
+from claimweave.functions.draws import hex_number
 
 BLOCK_DIGITS = 24
 HALF_BLOCK = 10**12
@@ -17,14 +17,14 @@ def _block(digest: Column) -> Column:
     return F.concat(*[F.lpad(h.cast("string"), 12, "0") for h in halves])
 
 
-def mask_digits(value: Column, seed: int, tag: str, key: Key) -> Column:
+def mask_digits(value: Column, digest: Column) -> Column:
     """Digits as many as ``value`` has characters, the first one 1-9; "0" for null or empty.
 
-    Kept as text: identifiers may be longer than a bigint holds.
+    Kept as text: identifiers may be longer than a bigint holds. ``digest`` is the row's
+    ``key_hash``; it is used several times and should be a column of its own.
     """
     text = value.cast("string")
     n = F.length(text)
-    digest = key_hash(seed, tag, key)
     first = (hex_number(digest, 29, 4) % F.lit(9) + F.lit(1)).cast("string")
     head = F.concat(first, _block(digest))
     # Identifiers over 25 characters take further blocks, each hashed from the first digest.

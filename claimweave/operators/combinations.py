@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators.copula import fit, sample
 from claimweave.sources.metadata import CATEGORICAL, Metadata, override_kind
+from claimweave.sources.storage import numbered_rows
 
 
 def synthesize_with_combinations(
@@ -29,7 +30,7 @@ def synthesize_with_combinations(
     chosen = override_kind(metadata, list(columns), CATEGORICAL)
     model = fit(real, chosen, fixed_combinations=[columns])
     name = row_key or "_row"
-    rows = sample(model, spark.range(n).withColumnRenamed("id", name), [name], seed)
+    rows = sample(model, numbered_rows(spark, n, name), [name], seed)
     return rows if row_key else rows.drop(name)
 
 

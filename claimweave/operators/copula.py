@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pandas as pd
+from pyspark.ml.feature import Bucketizer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +34,6 @@ from claimweave.sources.storage import written
 GRID_STEPS = 1000
 # Categories of one column that the model keeps on the driver; more stay a table.
 COLLECTED_CATEGORIES = 10_000
-# Up to here a category's score is looked up in a literal, above it by a broadcast join.
-LITERAL_CATEGORIES = 64
 # A category with more than this share of the rows is salted in joins.
 HOT_SHARE = 0.001
 HOT_SALTS = 64
@@ -44,6 +43,8 @@ CORRELATION_PLACES = 6
 LEAST_EIGENVALUE = 1e-9
 # Above this number of columns the k * k correlations are taken as one matrix product.
 MOST_CORR_COLUMNS = 12
+# Above this number of columns the k * k terms of a draw are added up on Arrow batches.
+MOST_MIXED_BY_COLUMN = 30
 DAY_MICROS, SECOND_MICROS = 86400e6, 1e6
 MOST_DECIMALS = 6
 
@@ -398,10 +399,13 @@ def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> tuple[DataFra
                 for n, _, _, levels, null_level in numeric
             }
         )
+    categories = [
+        (n, m) for n, m in zip(names, marginals) if isinstance(m, Shares) and m.numbers is None
+    ]
+    if categories:
+        result = _category_scores(result, categories)
     for n, m in zip(names, marginals):
-        if isinstance(m, Shares) and m.numbers is None:
-            result = _category_scores(result, n, m)
-        elif isinstance(m, SharesTable):
+        if isinstance(m, SharesTable):
             result = _table_scores(result, n, m)
     return result.select(*names), names
 
@@ -422,24 +426,24 @@ def _stepped_levels(m: Shares) -> tuple[list[float], list[float], float]:
     return m.numbers, levels, 0.0
 
 
-def _category_scores(df: DataFrame, name: str, m: Shares) -> DataFrame:
-    levels = [normal_level(u) for u in m.middles()]
-    key = unit_key(m.columns)
-    if len(levels) <= LITERAL_CATEGORIES:
-        null_level = next((z for v, z in zip(m.values, levels) if v is None), 0.0)
-        known = [(v, z) for v, z in zip(m.values, levels) if v is not None]
-        place = F.array_position(literal_array([v for v, _ in known], "string"), key)
-        score = F.try_element_at(
-            literal_array([z for _, z in known], "double"), F.nullif(place, F.lit(0).cast("bigint")).cast("int")
+def _category_scores(df: DataFrame, categories: Sequence[tuple[str, Shares]]) -> DataFrame:
+    """Scores of all collected categoricals, by hash lookup of their indices in one projection."""
+    known = [[v for v in m.values if v is not None] for _, m in categories]
+    named = [(n, values) for (n, _), values in zip(categories, known) if values]
+    result = df.withColumns({f"_{n}": unit_key(m.columns) for n, m in categories})
+    if named:
+        # Null, which is the only value not among the labels, gets the index after the last.
+        indexer = StringIndexerModel.from_arrays_of_labels(
+            [values for _, values in named], [f"_{n}" for n, _ in named], handleInvalid="keep"
         )
-        return df.withColumn(name, F.coalesce(score, F.lit(null_level)))
-    table = df.sparkSession.createDataFrame(
-        list(zip(m.values, levels)), f"_value string, {name} double"
-    )
-    joined = df.withColumn("_key", key).join(
-        F.broadcast(table), F.col("_key").eqNullSafe(F.col("_value")), "left"
-    )
-    return joined.drop("_key", "_value")
+        result = indexer.setOutputCols([f"_{n}_at" for n, _ in named]).transform(result)
+    scores = {}
+    for n, m in categories:
+        levels = {v: normal_level(u) for v, u in zip(m.values, m.middles())} if len(m.values) > 1 else {}
+        ordered = [levels.get(v, 0.0) for v in m.values if v is not None] + [levels.get(None, 0.0)]
+        at = F.col(f"_{n}_at").cast("int") + F.lit(1) if len(ordered) > 1 else F.lit(1)
+        scores[n] = F.element_at(literal_array(ordered, "double"), at)
+    return result.withColumns(scores)
 
 
 def _table_scores(df: DataFrame, name: str, m: SharesTable) -> DataFrame:
@@ -552,20 +556,42 @@ def _uniform_columns(
         for side in range(2):
             if 2 * p + side < k:
                 normals[f"_e{2 * p + side}"] = pair[side]
-    mixed = {}
-    for i in range(k):
-        terms = [
-            F.col(f"_e{j}") * F.lit(float(factor[i, j])) for j in range(i + 1) if factor[i, j] != 0.0
-        ]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        mixed[f"_z{i}"] = total
-    uniforms = {f"_u{i}": normal_cdf(F.col(f"_z{i}")) for i in range(k)}
-    kept = [*rows.columns, *uniforms]
-    return (
-        rows.withColumns(digests).withColumns(normals).withColumns(mixed).withColumns(uniforms)
-    ).select(*kept)
+    independent = rows.withColumns(digests).withColumns(normals)
+    if k <= MOST_MIXED_BY_COLUMN:
+        mixed = independent.withColumns({f"_z{i}": _mixture(factor[i, : i + 1]) for i in range(k)})
+        scores = [F.col(f"_z{i}") for i in range(k)]
+    else:
+        several = F.array(*[F.col(f"_e{i}") for i in range(k)])
+        mixed = independent.withColumn("_z", mixing_by_array(factor)(several))
+        scores = [F.element_at("_z", i + 1) for i in range(k)]
+    uniforms = {f"_u{i}": normal_cdf(z) for i, z in enumerate(scores)}
+    return mixed.withColumns(uniforms).select(*rows.columns, *uniforms)
+
+
+def _mixture(weights: np.ndarray) -> Column:
+    terms = [F.col(f"_e{j}") * F.lit(float(w)) for j, w in enumerate(weights) if w != 0.0]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
+
+
+def mixing_by_array(factor: np.ndarray):
+    """The factor times an array column, for so many columns that k * k terms are no plan.
+
+    Terms are added in the order of the columns, so that a row's result does not depend on
+    the batch it comes in.
+    """
+
+    @F.pandas_udf("array<double>")
+    def mixed(normals: pd.Series) -> pd.Series:
+        draws_of_rows = np.vstack(normals.to_numpy())
+        total = np.zeros_like(draws_of_rows)
+        for j in range(len(factor)):
+            total += draws_of_rows[:, j : j + 1] * factor[:, j]
+        return pd.Series(list(total))
+
+    return mixed
 
 
 def _grid_value(m: Grid, u: Column) -> Column:

@@ -11,6 +11,7 @@ from claimweave.functions import draws
 from claimweave.functions.text import fit_width, rjust
 from claimweave.operators.parse import parse_fields
 from claimweave.sources.layout import fields_from_widths
+from claimweave.sources.storage import numbered_rows
 
 # Name, width and kind of the fields of a claim line, in order.
 CLAIM_FIELDS = (
@@ -82,7 +83,7 @@ def claim_lines(
 
 def generate_claims(spark: SparkSession, n: int = 50_000, seed: int = 0) -> DataFrame:
     """``n`` random claim lines (id, value); row i is the same for any n."""
-    return claim_lines(spark.range(n), ["id"], seed)
+    return claim_lines(numbered_rows(spark, n), ["id"], seed)
 
 
 def parse_claims(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

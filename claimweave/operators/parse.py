@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import dates, text
+from claimweave.functions.draws import key_hash
 from claimweave.functions.masking import mask_digits
 from claimweave.sources.layout import Field
 
@@ -38,8 +39,9 @@ def normalise_nulls(df: DataFrame) -> DataFrame:
 def mask_columns(df: DataFrame, columns: Sequence[str], key: Sequence[str], seed: int = 0) -> DataFrame:
     """Random digits of equal length in ``columns``, drawn by the row's ``key`` columns."""
     keys = [F.col(k) for k in key]
-    masked = {c: mask_digits(F.col(c), seed, c, keys) for c in columns}
-    return df.withColumns(masked)
+    hashed = df.withColumns({f"_hash_{c}": key_hash(seed, c, keys) for c in columns})
+    masked = hashed.withColumns({c: mask_digits(F.col(c), F.col(f"_hash_{c}")) for c in columns})
+    return masked.select(*df.columns)
 
 
 def sensitive_fields(fields: Sequence[Field]) -> list[str]:

@@ -30,7 +30,7 @@ from claimweave.sources.metadata import (
     latest_versions,
     override_kind,
 )
-from claimweave.sources.storage import spread
+from claimweave.sources.storage import numbered_rows, spread
 
 ORDER_WIDTHS = (
     ("o_orderkey", 10),
@@ -336,7 +336,7 @@ def copula_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 def copula_sample(spark: SparkSession, folder: str) -> DataFrame:
     items, model = price_model(spark, folder)
-    made = copula.sample(model, spark.range(items.count()), ["id"])
+    made = copula.sample(model, numbered_rows(spark, items.count()), ["id"])
     return made.select(
         "id", "l_quantity", F.round("l_extendedprice", 2).alias("l_extendedprice"),
         F.round("net", 4).alias("net"),

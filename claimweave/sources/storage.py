@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A task that makes rows makes at most so many, and few tasks make few rows.
+MOST_ROWS_PER_TASK = 1_000_000
+LEAST_ROWS_PER_TASK = 5_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a local session without one gets its own."""
@@ -32,6 +36,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(spark: SparkSession, n: int, name: str = "id") -> DataFrame:
+    """Rows 0 to n - 1 to make a table from, in tasks whose number grows with n."""
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(-(-n // MOST_ROWS_PER_TASK), min(cores, -(-n // LEAST_ROWS_PER_TASK)), 1)
+    return spark.range(0, n, 1, tasks).withColumnRenamed("id", name)
+
+
 # Tasks that an input of a few splits is spread over at most.
 MOST_SPREAD = 32
 

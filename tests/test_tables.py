@@ -273,13 +273,27 @@ def test_many_categories_stay_on_the_cluster(spark, monkeypatch):
     assert hot_level["count"] == df.filter("c = 'hot'").count()
 
 
-def test_scores_by_broadcast_equal_scores_by_literal(spark, monkeypatch):
-    df = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 40).alias("c"))
-    model = copula.fit(df, {"c": {"sdtype": "categorical"}})
-    by_literal = sorted(r[0] for r in copula.normal_scores(df, model.modelled)[0].collect())
-    monkeypatch.setattr(copula, "LITERAL_CATEGORIES", 1)
-    by_join = sorted(r[0] for r in copula.normal_scores(df, model.modelled)[0].collect())
-    assert by_literal == by_join and len(by_join) == 3000
+def test_category_scores_are_the_normal_places(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), F.col("id") % 200)).alias("c"),
+        F.lit(None).cast("string").alias("void"), F.lit("one").alias("one"),
+    )
+    model = copula.fit(df, {c: {"sdtype": "categorical"} for c in df.columns})
+    scores = [tuple(r) for r in copula.normal_scores(df, model.modelled)[0].collect()]
+    middles = [copula.normal_level(u) for u in model.marginals[0].middles()]
+    counts = dict(zip(middles, model.marginals[0].counts))
+    found = {z: sum(1 for s in scores if s[0] == z) for z in {s[0] for s in scores}}
+    assert found == counts and len(scores) == 4000
+    assert {s[1:] for s in scores} == {(0.0, 0.0)}
+
+
+def test_many_columns_mix_like_few(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    factor = np.linalg.cholesky(np.corrcoef(rng.normal(size=(6, 50))))
+    few = copula._uniform_columns(spark.range(500), [F.col("id")], factor, 0).collect()
+    monkeypatch.setattr(copula, "MOST_MIXED_BY_COLUMN", 2)
+    many = copula._uniform_columns(spark.range(500), [F.col("id")], factor, 0).collect()
+    assert np.allclose(sorted(map(tuple, few)), sorted(map(tuple, many)), atol=1e-12)
 
 
 def test_wide_tables_use_one_matrix(spark, monkeypatch):
