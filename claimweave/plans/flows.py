@@ -196,14 +196,14 @@ def synthesize_file(
     masked = sensitive_fields(sections.detail_fields) if mask is True else list(mask or ())
     real = mask_columns(sections.detail, masked, LINE_KEY, seed)
     real = written(real.sortWithinPartitions(*LINE_KEY), "detail")
-    write_delimited(real.drop(*LINE_KEY), f"{output}/dataframe_output_presdv.csv")
+    write_delimited(real.drop(*LINE_KEY), f"{output}/detail.csv")
 
     metadata = stored_or_detected(
         real.drop(*LINE_KEY), metadata_base, "data", use_same_metadata_version
     )
     model = fit(real.drop(*LINE_KEY), metadata, exact=exact)
     synthetic = written(sample(model, real, LINE_KEY, seed), "synthetic")
-    write_delimited(synthetic.drop(*LINE_KEY), f"{output}/synthetic_data.csv")
+    write_delimited(synthetic.drop(*LINE_KEY), f"{output}/synthetic.csv")
 
     text_path = f"{output}/files"
     pieces = output_sections(sections, header, synthetic, date_columns, amounts, overflow)

@@ -39,6 +39,10 @@ def write_delimited(
     )
 
 
+# Fixed value: ending of the output names of table jobs.
+RUN_ENDING = "_CTGAN_gen_synthetic.csv"
+
+
 def run_output_name(input_path: str, at: datetime) -> str:
     """Output path of one run on an input: its name, the time to seconds, a fixed ending."""
-    return f"{input_path}_{at:%Y%m%d%H%M%S}_CTGAN_gen_synthetic.csv"
+    return f"{input_path}_{at:%Y%m%d%H%M%S}{RUN_ENDING}"

@@ -8,6 +8,7 @@ from fixtures import (
     DATA_COLUMNS,
     DETAIL_CSV,
     HEADER_COLUMNS,
+    HEADER_NAMES,
     LINES,
     RENDERED,
     SYNTHETIC_ROWS,
@@ -43,10 +44,10 @@ def test_layout_offsets_and_sections(spark, folder):
     layout = read_layout(spark, write_layout(folder))
     detail = with_offsets(section_of(layout, "DE")).orderBy("ColID").collect()
     assert [(r["Column_Name"], r["Start"], r["Length"]) for r in detail] == [
-        ("Test1", 1, 2), ("Test2", 3, 1), ("Test3", 4, 1), ("net_amount_due", 5, 8), ("da", 13, 8),
+        ("kind", 1, 2), ("line", 3, 1), ("code", 4, 1), ("net_amount_due", 5, 8), ("paid_on", 13, 8),
     ]
     assert [f.start for f in fields_of(layout, "HDR")] == [1, 3, 5, 7]
-    assert [f.name for f in fields_of(layout, "DE") if f.sensitive] == ["Test3"]
+    assert [f.name for f in fields_of(layout, "DE") if f.sensitive] == ["code"]
 
 
 def test_layout_without_sections(spark, folder):
@@ -64,14 +65,14 @@ def test_bad_layouts_are_refused(widths):
 
 
 def test_parsed_detail_matches_golden(spark, folder):
-    sections = flows.read_positional(spark, write_sample(folder), write_layout(folder), ["da", "none"])
+    sections = flows.read_positional(spark, write_sample(folder), write_layout(folder), ["paid_on", "none"])
     out = f"{folder}/detail.csv"
     rows = sections.detail.orderBy("line_no").drop("file", "line_no").coalesce(1)
     write_delimited(rows, out)
     assert text_of(out) == DETAIL_CSV.encode()
     assert [r["line_no"] for r in sections.detail.orderBy("line_no").collect()] == [2, 3, 4, 6]
-    assert sections.header.drop("file").collect() == [(1, "PA", "22", "10", "94")]
-    assert sections.control.drop("file").collect() == [(5, "CD100OP9  333 RR LL LL")]
+    assert sections.header.drop("file").collect() == [(1, "PA", "35", "07", "16")]
+    assert sections.control.drop("file").collect() == [(5, "CD100AB7  512 XX YY ZZ")]
 
 
 def test_line_numbers_do_not_depend_on_splits(spark, folder):
@@ -117,16 +118,16 @@ def test_rendered_file_matches_golden(spark, folder):
     layout = read_layout(spark, write_layout(folder))
     detail = spark.createDataFrame(
         [(i, *row) for i, row in enumerate(SYNTHETIC_ROWS)],
-        "seq long, Test1 string, Test2 string, Test3 string, net_amount_due string, da string",
-    ).withColumn("da", F.col("da").cast("timestamp"))
-    header = spark.createDataFrame([("PA", "22", "10", "94")], [f"HTest{i}" for i in range(4)])
+        "seq long, kind string, line string, code string, net_amount_due string, paid_on string",
+    ).withColumn("paid_on", F.col("paid_on").cast("timestamp"))
+    header = spark.createDataFrame([("PA", "35", "07", "16")], HEADER_NAMES)
     control = spark.createDataFrame([(LINES[4].strip(),)], "CD_Record string")
     name, zero = F.lit("claims_syn.txt"), F.lit(0)
     sections = join_sections(
         section_lines(page_trailers(detail), "trailer", F.col("line"), name, zero),
         section_lines(control, "control", F.col("CD_Record"), name, zero),
         section_lines(
-            detail, "detail", render_line(fields_of(layout, "DE"), ["da"]), name, F.col("seq")
+            detail, "detail", render_line(fields_of(layout, "DE"), ["paid_on"]), name, F.col("seq")
         ),
         section_lines(header, "header", render_line(fields_of(layout, "HDR")), name, zero),
     )
@@ -166,20 +167,20 @@ def test_file_flow_end_to_end(spark, folder):
     base = write_metadata(folder, "header", HEADER_COLUMNS, 1)
     write_metadata(folder, "data", DATA_COLUMNS, 1)
     result = flows.synthesize_file(
-        spark, write_sample(folder), write_layout(folder), base, f"{folder}/out", ["da"]
+        spark, write_sample(folder), write_layout(folder), base, f"{folder}/out", ["paid_on"]
     )
     lines = text_of(f"{result.text_path}/file=claims_syn.txt").decode().splitlines()
-    assert lines[0] == "PA221094"
+    assert lines[0] == "PA350716"
     assert lines[-2:] == [
-        "CD100OP9  333 RR LL LL", "PT000000000400000000000A00000000000G00000000000D",
+        "CD100AB7  512 XX YY ZZ", "PT000000000400000000000A00000000000G00000000000D",
     ]
     assert len(lines) == 7 and all(len(x) == 20 for x in lines[1:5])
     header_quality = {r["property"]: r["score"] for r in result.header_scores[1].collect()}
     assert header_quality["Overall"] == 1.0
     diagnostic = {r["column"]: r["score"] for r in result.detail_scores[0].collect()}
     assert set(diagnostic.values()) - {None} == {1.0}
-    assert text_of(f"{folder}/out/dataframe_output_presdv.csv") == DETAIL_CSV.encode()
-    assert text_of(f"{folder}/out/synthetic_data.csv").decode().startswith("Test1,Test2,Test3,")
+    assert text_of(f"{folder}/out/detail.csv") == DETAIL_CSV.encode()
+    assert text_of(f"{folder}/out/synthetic.csv").decode().startswith("kind,line,code,")
 
 
 def test_file_flow_keeps_files_apart(spark, folder):
@@ -188,8 +189,8 @@ def test_file_flow_keeps_files_apart(spark, folder):
     write_sample(folder, "two.txt", ["PA222222", *["DE2B0000002J20010102"] * 5, "CD2"])
     write_sample(folder, "only.txt", ["PA333333"])
     result = flows.synthesize_file(
-        spark, f"{folder}/*.txt", layout, f"{folder}/m", f"{folder}/out", ["da"],
-        amounts="decode", mask=["Test3"], evaluate=False,
+        spark, f"{folder}/*.txt", layout, f"{folder}/m", f"{folder}/out", ["paid_on"],
+        amounts="decode", mask=["code"], evaluate=False,
     )
     one = text_of(f"{result.text_path}/file=one_syn.txt").decode().splitlines()
     two = text_of(f"{result.text_path}/file=two_syn.txt").decode().splitlines()

@@ -26,7 +26,7 @@ from claimweave.sources.metadata import (
 
 
 def test_metadata_versions(spark, folder):
-    base = write_metadata(folder, "data", {k: v for k, v in DATA_COLUMNS.items() if k != "da"}, 1)
+    base = write_metadata(folder, "data", {k: v for k, v in DATA_COLUMNS.items() if k != "paid_on"}, 1)
     write_metadata(folder, "data", DATA_COLUMNS, 2)
     write_metadata(folder, "data", DATA_COLUMNS, 4)
     write_metadata(folder, "late", DATA_COLUMNS, 2)
@@ -35,7 +35,7 @@ def test_metadata_versions(spark, folder):
     assert latest_metadata_version(spark, base, "none") is None
     assert read_metadata(spark, f"{base}_data_v2.json") == DATA_COLUMNS
     table = {r["column"]: r for r in read_metadata_table(spark, f"{base}_data_v2.json").collect()}
-    assert table["da"]["datetime_format"] == "%Y%m%d"
+    assert table["paid_on"]["datetime_format"] == "%Y%m%d"
     assert save_metadata(spark, base, "data", DATA_COLUMNS).endswith("_data_v3.json")
     assert latest_metadata_version(spark, base, "data") == 4
     assert save_metadata(spark, base, "new", DATA_COLUMNS).endswith("_new_v1.json")
