@@ -3,18 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimweave.llm import minhash, mixing, quality_rules
+from claimweave.llm import decontaminate, minhash, mixing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n: tells learning and held-out documents apart."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn=_remainder(5) != 0)
+    return toxicity.score(docs, index).select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted", "neighbours")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "similarity", "distance", "start", "n_words")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept")
@@ -24,4 +42,4 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_minhash_dedup, op7_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality_rules, op5_decontaminate, op6_minhash_dedup, op7_mix_sources)}
