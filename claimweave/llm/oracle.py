@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_SEPARATED = "regexp_matches(host || path, '(^|[^A-Za-z0-9]){}([^A-Za-z0-9]|$)')"
+_PATTERNS = ("ads-track", "spam-farm", "casino", "adult", "pills", "bets", "porn", "spam", "xxx")
+_UNDER = "((host = '{0}' OR host LIKE '%.{0}') AND path LIKE '{1}%')"
+# Longest first; no two of one length fit one URL.
+_RULES = (("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block"))
+
+
+def _cases(column: str) -> str:
+    return " ".join(f"WHEN {_UNDER.format(h, p)} THEN '{h + p if column == 'rule' else v}'" for h, p, v in _RULES)
+
+
+URL_FILTER = f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+located AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+judged AS (
+  SELECT *, CASE {_cases('rule')} END AS rule,
+    CASE {' '.join(f"WHEN {_SEPARATED.format(p)} THEN '^{p}^'" for p in _PATTERNS)} END AS pattern FROM located)
+SELECT page_id, host, path, rule,
+  CASE {_cases('verdict')} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
+FROM judged
+"""
+
+# Five hexadecimal digits at a time are four of base 32.
+WARC = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM hashed),
+digits AS (
+  SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, (i + 1)::INT, 1)) - 1) AS d FROM firsts),
+numbers AS (
+  SELECT *, list_transform(range(8), lambda i: d[5*i+1] * 65536 + d[5*i+2] * 4096 + d[5*i+3] * 256 + d[5*i+4] * 16 + d[5*i+5])
+    AS n FROM digits)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n[i // 4 + 1] >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), 'string_agg', '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM numbers
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": URL_FILTER, "op9_warc": WARC}
