@@ -8,7 +8,9 @@ joint part of the model. Sampling draws correlated normals by row key and goes t
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import draws
@@ -45,6 +47,8 @@ LEAST_EIGENVALUE = 1e-9
 MOST_CORR_COLUMNS = 12
 # Above this number of columns the k * k terms of a draw are added up on Arrow batches.
 MOST_MIXED_BY_COLUMN = 30
+# Places of a fresh id that are drawn, by base, so that they fit 64 bits; more are filled with zeros.
+MOST_ID_PLACES = {10: 18, 36: 12}
 DAY_MICROS, SECOND_MICROS = 86400e6, 1e6
 MOST_DECIMALS = 6
 
@@ -124,11 +128,22 @@ class Identifier:
 
     column: str
     data_type: str
+    # Of texts: what all begin with, the width of the rest, and its letters (base 10 or 36).
+    prefix: str = ""
+    width: int = 0
+    base: int = 10
+    lower: bool = False
 
     @property
     def columns(self) -> list[str]:
         return [self.column]
 
+    def capacity(self) -> int:
+        """Number of different values of this form."""
+        if self.data_type == "string":
+            return self.base ** min(self.width, MOST_ID_PLACES[self.base])
+        return 10 ** self.width
+
 
 Marginal = Grid | Shares | SharesTable | Identifier
 
@@ -207,7 +222,7 @@ def fit(
     units.update({"+".join(group): group for group in combined})
     shares = _fit_shares(df, units)
     by_first = {m.columns[0]: m for m in [*numbers.values(), *shares.values()]}
-    by_first.update({c: Identifier(c, types[c]) for c in ids})
+    by_first.update(_fit_ids(df, ids))
     # A table without rows gives nulls.
     modelled_columns = {c for m in by_first.values() for c in m.columns}
     by_first.update(
@@ -219,6 +234,44 @@ def fit(
     return CopulaModel(wanted, marginals, correlations(scores, names), text_dates)
 
 
+def _fit_ids(df: DataFrame, columns: Sequence[str]) -> dict[str, Marginal]:
+    """Type, width and letters of id columns, from one aggregation."""
+    if not columns:
+        return {}
+    types = dict(df.dtypes)
+    row = df.agg(*[
+        F.struct(
+            F.min(F.col(c).cast("string")).alias("first"),
+            F.max(F.col(c).cast("string")).alias("last"),
+            F.max(F.length(F.col(c).cast("string"))).alias("width"),
+            F.max(F.col(c).rlike("[A-Z]") if types[c] == "string" else F.lit(False)).alias("upper"),
+            F.max(F.abs(F.col(c)).cast("decimal(38,0)") if types[c] != "string" else F.lit(None)).alias("most"),
+        ).alias(f"id{i}")
+        for i, c in enumerate(columns)
+    ]).first()
+    result: dict[str, Marginal] = {}
+    letters = {}
+    for i, c in enumerate(columns):
+        r = row[f"id{i}"]
+        if types[c] != "string":
+            # As many digits as the greatest has, less one where that would leave the type.
+            digits = len(str(r["most"] or 0))
+            limit = {"tinyint": 2, "smallint": 4, "int": 9, "bigint": 18}.get(types[c], 18)
+            result[c] = Identifier(c, types[c], width=min(digits, limit))
+            continue
+        first, last = r["first"] or "", r["last"] or ""
+        shared = next((k for k, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+        letters[c] = (first[:shared], (r["width"] or 0) - shared, not r["upper"])
+    if letters:
+        rests = df.agg(*[
+            F.max(F.substring(F.col(c), F.lit(len(p) + 1), F.length(c)).rlike("[^0-9]")).alias(f"r{i}")
+            for i, (c, (p, _, _)) in enumerate(letters.items())
+        ]).first()
+        for i, (c, (prefix, width, lower)) in enumerate(letters.items()):
+            result[c] = Identifier(c, "string", prefix, width, 36 if rests[f"r{i}"] else 10, lower)
+    return result
+
+
 def _fit_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
     """Grids of the columns with more distinct values than steps, shares of the others."""
     if not columns:
@@ -250,11 +303,12 @@ def _fit_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str,
     if many:
         ranked = ranks.running_counts(counted.filter(F.col("column").isin(many)), ["n"])
         grid = ranks.quantiles_of_ranked(ranked, steps).collect()  # columns x (steps + 1)
+        tried = counted.groupBy("column").agg(*_unit_tests(F.col("value"))).collect()
+        units = {r["column"]: value_unit(r, types[r["column"]]) for r in tried}
         for c in many:
             mine = sorted((r["idx"], r["quantile"], r["lower"]) for r in grid if r["column"] == c)
             null_share = stats[c]["nulls"] / stats[c]["total"]
-            unit = value_unit([low for _, _, low in mine], types[c])
-            result[c] = Grid(c, types[c], null_share, [q for _, q, _ in mine], unit)
+            result[c] = Grid(c, types[c], null_share, [q for _, q, _ in mine], units[c])
     return result
 
 
@@ -270,6 +324,7 @@ def _sketch_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[s
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[distinct_estimate(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
         *[F.percentile_approx(c, places, 10 * steps).alias(f"q{i}") for i, c in enumerate(columns)],
+        *[F.struct(*_unit_tests(F.col(c))).alias(f"t{i}") for i, c in enumerate(columns)],
     ).first()
     result: dict[str, Marginal] = {}
     few = [c for i, c in enumerate(columns) if row[f"d{i}"] <= steps]
@@ -277,21 +332,25 @@ def _sketch_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[s
         if c not in few:
             points = list(row[f"q{i}"])
             null_share = 1.0 - row[f"n{i}"] / row["n"]
-            result[c] = Grid(c, types[c], null_share, points, value_unit(points, types[c]))
+            result[c] = Grid(c, types[c], null_share, points, value_unit(row[f"t{i}"], types[c]))
     return {**result, **_fit_numbers(df, few, 2 * steps)}
 
 
-def value_unit(values: Sequence[float], data_type: str) -> float:
-    """Largest usual unit all values are multiples of: a day, a second, 1, 0.1, 0.01 ..."""
-    if data_type in DATE_TYPES:
-        for unit in (DAY_MICROS, SECOND_MICROS):
-            if all(v % unit == 0 for v in values):
-                return unit
-        return 1.0
+def _unit_tests(value: Column) -> list[Column]:
+    """Whether all values of a column are multiples of a day, a second, 1, 0.1, 0.01 ..."""
+    tests = {"day": value % DAY_MICROS == 0, "second": value % SECOND_MICROS == 0}
     for places in range(MOST_DECIMALS + 1):
-        if all(math.isclose(v, round(v, places), rel_tol=1e-12, abs_tol=1e-12) for v in values):
-            return 10.0**-places
-    return 0.0
+        off = F.abs(value - F.round(value, places))
+        tests[f"p{places}"] = off <= F.greatest(F.abs(value), F.lit(1.0)) * 1e-12
+    return [F.coalesce(F.min(t), F.lit(True)).alias(name) for name, t in tests.items()]
+
+
+def value_unit(tested: Row, data_type: str) -> float:
+    """Largest usual unit that all values are multiples of; 0 if there is none."""
+    if data_type in DATE_TYPES:
+        return DAY_MICROS if tested["day"] else SECOND_MICROS if tested["second"] else 1.0
+    places = (p for p in range(MOST_DECIMALS + 1) if tested[f"p{p}"])
+    return next((10.0**-p for p in places), 0.0)
 
 
 def unit_key(columns: Sequence[str]) -> Column:
@@ -333,7 +392,7 @@ def _fit_shares(df: DataFrame, units: dict[str, list[str]]) -> dict[str, Margina
                 name,
                 cols,
                 data_types,
-                hashed_running_counts(table),
+                sorted_running_counts(table),
                 total,
                 distinct,
                 [r["value"] for r in hot.select("value").collect()],
@@ -341,16 +400,26 @@ def _fit_shares(df: DataFrame, units: dict[str, list[str]]) -> dict[str, Margina
     return result
 
 
-def hashed_running_counts(table: DataFrame) -> DataFrame:
-    """(value, n) -> (value, n, before): counts summed up in hash order.
+def shares_table(spark: SparkSession, m: Shares | SharesTable) -> DataFrame:
+    """(value, n, before) of a categorical marginal, wherever it is kept."""
+    if isinstance(m, SharesTable):
+        return m.table
+    before = itertools.accumulate(m.counts[:-1], initial=0)
+    return spark.createDataFrame(list(zip(m.values, m.counts, before)), "value string, n long, before long")
+
 
-    Values are spread over 4096 ranges of their hash, each of about distinct / 4096 values;
-    the range totals are summed up and joined back, so no window spans the table.
+def sorted_running_counts(table: DataFrame) -> DataFrame:
+    """(value, n) -> (value, n, before): counts summed up in the order of the texts, null first.
+
+    That is the order of collected categories too, so the model does not depend on where they
+    are kept. Ranges of values are cut by sampling and written with their number; the range totals
+    are summed up and joined back, so no window spans the table.
     """
-    digest = F.md5(F.coalesce(F.concat(F.lit("="), F.col("value")), F.lit("")))
-    ranged = table.withColumn("range_no", F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"))
+    ranges = ranks.range_count(table.sparkSession)
+    ordered = table.repartitionByRange(ranges, F.col("value").asc_nulls_first())
+    ranged = written(ordered.withColumn("range_no", F.spark_partition_id()), "ranges")
     lower = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 4096 rows.
+    # One row per range.
     starts = (
         ranged.groupBy("range_no")
         .agg(F.sum("n").alias("in_range"))
@@ -358,14 +427,15 @@ def hashed_running_counts(table: DataFrame) -> DataFrame:
     )
     inside = (
         Window.partitionBy("range_no")
-        .orderBy(F.md5(F.coalesce(F.concat(F.lit("="), F.col("value")), F.lit(""))), "value")
+        .orderBy(F.col("value").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return ranged.join(F.broadcast(starts), "range_no").select(
+    counted = ranged.join(F.broadcast(starts), "range_no").select(
         "value",
         "n",
         (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"),
     )
+    return written(counted, "running_counts")
 
 
 def normal_scores(df: DataFrame, marginals: Sequence[Marginal]) -> tuple[DataFrame, list[str]]:
@@ -457,7 +527,8 @@ def _table_scores(df: DataFrame, name: str, m: SharesTable) -> DataFrame:
         return F.coalesce(value.isin(texts) if texts else F.lit(False), F.lit(False)) | null_hot
 
     none = F.lit(0).cast("bigint")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(HOT_SALTS))
+    # By the place of the row: equal rows, which a hot value has many of, get different salts.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS))
     rows = df.withColumn("_key", unit_key(m.columns))
     rows = rows.withColumn("_salt", F.when(is_hot(F.col("_key")), salt).otherwise(none))
     salts = F.when(
@@ -476,7 +547,7 @@ def correlations(scores: DataFrame, names: Sequence[str]) -> np.ndarray:
     """Pearson correlations of the score columns; 0 where a column is constant."""
     k = len(names)
     matrix = np.eye(k)
-    if k < 2:
+    if k < 2 or scores.limit(2).count() < 2:
         return matrix
     if k <= MOST_CORR_COLUMNS:
         pairs = list(combinations(range(k), 2))
@@ -511,6 +582,8 @@ def sample(model: CopulaModel, rows: DataFrame, key: Sequence[str], seed: int =
     keys = [F.col(k) for k in key]
     modelled = model.modelled
     result = rows.select(*key)
+    if any(isinstance(m, Identifier) for m in model.marginals):
+        result = numbered(result, "_number")
     if modelled:
         result = _uniform_columns(result, keys, model.factor(), seed)
     shares = [(i, m) for i, m in enumerate(modelled) if isinstance(m, Shares)]
@@ -536,9 +609,8 @@ def sample(model: CopulaModel, rows: DataFrame, key: Sequence[str], seed: int =
         else:
             result = draw_from_table(result, f"_u{i}", m, f"_v{i}")
             columns.update(_restored(m, F.col(f"_v{i}")))
-    for m in model.marginals:
-        if isinstance(m, Identifier):
-            columns[m.column] = _fresh_id(m, keys, seed)
+    ids = [m for m in model.marginals if isinstance(m, Identifier)]
+    columns.update({m.column: _fresh_id(m, F.col("_number"), seed) for m in ids})
     for c, strftime in model.text_dates.items():
         columns[c] = F.date_format(columns[c], spark_pattern(strftime))
     return result.select(*key, *[columns[c].alias(c) for c in model.column_order])
@@ -622,9 +694,40 @@ def _restored(m: Shares | SharesTable, value: Column) -> dict[str, Column]:
     }
 
 
-def _fresh_id(m: Identifier, keys: list[Column], seed: int) -> Column:
-    digest = draws.key_hash(seed, f"id {m.column}", keys)
-    return digest if m.data_type == "string" else draws.hex_number(digest, 1, 15).try_cast(m.data_type)
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a number from 0 to n - 1: the place in the partition after the rows before it.
+
+    ``rows`` must be a table on storage or made by number, as its partitions are counted first.
+    """
+    placed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    shifts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).select(
+        "_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_id") + F.col("_shift")).drop(
+        "_id", "_part", "_shift")
+
+
+def _fresh_id(m: Identifier, number: Column, seed: int) -> Column:
+    """A value of the column's form, another one for each row number below the capacity.
+
+    Numbers are permuted by ``(a * number + b) mod capacity`` with a and the capacity coprime.
+    Rows beyond the capacity (more rows than values of this form) stop the job.
+    """
+    capacity = m.capacity()
+    drawn = random.Random(f"{seed}|{m.column}")
+    factor = next(a for a in iter(lambda: drawn.randrange(capacity // 3, capacity) | 1, None)
+                  if math.gcd(a, capacity) == 1) if capacity > 10 else 1
+    wide = "decimal(38,0)"
+    place = F.pmod(number.cast(wide) * F.lit(factor).cast(wide) + F.lit(drawn.randrange(capacity)).cast(wide),
+                   F.lit(capacity).cast(wide)).cast("bigint")
+    message = F.lit(f"more rows than values of the form of column {m.column}")
+    place = F.when(number < F.lit(capacity), place).otherwise(F.raise_error(message).cast("bigint"))
+    if m.data_type != "string":
+        return place.cast(m.data_type)
+    text = F.conv(place.cast("string"), 10, m.base)
+    rest = F.lpad(F.lower(text) if m.lower else text, m.width, "0")
+    return F.concat(F.lit(m.prefix), rest) if m.width else F.lit(m.prefix)
 
 
 def draw_from_table(rows: DataFrame, u: str, m: SharesTable, name: str) -> DataFrame:

@@ -16,8 +16,9 @@ INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint")
 
 # Integers with at most this many distinct values are codes rather than quantities.
 MOST_CODES = 10
-# Share of distinct values from which a sketched count is taken as "all distinct".
-SKETCH_UNIQUE = 0.95
+# Sketched share of distinct values from which a column's values are counted exactly; far enough
+# below 1 that no column without repeats is missed.
+SHORTLIST_SHARE = 0.9
 
 
 def non_null_counts(df: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def column_kinds(
 
     Dates and texts that all parse as dates are ``datetime``; whole numbers and texts without
     repeats are ``id``; other numbers are ``numerical`` unless they are a few integer codes;
-    the rest is ``categorical``. Distinct values are sketched in the one pass over the
-    table, or counted exactly by grouping on the values.
+    the rest is ``categorical``. Whether a column has repeats is always known exactly: a sketch in
+    the one pass over the table only tells which columns are worth grouping by their values.
+    ``exact`` gives exact numbers of distinct values for all columns too.
     """
     types = dict(df.dtypes)
     no_sketch = F.lit(0).cast("bigint")
@@ -61,17 +63,21 @@ def column_kinds(
     ).unpivot([], df.columns, "column", "stat")
     stats = stats.select("column", "stat.*")
     if exact:
-        texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-        values = texts.unpivot([], df.columns, "column", "value").groupBy("column", "value").count()
-        distinct = values.groupBy("column").agg(F.count("value").alias("n_distinct"))
-        stats = stats.drop("n_distinct").join(F.broadcast(distinct), "column")
+        counted = list(df.columns)
+    else:
+        stats = df.sparkSession.createDataFrame(stats.collect(), stats.schema)  # one row per column
+        near = (F.col("non_null") > 1) & (F.col("n_distinct") >= F.col("non_null") * F.lit(SHORTLIST_SHARE))
+        could = F.col("data_type").isin("string", *INTEGER_TYPES)
+        counted = [r["column"] for r in stats.filter(near & could).collect()]
+    stats = stats.withColumnRenamed("n_distinct", "sketched").join(
+        F.broadcast(_distinct_counts(df, counted)), "column", "left"
+    ).withColumn("n_distinct", F.coalesce("exactly", "sketched"))
 
     dtype, non_null, n_distinct = F.col("data_type"), F.col("non_null"), F.col("n_distinct")
     integer = dtype.isin(*INTEGER_TYPES)
     number = integer | dtype.isin("float", "double") | dtype.startswith("decimal")
     text_date = (dtype == "string") & (non_null > 0) & (F.col("n_dates") == non_null)
-    least = non_null if exact else non_null * F.lit(SKETCH_UNIQUE)
-    unique = (non_null > 1) & (n_distinct >= least)
+    unique = (non_null > 1) & (F.col("exactly") == non_null)
     kind = (
         F.when(dtype.isin(*DATE_TYPES) | text_date, F.lit(DATETIME))
         .when((integer | (dtype == "string")) & unique, F.lit(ID))
@@ -85,6 +91,21 @@ def column_kinds(
     )
 
 
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, exactly): distinct non-null values, each column grouped by its own type."""
+    parts = [
+        df.select(F.col(c).alias("value")).filter("value IS NOT NULL").distinct().agg(
+            F.count(F.lit(1)).alias("exactly")).select(F.lit(c).alias("column"), "exactly")
+        for c in columns
+    ]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, exactly long")
+    counts = parts[0]
+    for p in parts[1:]:
+        counts = counts.unionByName(p)
+    return counts
+
+
 def _strftime(pattern: str) -> str:
     for code, letters in STRFTIME_TO_SPARK.items():
         pattern = pattern.replace(letters, code)

@@ -70,7 +70,9 @@ def join_sections(*sections: DataFrame) -> DataFrame:
 
 
 def write_sections(sections: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Text parts in file order, below ``file=<name>`` for each file.
+    """Text parts in file order, below ``file=<output path>`` for each file.
+
+    Slashes of the path are written as %2F, as in all names of partitions.
 
     Rows are range partitioned by their whole position, so a file larger than the others is
     spread over as many tasks as its share; parts concatenate in name order to the file.
@@ -91,13 +93,44 @@ def write_sections(sections: DataFrame, path: str, partitions: int | None = None
 
 
 def synthetic_name(input_path: str) -> str:
-    """Name of the output for an input: its stem with ``_syn.txt``."""
-    stem = input_path.rsplit("/", 1)[-1]
-    stem = stem.rsplit(".", 1)[0] if "." in stem.lstrip(".") else stem
-    return f"{stem}_syn.txt"
+    """Path of the output for an input path: its ``.txt`` ending becomes ``_syn.txt``.
+
+    Inputs with other endings keep them before it, and those without any get ``_syn``, so
+    that different inputs have different outputs.
+    """
+    folder, slash, name = input_path.rpartition("/")
+    if name.endswith(".txt") and len(name) > 4:
+        name = f"{name[:-4]}_syn.txt"
+    else:
+        name = f"{name}_syn.txt" if "." in name.lstrip(".") else f"{name}_syn"
+    return f"{folder}{slash}{name}"
 
 
 def synthetic_name_column(path: Column) -> Column:
     """As ``synthetic_name``, for a column of paths."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.concat(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit("_syn.txt"))
+    return (
+        F.when(path.rlike(r"[^/]\.txt$"), F.regexp_replace(path, r"\.txt$", "_syn.txt"))
+        .when(path.rlike(r"[^/.][^/]*\.[^/]*$"), F.concat(path, F.lit("_syn.txt")))
+        .otherwise(F.concat(path, F.lit("_syn")))
+    )
+
+
+def decoded_path(file: Column) -> Column:
+    """Path of a file as on storage; scans name files in URL form, with %20 for a blank."""
+    return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+
+
+def common_folder(first: str, last: str) -> str:
+    """Folder that holds all paths between the least and the greatest of them."""
+    shared = len(first) if first == last else next(
+        (i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+    return first[: first.rfind("/", 0, shared) + 1]
+
+
+def relative_outputs(files: DataFrame) -> DataFrame:
+    """(file, output): the output path of each input file, below the folder that all share."""
+    paths = files.select("file", decoded_path(F.col("file")).alias("path"))
+    ends = paths.agg(F.min("path").alias("first"), F.max("path").alias("last")).first()
+    start = len(common_folder(ends["first"] or "", ends["last"] or ""))
+    relative = F.substring(F.col("path"), start + 1, F.length("path"))
+    return paths.select("file", synthetic_name_column(relative).alias("output"))

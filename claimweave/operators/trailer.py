@@ -17,8 +17,9 @@ AMOUNT_COLUMNS = ("net_amount_due", "gross_amount_due", "patient_pay_amount")
 
 ZERO = "zero"
 DECODE = "decode"
-# Sums of this type are exact, so totals do not depend on the order of the rows.
-SUM_TYPE = "decimal(28,4)"
+# Sums of this type are exact, so totals do not depend on the order of the rows. It holds
+# amounts and totals of 34 digits before the point; a total beyond stops the job.
+SUM_TYPE = "decimal(38,4)"
 
 
 def trailer_line(count: Column, net: Column, gross: Column, patient: Column) -> Column:

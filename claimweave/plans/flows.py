@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.operators import compare
@@ -21,7 +21,7 @@ from claimweave.operators.render import (
     join_sections,
     render_line,
     section_lines,
-    synthetic_name_column,
+    relative_outputs,
     write_sections,
 )
 from claimweave.operators.trailer import ZERO, page_trailers, trailer_line
@@ -38,6 +38,7 @@ from claimweave.sources.metadata import (
 from claimweave.sources.storage import written
 
 LINE_KEY = ["file", "line_no"]
+HEAD_ROWS = 5
 
 
 @dataclass(frozen=True)
@@ -121,15 +122,8 @@ def stored_or_detected(
 
 
 def synthesize_headers(headers: DataFrame, metadata: Metadata, seed: int) -> DataFrame:
-    """A synthetic header for each file.
-
-    A single header is fitted and sampled like any table, which gives its values back, as
-    every column is constant. With several files each header is its own table of one row, so
-    the same result is the header itself.
-    """
-    if headers.limit(2).count() == 1:
-        return sample(fit(headers.drop(*LINE_KEY), metadata), headers, LINE_KEY, seed)
-    return headers.select(*LINE_KEY, *[c for c in headers.columns if c in metadata])
+    """A synthetic header for each file, from the table of all headers."""
+    return sample(fit(headers.drop(*LINE_KEY), metadata), headers, LINE_KEY, seed)
 
 
 def output_sections(
@@ -140,18 +134,21 @@ def output_sections(
     amounts: str = ZERO,
     overflow: str = KEEP,
 ) -> DataFrame:
-    """(file, section_no, seq, line) of the output files: header, detail, control, trailer."""
-    out = synthetic_name_column(F.col("file"))
+    """(file, section_no, seq, line) of the output files, one per input: header, detail, control, trailer."""
+    outputs = relative_outputs(sections.files)
     no_rows = trailer_line(*[F.lit(0)] * 4)
     trailers = sections.files.join(page_trailers(detail, ["file"], amounts), "file", "left")
-    return join_sections(
-        section_lines(header, "header", render_line(sections.header_fields, (), overflow), out, F.col("line_no")),
+    file, place = F.col("file"), F.col("line_no")
+    pieces = join_sections(
+        section_lines(header, "header", render_line(sections.header_fields, (), overflow), file, place),
         section_lines(
-            detail, "detail", render_line(sections.detail_fields, date_columns, overflow), out, F.col("line_no")
+            detail, "detail", render_line(sections.detail_fields, date_columns, overflow), file, place
         ),
-        section_lines(sections.control, "control", F.col("CD_Record"), out, F.col("line_no")),
-        section_lines(trailers, "trailer", F.coalesce("line", no_rows), out, F.lit(0)),
+        section_lines(sections.control, "control", F.col("CD_Record"), file, place),
+        section_lines(trailers, "trailer", F.coalesce("line", no_rows), file, F.lit(0)),
     )
+    named = pieces.join(outputs, "file")
+    return named.select(F.col("output").alias("file"), "section_no", "seq", "line")
 
 
 def synthesize_file(
@@ -235,6 +232,9 @@ class TableSynthesis:
     counts: DataFrame
     synthetic: DataFrame
     output_path: str | None
+    # First rows of the real and of the synthetic table.
+    real_head: list[Row]
+    synthetic_head: list[Row]
     diagnostic: DataFrame | None = None
     quality: DataFrame | None = None
     shapes: DataFrame | None = None
@@ -256,15 +256,17 @@ def synthesize_table(
     metadata = detect_metadata(real)
     made = synthesize_with_combinations(spark, real, metadata, fixed, n, seed)
     synthetic = written(made, "synthetic")
+    heads = real.head(HEAD_ROWS), synthetic.head(HEAD_ROWS)
     output_path = run_output_name(path, at or datetime.now()) if export else None
     if output_path:
         write_delimited(synthetic, output_path)
     if not diagnose:
-        return TableSynthesis(non_null_counts(real), synthetic, output_path)
+        return TableSynthesis(non_null_counts(real), synthetic, output_path, *heads)
     return TableSynthesis(
         non_null_counts(real),
         synthetic,
         output_path,
+        *heads,
         *evaluate_tables(real, synthetic, metadata),
         compare.column_shapes(real, synthetic, metadata),
     )

@@ -5,8 +5,21 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from claimweave.functions import normal
-from claimweave.functions.amounts import DIGITS, NEGATIVE_SIGNS, POSITIVE_SIGNS
-from claimweave.operators.generate import CLAIM_FIELDS, DATE_SPAN_DAYS, FIRST_DATE
+
+# Fixed values, stated once more so that a wrong table in the library shows: sign characters in the
+# order of the digits, fields of a claim line, and the span of dates.
+NEGATIVE_SIGNS = "}ABCDEFGHI"
+POSITIVE_SIGNS = "{JKLMNOPQR"
+DIGITS = "0123456789"
+CLAIM_FIELDS = (
+    ("claim_number", 10, "string"), ("patient_id", 8, "string"), ("provider_id", 6, "string"),
+    ("service_date", 10, "date"), ("admission_date", 10, "date"), ("diagnosis_code", 7, "string"),
+    ("procedure_code", 5, "string"), ("amount_due", 10, "amount"), ("claim_status", 1, "string"),
+    ("payer_id", 6, "string"), ("date_of_birth", 10, "date"), ("discharge_date", 10, "date"),
+    ("net_amount_due", 10, "amount"), ("social_security_number", 9, "ssn"),
+    ("credit_card_number", 16, "credit_card"), ("phone_number", 10, "phone"),
+)
+FIRST_DATE, DATE_SPAN_DAYS = "2000-01-01", 8765
 
 STEPS = 100
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,7 +138,7 @@ def parse_lines() -> str:
 ROUTE = f"""WITH {FILE_LINES},
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY file ORDER BY part, seq) AS line_no FROM file_lines)
-SELECT file, part, seq,
+SELECT file, line_no,
   CASE WHEN value LIKE 'CD%' THEN 'control' WHEN line_no = 1 THEN 'header' ELSE 'detail' END AS section,
   CASE WHEN value LIKE 'CD%' THEN trim(value, ' ' || chr(9)) ELSE value END AS record
 FROM numbered"""
@@ -570,6 +583,36 @@ FROM placed GROUP BY p_brand"""
 HEAD = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
 ORDER BY ALL LIMIT 10"""
 
+# ---------------------------------------------------------------- written and read again
+
+LAYOUT_FILE = f"""SELECT Column_Name, Length, Type, Start, TRUE AS unnumbered FROM ({layout_offsets()})"""
+
+CUSTOMERS = """SELECT c_custkey, c_name, c_acctbal, 'int' AS c_custkey_type, 'double' AS c_acctbal_type
+FROM customer"""
+
+STORED_METADATA = f"""WITH kinds AS ({kinds("part")})
+SELECT 'first' AS step, "column", kind AS sdtype FROM kinds
+UNION ALL SELECT 'latest', 'p_size', 'categorical'"""
+
+GENERATED_FILE = (
+    "WITH ids AS (SELECT unnest(range((SELECT count(*) FROM orders))) AS id), made AS (SELECT "
+    + ", ".join(f"trim({claim_value(name, width, kind, 'id')}) AS {name}" for name, width, kind in CLAIM_FIELDS)
+    + " FROM ids) SELECT * FROM made"
+)
+
+FRESH_IDS = """SELECT 'c_custkey' AS "column", count(*) AS n, count(*) AS n_distinct,
+  max(length(CAST(c_custkey AS VARCHAR))) AS width, '' AS prefix FROM customer
+UNION ALL SELECT 'c_name', count(*), count(*), max(length(c_name)), 'Customer#' FROM customer"""
+
+HEADERS = """SELECT DISTINCT o_orderstatus AS file, 1 AS line_no, 'PA' AS mark, 10 AS width FROM orders"""
+
+CATEGORIES = """WITH codes AS (
+  SELECT CASE WHEN o_orderkey % 12000 <> 7 THEN 'k' || CAST(o_orderkey % 12000 AS VARCHAR) END AS value FROM orders),
+counts AS (SELECT value, count(*) AS n FROM codes GROUP BY value)
+SELECT value, n, coalesce(sum(n) OVER (ORDER BY value NULLS FIRST
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts"""
+
+
 ORACLE = {
     "q01_layout_offsets": layout_offsets(),
     "q02_render_lines": f"WITH {ORDER_LINES} SELECT o_orderkey, value AS line FROM order_lines",
@@ -620,4 +663,12 @@ ORACLE = {
     "q28_amount_values": AMOUNT_VALUES,
     "q29_quality_report": QUALITY,
     "q30_parsed_trailers": PARSED_TRAILERS,
+    "q31_layout_file": LAYOUT_FILE,
+    "q32_written_sections": f"SELECT file, line FROM ({CLAIM_FILE})",
+    "q33_delimited_roundtrip": CUSTOMERS,
+    "q34_stored_metadata": STORED_METADATA,
+    "q35_generated_file": GENERATED_FILE,
+    "q36_fresh_ids": FRESH_IDS,
+    "q37_header_synthesis": HEADERS,
+    "q38_category_marginal": CATEGORIES,
 }

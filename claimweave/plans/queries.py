@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +20,26 @@ from claimweave.operators.generate import (
 )
 from claimweave.operators.parse import head, mask_columns, normalise_nulls, parse_fields
 from claimweave.operators.profile import column_kinds, non_null_counts
-from claimweave.operators.render import control_line, join_sections, render_line, section_lines
+from claimweave.operators.render import control_line, join_sections, render_line, section_lines, write_sections
 from claimweave.operators.trailer import DECODE, ZERO, decode_totals, page_trailers
-from claimweave.sources.layout import fields_from_widths, with_offsets
-from claimweave.sources.lines import CONTROL, first_in_file, route
+from claimweave.plans.flows import LINE_KEY, generate_file, stored_or_detected, synthesize_headers
+from claimweave.sources.delimited import read_delimited, write_delimited
+from claimweave.sources.layout import ROW, fields_from_widths, with_offsets
+from claimweave.sources.layout import read_layout
+from claimweave.sources.lines import CONTROL, HEADER, read_lines, route
 from claimweave.sources.metadata import (
     CATEGORICAL,
     DATETIME,
+    ID,
     NUMERICAL,
+    latest_metadata_version,
     latest_versions,
+    metadata_path,
     override_kind,
+    read_metadata_table,
+    save_metadata,
 )
-from claimweave.sources.storage import numbered_rows, spread
+from claimweave.sources.storage import numbered_rows, shared_folder, spread, written
 
 ORDER_WIDTHS = (
     ("o_orderkey", 10),
@@ -41,7 +50,6 @@ ORDER_WIDTHS = (
     ("o_orderpriority", 15),
 )
 ORDER_FIELDS = fields_from_widths(ORDER_WIDTHS)
-MOST_STATUSES = 100  # order statuses are one-letter codes
 GRID_STEPS = 100
 
 
@@ -105,13 +113,14 @@ def layout_offsets(spark: SparkSession, folder: str) -> DataFrame:
         parts.append(
             widths.unpivot([], df.columns, "Column_Name", "Length").select(
                 order[F.col("Column_Name")].alias("ColID"),
+                order[F.col("Column_Name")].cast("bigint").alias(ROW),
                 "Column_Name",
                 F.col("Length").cast("int").alias("Length"),
                 F.lit(section).alias("Type"),
             )
         )
         first_id += len(df.columns)
-    return with_offsets(parts[0].unionByName(parts[1]))
+    return with_offsets(parts[0].unionByName(parts[1])).drop(ROW)
 
 
 def render_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,11 +152,98 @@ def raw_file_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def order_files(spark: SparkSession, folder: str) -> str:
+    """Text files of ``raw_file_lines``, one per order status, as the jobs get them."""
+    path = new_path(spark, "orders")
+    lines = raw_file_lines(spark, folder).repartition("file").sortWithinPartitions("file", "part", "seq")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return f"{path}/file=*/*.txt"
+
+
+def status_of(file: Column) -> Column:
+    return F.regexp_extract(file, "file=([^/]*)/", 1)
+
+
 def route_records(spark: SparkSession, folder: str) -> DataFrame:
-    lines = first_in_file(raw_file_lines(spark, folder), "file", ["part", "seq"], MOST_STATUSES)
-    routed = route(lines, first=F.col("is_first"))
+    routed = route(read_lines(spark, order_files(spark, folder)))
     record = F.when(F.col("section") == CONTROL, control_line(F.col("value"))).otherwise(F.col("value"))
-    return routed.select("file", "part", "seq", "section", record.alias("record"))
+    return routed.select(status_of(F.col("file")).alias("file"), "line_no", "section", record.alias("record"))
+
+
+def header_synthesis(spark: SparkSession, folder: str) -> DataFrame:
+    """A synthetic header for each of several files."""
+    lines = route(read_lines(spark, order_files(spark, folder)))
+    fields = fields_from_widths([("mark", 2), ("status", 1), ("rows", 10)])
+    headers = written(parse_fields(lines.filter(F.col("section") == HEADER), fields, LINE_KEY), "headers")
+    made = synthesize_headers(headers, {f.name: {"sdtype": CATEGORICAL} for f in fields}, seed=0)
+    return made.select(status_of(F.col("file")).alias("file"), "line_no", "mark", F.length("rows").alias("width"))
+
+
+def layout_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The layout of q01 as a file without numbers, whose rows give the order."""
+    path = new_path(spark, "layout.csv")
+    layout = layout_offsets(spark, folder).coalesce(1).sortWithinPartitions("ColID")
+    write_delimited(layout.select(F.col("Column_Name").alias(" Column_Name "), F.lit("varchar").alias("DataTtype"), "Length", "Type"), path)
+    found = with_offsets(read_layout(spark, path))
+    return found.select("Column_Name", "Length", "Type", "Start", F.col("ColID").isNull().alias("unnumbered"))
+
+
+def written_sections(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "sections")
+    write_sections(claim_file(spark, folder), path)
+    return spark.read.text(path).select("file", F.col("value").alias("line"))
+
+
+def delimited_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "customer.csv")
+    write_delimited(table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path)
+    read = read_delimited(spark, path)
+    kinds = {c: F.lit(t).alias(f"{c}_type") for c, t in read.dtypes}
+    return read.select("c_custkey", "c_name", "c_acctbal", kinds["c_custkey"], kinds["c_acctbal"])
+
+
+def stored_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata that a job detects and stores, and that the next one finds."""
+    parts, base = table(spark, folder, "part"), new_path(spark, "metadata")
+    stored_or_detected(parts, base, "part")
+    save_metadata(spark, base, "part", {"p_size": {"sdtype": CATEGORICAL}})
+    steps = {"first": metadata_path(base, "part", 1)}
+    steps["latest"] = metadata_path(base, "part", latest_metadata_version(spark, base, "part"))
+    tables = [read_metadata_table(spark, p).select(F.lit(s).alias("step"), "column", "sdtype") for s, p in steps.items()]
+    return tables[0].unionByName(tables[1])
+
+
+def generated_file(spark: SparkSession, folder: str) -> DataFrame:
+    """As many claims as there are orders, written and read again."""
+    path = new_path(spark, "claims")
+    generate_file(spark, path, table(spark, folder, "orders").count())
+    return parse_claims(spark.read.text(path))
+
+
+def fresh_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Forms of real and of as many synthetic ids: rows, different ones, least and greatest width."""
+    real = table(spark, folder, "customer").select("c_custkey", "c_name")
+    model = copula.fit(real, {c: {"sdtype": ID} for c in real.columns})
+    made = copula.sample(model, numbered_rows(spark, real.count()), ["id"])
+    shown = made.select("c_name", F.col("c_custkey").cast("string").alias("c_custkey"))
+    forms = shown.unpivot([], ["c_custkey", "c_name"], "column", "value")
+    widest = F.max(F.length("value"))
+    return forms.groupBy("column").agg(
+        F.count("value").alias("n"), F.count_distinct("value").alias("n_distinct"), widest.alias("width"),
+        F.max(F.regexp_replace("value", "[0-9]+$", "")).alias("prefix"),
+    )
+
+
+def category_marginal(spark: SparkSession, folder: str) -> DataFrame:
+    """Running counts of a column of 12,000 categories and null, in the order of the texts."""
+    key = F.col("o_orderkey") % 12000
+    orders = table(spark, folder, "orders").select(F.when(key != 7, F.concat(F.lit("k"), key)).alias("code"))
+    model = copula.fit(orders, {"code": {"sdtype": CATEGORICAL}})
+    return copula.shares_table(spark, model.marginals[0])
 
 
 def date_coerce(spark: SparkSession, folder: str) -> DataFrame:
@@ -488,4 +584,12 @@ QUERIES = {
     "q28_amount_values": amount_values,
     "q29_quality_report": quality_report,
     "q30_parsed_trailers": trailers_of_parsed_lines,
+    "q31_layout_file": layout_file,
+    "q32_written_sections": written_sections,
+    "q33_delimited_roundtrip": delimited_roundtrip,
+    "q34_stored_metadata": stored_metadata,
+    "q35_generated_file": generated_file,
+    "q36_fresh_ids": fresh_ids,
+    "q37_header_synthesis": header_synthesis,
+    "q38_category_marginal": category_marginal,
 }

@@ -18,6 +18,7 @@ LAYOUT_COLUMNS = {
     "IsSensitive": "string",
     "Block_ID": "string",
 }
+ROW = "Row"
 HEADER_SECTION = "HDR"
 DETAIL_SECTION = "DE"
 SENSITIVE_MARKS = ("y", "yes", "true", "1")
@@ -38,13 +39,16 @@ def strip_column_names(df: DataFrame) -> DataFrame:
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Layout file as a table. Columns a file variant lacks are null."""
+    """Layout file as a table, with ``Row``, the place of a row in the file.
+
+    Columns a file variant lacks are null. The file is read whole, in one task, as its order counts.
+    """
     raw = strip_column_names(spark.read.option("header", True).csv(path))
     columns = []
     for name, data_type in LAYOUT_COLUMNS.items():
         value = F.trim(F.col(name)) if name in raw.columns else F.lit(None)
         columns.append(value.cast(data_type).alias(name))
-    return raw.select(*columns)
+    return raw.coalesce(1).select(*columns, F.monotonically_increasing_id().alias("Row"))
 
 
 def section_of(layout: DataFrame, section: str) -> DataFrame:
@@ -52,10 +56,10 @@ def section_of(layout: DataFrame, section: str) -> DataFrame:
 
 
 def with_offsets(layout: DataFrame) -> DataFrame:
-    """Add ``Start`` (from 1): running sum of the widths before, within each section."""
+    """Add ``Start`` (from 1): running sum of the widths of the rows before, within each section."""
     before = (
         Window.partitionBy("Type")
-        .orderBy("ColID")
+        .orderBy(ROW)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.coalesce(F.sum("Length").over(before), F.lit(0)) + 1
@@ -68,7 +72,7 @@ def fields_of(layout: DataFrame, section: str | None = None) -> list[Field]:
     A layout has tens of rows; it is collected to build the projection over the lines.
     """
     chosen = layout if section is None else section_of(layout, section)
-    rows = with_offsets(chosen).orderBy("ColID").collect()
+    rows = with_offsets(chosen).orderBy(ROW).collect()
     return _checked(
         [
             Field(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +12,13 @@ LEAST_ROWS_PER_TASK = 5_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session without one gets its own."""
+    """The cluster's checkpoint folder. A local session without one uses its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="claimweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written"
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

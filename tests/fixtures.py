@@ -1,59 +1,62 @@
-"""Small inputs, written afresh for each test."""
+"""Small inputs of this repository's own making."""
 
 import json
 from pathlib import Path
 
+# The order of the rows counts, not their numbers.
 LAYOUT_CSV = """ColID,Column_Name , DataTtype,Length,Type,IsSensitive,Block_ID
-1,mark,varchar,2,HDR,,
-2,site,varchar,2,HDR,,
-3,batch,varchar,2,HDR,,
-4,run,varchar,2,HDR,,
-5,kind,varchar,2,DE,,
-6,line,varchar,1,DE,,
-7,code,varchar,1,DE,Y,
-8,net_amount_due,varchar,8,DE,,
-9,paid_on,varchar,8,DE,,
+12,label,varchar,3,HDR,,
+11,region,varchar,4,HDR,,
+10,cycle,varchar,2,HDR,,
+9,tag,varchar,2,DE,,
+8,unit,varchar,3,DE,Y,
+7,grade,varchar,2,DE,,
+6,net_amount_due,varchar,9,DE,,
+5,due,varchar,8,DE,,
 """
 
+# Two control lines, a character of two bytes, a line without a date, a short line, no trailer.
 LINES = [
-    "PA350716",
-    "DE7 0004127C20030415",
-    "DE8 5        ",
-    "DE9K2       20030418",
-    "CD100AB7  512 XX YY ZZ      ",
-    "PT0909",
+    "HX7NORD21",
+    "CD001 start of batch   ",
+    "DEä41B 00000250K20190630",
+    "DE305A 00001    ",
+    "DE77 C200000125}20181231",
+    "DE9",
+    "CD002 end 1 \t",
 ]
+CONTROL_LINES = ["CD001 start of batch", "CD002 end 1"]
 
 SYNTHETIC_ROWS = [
-    ("PT", "0", "9", "09", None),
-    ("PT", "8", "K", "0004127C", "2003-04-15"),
-    ("PT", "9", "9", "2", "2003-04-15"),
-    ("DE", "9", "9", "5", "2003-04-15"),
+    ("DE", "ü1", "C2", "00000125}", "2018-12-31"),
+    ("DE", "77", "B", "17", None),
+    ("DF", "305", "A9", "00001", "2020-02-29"),
 ]
 
 RENDERED = (
-    "PA350716\n"
-    "PT0909              \n"
-    "PT8K0004127C20030415\n"
-    "PT992       20030415\n"
-    "DE995       20030415\n"
-    "CD100AB7  512 XX YY ZZ\n"
-    "PT000000000400000000000A00000000000G00000000000D\n"
+    "HX7NORD21\n"
+    "DEü1 C200000125}20181231\n"
+    "DE77 B 17               \n"
+    "DF305A900001    20200229\n"
+    "CD001 start of batch\n"
+    "CD002 end 1\n"
+    "PT000000000300000000000A00000000000G00000000000D\n"
 )
 
 DETAIL_CSV = (
-    "kind,line,code,net_amount_due,paid_on\n"
-    "DE,7,,0004127C,2003-04-15\n"
-    "DE,8,,5,\n"
-    "DE,9,K,2,2003-04-18\n"
-    "PT,0,9,09,\n"
+    "tag,unit,grade,net_amount_due,due\n"
+    "DE,ä41,B,00000250K,2019-06-30\n"
+    "DE,305,A,00001,\n"
+    "DE,77,C2,00000125},2018-12-31\n"
+    "DE,9,,,\n"
 )
 
-HEADER_NAMES = ["mark", "site", "batch", "run"]
+HEADER_NAMES = ["label", "region", "cycle"]
+HEADER_VALUES = ("HX7", "NORD", "21")
 HEADER_COLUMNS = {c: {"sdtype": "categorical"} for c in HEADER_NAMES}
 DATA_COLUMNS = {
-    **{c: {"sdtype": "categorical"} for c in ("kind", "line", "code", "net_amount_due")},
-    "paid_on": {"sdtype": "datetime", "datetime_format": "%Y%m%d"},
+    **{c: {"sdtype": "categorical"} for c in ("tag", "unit", "grade", "net_amount_due")},
+    "due": {"sdtype": "datetime", "datetime_format": "%Y%m%d"},
 }
 
 
@@ -65,6 +68,7 @@ def write_layout(folder):
 
 def write_sample(folder, name="claims.txt", lines=LINES):
     path = Path(folder) / name
+    path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(lines))
     return str(path)
 
