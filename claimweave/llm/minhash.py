@@ -9,9 +9,10 @@ buckets; pairs in a bucket are confirmed by exact Jaccard similarity of the full
 Equal sets are one class from the start, so exact copies cost one row. In a bucket every class
 is first compared with the least one (a star, never all pairs). Buckets whose classes are still
 in several components afterwards are cut into blocks by hash, and pairs of blocks are compared by
-whole signatures; only pairs in different components whose signatures agree in half of their
-coordinates are confirmed. A pair at the threshold shares no band with probability 5e-6, and
-agrees in less than half with 1e-10. Links are joined to components by least labels.
+whole signatures; only pairs in different components whose signatures agree in 55 % of their
+coordinates are confirmed, until those of the two blocks are joined as far as they can be. So no
+more links are made than there are members. A pair at the threshold shares no band with probability
+5e-6, and agrees in fewer coordinates with 1e-7. Links are joined to components by least labels.
 
 Defined results: a null or blank text has no shingles, links with nothing and is its own
 component. Rows without an id belong to a component but give it no name: the component's id is its
@@ -38,10 +39,10 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 # Least share of equal coordinates of a pair that is confirmed on full sets.
-LEAST_AGREEMENT = 0.5
+LEAST_AGREEMENT = 0.55
 BLOCK = 256
 CHUNK = 2048
-MOST_CACHED_WORDS = 1 << 20
+MOST_CACHED_WORDS = 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,15 +122,17 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), known)]})
 
 
+def _similar(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs whose full sets are similar enough."""
     for pdf in batches:
-        keep = np.zeros(len(pdf), bool)
-        for i, (a, b) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield pdf.loc[keep, ["a", "b"]]
+        keep = [_similar(a, b) for a, b in zip(pdf["set_a"], pdf["set_b"])]
+        yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,23 +143,51 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[(x == y).sum(axis=1) >= LEAST_AGREEMENT * COORDINATES, ["a", "b"]]
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one cell: from two blocks of a bucket, or within one."""
+def _cell_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links that join components, of one cell: two blocks of a bucket, or one with itself.
+
+    Pairs are tried by falling agreement of their signatures. A pair that earlier links of the cell
+    have put in one component needs no link, so there are fewer links than components.
+    """
+    side, i, j = rows["side"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
+    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    if not len(left) or not len(right):
+        return none
     sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, COORDINATES)
-    node, label, side, n = (rows[c].to_numpy() for c in ("node", "label", "side", "n_shingles"))
-    left = np.flatnonzero(side == side.min())
-    right = np.flatnonzero(side == side.max())
-    within = side.min() == side.max()
-    if within and rows["i"].iloc[0] != rows["j"].iloc[0]:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    node, label, n, sets = (rows[c].to_numpy() for c in ("node", "label", "n_shingles", "shingles"))
+    # The star has compared the bucket's leader with all others.
+    led = node == rows["leader"].iloc[0]
     equal = np.zeros((len(left), len(right)), np.uint8)
-    for k in range(COORDINATES):
-        equal += sig[left, k][:, None] == sig[right, k][None, :]
-    near = (equal >= LEAST_AGREEMENT * COORDINATES) & (label[left][:, None] != label[right][None, :])
-    sizes = np.minimum(n[left][:, None], n[right][None, :]) * 100 >= PERCENT * np.maximum(n[left][:, None], n[right][None, :])
-    x, y = np.nonzero(near & sizes)
-    a, b = node[left[x]], node[right[y]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    shared_before = np.zeros((len(left), len(right)), bool)
+    for band in range(BANDS):
+        whole = np.ones((len(left), len(right)), bool)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            same = sig[left, k][:, None] == sig[right, k][None, :]
+            equal += same
+            whole &= same
+        if band < rows["band"].iloc[0]:
+            # A bucket of an earlier band has both.
+            shared_before |= whole
+    low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    tried = (equal >= LEAST_AGREEMENT * COORDINATES) & (label[left][:, None] != label[right][None, :]) & ~shared_before
+    tried &= (100 * low >= PERCENT * high) & ~led[left][:, None] & ~led[right][None, :]
+    x, y = np.nonzero(tried)
+    order = np.argsort(-equal[x, y].astype(int), kind="stable")
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = v = root.get(up, up)
+        return v
+
+    links = []
+    for p, q in zip(left[x[order]], right[y[order]]):
+        a, b = find(label[p]), find(label[q])
+        if a != b and _similar(sets[p], sets[q]):
+            root[max(a, b)] = min(a, b)
+            links.append((min(node[p], node[q]), max(node[p], node[q])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64") if links else none
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,11 +200,11 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell = (pdf[["key", "i", "j"]] != pdf[["key", "i", "j"]].shift()).any(axis=1).cumsum()
         last = cell == cell.iloc[-1]
         rest = pdf[last]
-        out = [_block_pairs(g) for _, g in pdf[~last].groupby(cell[~last], sort=False)]
+        out = [_cell_links(g) for _, g in pdf[~last].groupby(cell[~last], sort=False)]
         if out:
             yield pd.concat(out)
     if rest is not None and len(rest):
-        yield _block_pairs(rest)
+        yield _cell_links(rest)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -199,10 +230,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(_linked, "a long, b long")
 
 
-def _sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The full set of every class in pairs, from one of its texts."""
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-    wanted = small(written(nodes.join(wanted, "node").select("node", *KEY), "wanted"), 48)
+def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The full sets of the wanted classes, each from one of its texts."""
+    wanted = small(written(nodes.join(wanted.distinct(), "node").select("node", *KEY), "wanted"), 48)
     found = texts.join(wanted, KEY).select("node", "text")
     # Copies of a text are many rows with the same key; one is enough.
     one = found.groupBy("node").agg(F.first("text").alias("text"))
@@ -211,7 +241,7 @@ def _sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _band_keys() -> Column:
     width = 4 * ROWS
-    return F.explode(F.array(*(
+    return F.posexplode(F.array(*(
         F.xxhash64(F.lit(b), F.substring("signature", 1 + b * width, width)) for b in range(BANDS))))
 
 
@@ -220,32 +250,30 @@ def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"),
         F.min(F.struct(*KEY)).alias("k")).select("node", "signature", "n_shingles", "k.*"), "nodes")
-    buckets = nodes.select("node", _band_keys().alias("key"))
+    buckets = nodes.select("node", _band_keys().alias("band", "key"))
     several = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     members = written(buckets.join(several.drop("last"), "key"), "members")
     signatures = nodes.select("node", "signature")
     star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = written(star.join(signatures.toDF("a", "sig_a"), "a").join(signatures.toDF("b", "sig_b"), "b")
                        .select("a", "b", "sig_a", "sig_b").mapInPandas(_agreeing, "a long, b long"), "agreeing")
-    first = written(_confirmed(agreeing, _sets_of(agreeing, nodes, texts)), "links")
+    ends = agreeing.select("a").union(agreeing.select("b")).toDF("node")
+    first = written(_confirmed(agreeing, _sets_of(ends, nodes, texts)), "links")
     # What the stars left apart.
     labels = connected(first)
     label = F.coalesce("label", "node").alias("label")
-    labelled = members.join(labels, "node", "left").select("key", "node", label)
+    labelled = members.join(labels, "node", "left").select("band", "key", "leader", "node", label)
     apart = labelled.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
-    cells = labelled.join(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    cells = written(labelled.join(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "apart")
+    sets = _sets_of(cells.select("node"), nodes, texts)
+    of_node = sets.join(nodes.select("node", "signature", "n_shingles"), "node")
     cells = cells.withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "label")
-    cells = cells.join(nodes.select("node", "signature", "n_shingles"), "node")
-    found = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(
-        "key", "i", "j", "side", "node", "label", "signature", "n_shingles").mapInPandas(_cells, "a long, b long")
-    more = written(found.distinct().join(agreeing, ["a", "b"], "left_anti"), "more")
-    if more.isEmpty():
-        return first
-    second = written(_confirmed(more, _sets_of(more, nodes, texts)), "links")
-    return first.union(second)
+    at = ["key", "i", "j"]
+    cells = cells.withColumns({"i": F.least("side", "o"), "j": F.greatest("side", "o")}).drop("o", "blocks").join(of_node, "node")
+    found = cells.repartition(*at).sortWithinPartitions(*at).mapInPandas(_cells, "a long, b long")
+    return first.union(written(found.distinct(), "more"))
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -256,10 +284,11 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept, key1, key2): kept documents name their component."""
     body = F.col(text).cast("string")
-    read = docs.select(F.col(id_column).alias("id"), *text_key(body), body.cast("binary").alias("text"))
-    kind = read.schema["id"].dataType.simpleString()
+    # Ids go through Python as texts, as pandas would round whole numbers next to a null.
+    read = docs.select(F.col(id_column).cast("string").alias("id"), *text_key(body), body.cast("binary").alias("text"))
     rows = written(read.mapInPandas(
-        _signed, f"id {kind}, key1 long, key2 long, n_shingles long, node long, signature binary"), "signed")
+        _signed, "id string, key1 long, key2 long, n_shingles long, node long, signature binary"
+    ).withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "signed")
     linked = connected(written(links(rows, _texts(docs, text)), "all"))
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     named = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
