@@ -22,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import FMClassificationModel, FMClassifier
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ STEP = 0.1
 REGULARISATION = 1e-5
 SEED = 11
 NO_LABELS = 0.5
+# Numbers of a text's structure.
+STATISTICS = 10
 LONGEST = 20.0
 
 
@@ -70,6 +72,9 @@ def features(docs: DataFrame, text: str, metadata: list[str]) -> DataFrame:
     read = docs.select(*rest, words.alias("_words"), array_to_vector(statistics).alias("_statistics"))
     hashed = HashingTF(numFeatures=BUCKETS, inputCol="_words", outputCol="_counts").transform(read).drop("_words")
     unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(hashed).drop("_counts")
+    # Without the size the assembler would look for a first row.
+    size = VectorSizeHint(inputCol="_statistics", size=STATISTICS + len(metadata), handleInvalid="optimistic")
+    unit = size.transform(unit)
     whole = VectorAssembler(inputCols=["_statistics", "_unit"], outputCol="features").transform(unit)
     return whole.drop("_statistics", "_unit")
 

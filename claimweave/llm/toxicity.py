@@ -246,10 +246,11 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str =
             yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "score": [r[0] for r in results],
                                 "neighbours": [r[1] for r in results]})
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    read = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
-    out = read.mapInPandas(judge, f"id {kind}, key long, score double, neighbours array<struct<id: long, cosine: double, toxic: int>>")
-    return out.select(F.col("id").alias(id_column), "key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
+    # Ids go through Python as texts, as pandas would round whole numbers next to a null.
+    read = docs.select(F.col(id_column).cast("string").alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    out = read.mapInPandas(judge, "id string, key long, score double, neighbours array<struct<id: long, cosine: double, toxic: int>>")
+    id_type = docs.schema[id_column].dataType
+    return out.select(F.col("id").cast(id_type).alias(id_column), "key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
 
 
 def kept_documents(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "text") -> DataFrame:
