@@ -20,6 +20,7 @@ CONTINGENCY = "ContingencySimilarity"
 BOUNDARY = "BoundaryAdherence"
 CATEGORY = "CategoryAdherence"
 STRUCTURE = "TableStructure"
+IDS = "KeyUniqueness"
 
 IS_REAL = "_is_real"
 # Numeric columns are cut into this many ranges of equal width in pairs with categories.
@@ -138,21 +139,22 @@ def contingency_scores(
             F.array(
                 *[
                     F.struct(
-                        F.lit(a).alias("first"),
-                        F.lit(b).alias("second"),
+                        F.lit(i).cast("smallint").alias("pair_no"),
                         F.col(a).cast("string").alias("a"),
                         F.col(b).cast("string").alias("b"),
                     )
-                    for a, b in pairs
+                    for i, (a, b) in enumerate(pairs)
                 ]
             )
         ).alias("pair"),
     ).select(IS_REAL, "pair.*")
-    counted = long.groupBy("first", "second", "a", "b").agg(
+    # Rows carry the number of their pair; its names come back to the one row of each pair.
+    counted = long.groupBy("pair_no", "a", "b").agg(
         *[c.alias(n) for n, c in _source_counts().items()]
     )
-    scored = _tv_of_counts(counted, ["first", "second"])
-    return scored.select("first", "second", F.lit(CONTINGENCY).alias("metric"), "score")
+    scored = _tv_of_counts(counted, ["pair_no"])
+    names = F.get(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in pairs]), F.col("pair_no"))
+    return scored.select(names.alias("of"), "score").select("of.*", F.lit(CONTINGENCY).alias("metric"), "score")
 
 
 def _cut_numbers(both: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -205,6 +207,20 @@ def category_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def id_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Share of synthetic rows with an id that no other row has and the real ones' width, per column."""
+    texts = both.select(IS_REAL, *[F.col(c).cast("string").alias(c) for c in columns])
+    values = texts.unpivot([IS_REAL], list(columns), "column", "value")
+    counted = values.groupBy("column", "value").agg(*[c.alias(n) for n, c in _source_counts().items()])
+    widths = counted.filter("real > 0").groupBy("column").agg(
+        F.min(F.length("value")).alias("least"), F.max(F.length("value")).alias("most"))
+    good = (F.col("synthetic") == 1) & F.length("value").between(F.col("least"), F.col("most"))
+    # One row of widths per column.
+    judged = counted.join(F.broadcast(widths), "column").groupBy("column").agg(
+        F.try_divide(F.sum(good.cast("bigint")), F.sum("synthetic")).alias("score"))
+    return judged.select(*_scores(F.col("column"), IDS, F.coalesce("score", F.lit(0.0))))
+
+
 def structure_score(real: DataFrame, synthetic: DataFrame) -> float:
     """Share of columns that both tables have with the same type."""
     ours, theirs = set(real.dtypes), set(synthetic.dtypes)
@@ -244,6 +260,9 @@ def diagnostic(real: DataFrame, synthetic: DataFrame, metadata: Metadata) -> Dat
         parts.append(boundary_scores(both, numeric))
     if other:
         parts.append(category_scores(both, other))
+    ids = [c for c, spec in metadata.items() if spec["sdtype"] == ID and c in real.columns]
+    if ids:
+        parts.append(id_scores(stack(real, synthetic, ids), ids))
     return _union(parts)
 
 

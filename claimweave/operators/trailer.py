@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.amounts import decode_amount
-from claimweave.functions.text import fit_width, ljust, zfill
+from claimweave.functions.text import fit_width, ljust, to_number, zfill
 
 # Parts of a trailer line and the amounts it sums.
 MARK, NET_END, GROSS_END, PATIENT_END = "PT", "A", "G", "D"
@@ -17,6 +17,7 @@ AMOUNT_COLUMNS = ("net_amount_due", "gross_amount_due", "patient_pay_amount")
 
 ZERO = "zero"
 DECODE = "decode"
+NUMBERS = "numbers"
 # Sums of this type are exact, so totals do not depend on the order of the rows. It holds
 # amounts and totals of 34 digits before the point; a total beyond stops the job.
 SUM_TYPE = "decimal(38,4)"
@@ -40,7 +41,9 @@ def whole_total(df: DataFrame, column: str, amounts: str) -> Column:
     if amounts == ZERO or column not in df.columns:
         return F.lit(0).cast("decimal(38,0)")
     value = F.col(column)
-    if dict(df.dtypes)[column] == "string":
+    if dict(df.dtypes)[column] == "string" and amounts == NUMBERS:
+        value = to_number(value)
+    elif dict(df.dtypes)[column] == "string":
         value = decode_amount(value, SUM_TYPE)
     total = F.coalesce(F.sum(value.cast(SUM_TYPE)), F.lit(0))
     # Toward zero, as a cast to a whole number would round.
@@ -57,7 +60,8 @@ def page_trailers(
     """One trailer per file (``by``), or one for the table.
 
     With ``amounts="zero"`` all totals are 0, as the files this job reproduces have them;
-    ``"decode"`` sums overpunched texts and numbers.
+    ``"decode"`` sums overpunched texts and numbers, ``"numbers"`` plain numbers in texts,
+    where what is none counts as nothing.
     """
     totals = [
         whole_total(df, c, amounts).alias(f"total_{i}") for i, c in enumerate(amount_columns)

@@ -604,6 +604,16 @@ FRESH_IDS = """SELECT 'c_custkey' AS "column", count(*) AS n, count(*) AS n_dist
   max(length(CAST(c_custkey AS VARCHAR))) AS width, '' AS prefix FROM customer
 UNION ALL SELECT 'c_name', count(*), count(*), max(length(c_name)), 'Customer#' FROM customer"""
 
+NUMERIC_TRAILERS = f"""WITH totals AS (
+  SELECT o_orderstatus AS file, count(*) AS n, CAST(coalesce(sum(CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0
+    THEN CAST(floor(o_totalprice) AS BIGINT) END), 0) AS BIGINT) AS net FROM orders GROUP BY o_orderstatus)
+SELECT file, {trailer("n", "net", "0", "0")} AS line FROM totals"""
+
+ID_DIAGNOSTIC = """SELECT * FROM (VALUES ('sampled', '*', 'TableStructure', 1.0), ('repeated', '*', 'TableStructure', 1.0),
+  ('sampled', 'c_custkey', 'KeyUniqueness', 1.0), ('sampled', 'c_name', 'KeyUniqueness', 1.0),
+  ('repeated', 'c_custkey', 'KeyUniqueness', 0.0), ('repeated', 'c_name', 'KeyUniqueness', 0.0))
+  AS t(case_name, "column", metric, score) WHERE (SELECT count(*) FROM customer) > 2"""
+
 HEADERS = """SELECT DISTINCT o_orderstatus AS file, 1 AS line_no, 'PA' AS mark, 10 AS width FROM orders"""
 
 CATEGORIES = """WITH codes AS (
@@ -671,4 +681,6 @@ ORACLE = {
     "q36_fresh_ids": FRESH_IDS,
     "q37_header_synthesis": HEADERS,
     "q38_category_marginal": CATEGORIES,
+    "q39_numeric_trailers": NUMERIC_TRAILERS,
+    "q40_id_diagnostic": ID_DIAGNOSTIC,
 }

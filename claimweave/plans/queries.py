@@ -21,7 +21,7 @@ from claimweave.operators.generate import (
 from claimweave.operators.parse import head, mask_columns, normalise_nulls, parse_fields
 from claimweave.operators.profile import column_kinds, non_null_counts
 from claimweave.operators.render import control_line, join_sections, render_line, section_lines, write_sections
-from claimweave.operators.trailer import DECODE, ZERO, decode_totals, page_trailers
+from claimweave.operators.trailer import DECODE, NUMBERS, ZERO, decode_totals, page_trailers
 from claimweave.plans.flows import LINE_KEY, generate_file, stored_or_detected, synthesize_headers
 from claimweave.sources.delimited import read_delimited, write_delimited
 from claimweave.sources.layout import ROW, fields_from_widths, with_offsets
@@ -183,6 +183,15 @@ def header_synthesis(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(status_of(F.col("file")).alias("file"), "line_no", "mark", F.length("rows").alias("width"))
 
 
+def numeric_trailers(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of amounts that come as plain numbers in texts, some of them none."""
+    whole = F.floor("o_totalprice").cast("string")
+    broken = F.when(F.col("o_orderkey") % 5 == 0, F.lit("n/a")).when(F.col("o_orderkey") % 7 == 0, F.lit(""))
+    claims = table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("file"), F.coalesce(broken, F.concat(F.lit(" "), whole)).alias("net_amount_due"))
+    return page_trailers(claims, ["file"], NUMBERS)
+
+
 def layout_file(spark: SparkSession, folder: str) -> DataFrame:
     """The layout of q01 as a file without numbers, whose rows give the order."""
     path = new_path(spark, "layout.csv")
@@ -238,6 +247,17 @@ def fresh_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def id_diagnostic(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that are sampled are possible ones; ids that repeat, or are wider, are not."""
+    real = table(spark, folder, "customer").select("c_custkey", "c_name")
+    repeated = real.select((F.col("c_custkey") % 2 + 1).alias("c_custkey"), F.concat("c_name", F.lit("0")).alias("c_name"))
+    kinds = {c: {"sdtype": ID} for c in real.columns}
+    made = copula.sample(copula.fit(real, kinds), numbered_rows(spark, real.count()), ["id"]).drop("id")
+    cases = [compare.diagnostic(real, other, kinds).withColumn("case_name", F.lit(case))
+             for case, other in (("sampled", made), ("repeated", repeated))]
+    return rounded_scores(cases[0].unionByName(cases[1]))
+
+
 def category_marginal(spark: SparkSession, folder: str) -> DataFrame:
     """Running counts of a column of 12,000 categories and null, in the order of the texts."""
     key = F.col("o_orderkey") % 12000
@@ -592,4 +612,6 @@ QUERIES = {
     "q36_fresh_ids": fresh_ids,
     "q37_header_synthesis": header_synthesis,
     "q38_category_marginal": category_marginal,
+    "q39_numeric_trailers": numeric_trailers,
+    "q40_id_diagnostic": id_diagnostic,
 }
