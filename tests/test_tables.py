@@ -26,7 +26,7 @@ from claimweave.sources.metadata import (
 
 
 def test_metadata_versions(spark, folder):
-    base = write_metadata(folder, "data", {k: v for k, v in DATA_COLUMNS.items() if k != "paid_on"}, 1)
+    base = write_metadata(folder, "data", {k: v for k, v in DATA_COLUMNS.items() if k != "due"}, 1)
     write_metadata(folder, "data", DATA_COLUMNS, 2)
     write_metadata(folder, "data", DATA_COLUMNS, 4)
     write_metadata(folder, "late", DATA_COLUMNS, 2)
@@ -35,7 +35,7 @@ def test_metadata_versions(spark, folder):
     assert latest_metadata_version(spark, base, "none") is None
     assert read_metadata(spark, f"{base}_data_v2.json") == DATA_COLUMNS
     table = {r["column"]: r for r in read_metadata_table(spark, f"{base}_data_v2.json").collect()}
-    assert table["paid_on"]["datetime_format"] == "%Y%m%d"
+    assert table["due"]["datetime_format"] == "%Y%m%d"
     assert save_metadata(spark, base, "data", DATA_COLUMNS).endswith("_data_v3.json")
     assert latest_metadata_version(spark, base, "data") == 4
     assert save_metadata(spark, base, "new", DATA_COLUMNS).endswith("_new_v1.json")
@@ -318,17 +318,18 @@ def test_fixed_combinations_are_kept(spark):
 
 def test_table_flow(spark, folder):
     rows = "\n".join(f"{i},{i % 5},{i % 5 * 2.5},{'ab'[i % 2]}" for i in range(200))
-    Path(folder, "stock.csv").write_text(f" Id ,Quantity,Total Price,Name\n{rows}\n")
+    Path(folder, "stock.csv").write_text(f" Id ,Boxes,Unit Load,Name\n{rows}\n")
     result = flows.synthesize_table(
-        spark, f"{folder}/stock.csv", ["Quantity", "Total Price"], n=150, diagnose=True
+        spark, f"{folder}/stock.csv", ["Boxes", "Unit Load"], n=150, diagnose=True
     )
     assert "_CTGAN_gen_synthetic.csv" in result.output_path
-    assert text_of(result.output_path).decode().startswith("Id,Quantity,Total Price,Name\n")
+    assert text_of(result.output_path).decode().startswith("Id,Boxes,Unit Load,Name\n")
     assert result.synthetic.count() == 150
-    assert result.synthetic.filter("`Total Price` <> Quantity * 2.5").count() == 0
-    assert {r["column"]: r["non_null"] for r in result.counts.collect()}["Quantity"] == 200
-    assert {r["column"] for r in result.shapes.collect()} == {"Quantity", "Total Price", "Name"}
+    assert [r["Id"] for r in result.real_head] == [0, 1, 2, 3, 4] and len(result.synthetic_head) == 5
+    assert result.synthetic.filter("`Unit Load` <> Boxes * 2.5").count() == 0
+    assert {r["column"]: r["non_null"] for r in result.counts.collect()}["Boxes"] == 200
+    assert {r["column"] for r in result.shapes.collect()} == {"Boxes", "Unit Load", "Name"}
     assert {r["property"] for r in result.quality.collect()} >= {"Overall", "Column Shapes"}
     assert {r["score"] for r in result.diagnostic.collect()} == {1.0}
-    none = flows.synthesize_table(spark, f"{folder}/stock.csv", ["Quantity"], n=10, export=False)
+    none = flows.synthesize_table(spark, f"{folder}/stock.csv", ["Boxes"], n=10, export=False)
     assert none.output_path is None and none.quality is None
