@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled documents (`MOST_LABELLED`, those with the least hash of
-their id). Terms are lower-case runs of letters and digits; the vocabulary holds the `MOST_TERMS`
-terms whose presence is most significantly more frequent in toxic examples (log odds ratio over its
-standard error, at least `LEAST_Z`). Document frequencies for the weights are counted over all
+their id). Terms are lower-case words between white space, without the marks at their ends; the vocabulary holds the `MOST_TERMS`
+terms that are most significantly more frequent in toxic examples: of a class's terms (each counted once per
+document, so that long documents do not make all terms frequent) the log odds ratio over its standard error is at
+least `LEAST_Z`, and the ratio itself at least `LEAST_ODDS`. Document frequencies for the weights are counted over all
 documents. A vector has (1 + ln tf) * ln((1 + documents) / (1 + df)) for each term it contains and
 length 1.
 
@@ -24,7 +25,6 @@ Empty tables give no rows. Other columns are ignored by `score` and kept by `kep
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,19 +39,20 @@ from claimweave.llm.common import small, written
 
 MOST_LABELLED = 20_000
 MOST_TERMS = 2_048
-LEAST_Z = 2.8
+LEAST_Z = 3.0
+LEAST_ODDS = 4.0
 LEAST_TOXIC = 3
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
 PLACES = 6
 SOFT, PRIOR = 0.1, 1.0
 NO_LABELS = 0.0
 MOST_CACHED = 1 << 17
-_TERM = re.compile(r"[^\W_]+")
+MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^…„“”«»‚‘’¡¿–—·"
 
 
 def _terms(text: str | None) -> list[str]:
-    return _TERM.findall(text.lower()) if text else []
+    return [w for w in (w.strip(MARKS) for w in text.lower().split()) if w] if text else []
 
 
 @dataclass
@@ -81,8 +82,8 @@ class Index:
         norm = np.sqrt((w * w).sum())
         return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the nearest examples, best first."""
+    def nearest(self, at: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the nearest examples, best first, and of these none of the id `without`."""
         if not len(at) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         bound = w @ self.most[at]
@@ -107,8 +108,9 @@ class Index:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         number, cosine = np.concatenate(found), np.concatenate(scores)
-        if without >= 0:
-            number, cosine = number[number != without], cosine[number != without]
+        if without is not None:
+            other = self.ids[number] != without
+            number, cosine = number[other], cosine[other]
         best = np.lexsort((self.ids[number], -cosine))[:NEIGHBOURS]
         return number[best], cosine[best]
 
@@ -141,7 +143,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def build(examples: list[tuple[int, int, dict[str, int]]], vocabulary: list[str], frequencies: dict[str, int],
           documents: int) -> Index:
-    """Index and calibration from (id, toxic, term counts) of labelled documents, with and without terms."""
+    """Index from (id, toxic, term counts) of labelled documents, with and without terms; not calibrated."""
     terms = {t: i for i, t in enumerate(vocabulary)}
     idf = np.array([np.log((1 + documents) / (1 + frequencies.get(t, 0))) for t in vocabulary])
     prior = sum(e[1] for e in examples) / len(examples) if examples else NO_LABELS
@@ -162,15 +164,34 @@ def build(examples: list[tuple[int, int, dict[str, int]]], vocabulary: list[str]
         np.maximum.at(index.most[t], e // BLOCK, w)
         index.starts[t] = np.searchsorted(e, np.arange(blocks + 1) * BLOCK)
     index.alone = (sum(v[1] for v in empty) + PRIOR * prior) / (len(empty) + PRIOR) if examples else NO_LABELS
-    if vectors:
-        votes = []
-        for n, (_, _, at, w) in enumerate(vectors):
-            near = index.nearest(at, w, n)
-            votes.append(index.vote(*near) if len(near[0]) else prior)
-        index.votes, index.shares = _isotonic(np.array(votes), index.toxic)
     return index
 
 
+def _calibrated(index: Index, rows: DataFrame) -> Index:
+    """The index with the steps of its votes; rows: (id, y, terms, n) of the labelled documents."""
+    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = cloudpickle.loads(shared.value)
+        for pdf in batches:
+            out = []
+            for i, y, counts in zip(pdf["id"], pdf["y"], _known_counts(pdf, index.term)):
+                if counts:
+                    near = index.nearest(*index.vector(counts), without=i)
+                    out.append((index.vote(*near) if len(near[0]) else index.prior, y))
+            yield pd.DataFrame(out, columns=["vote", "y"])
+
+    found = rows.mapInPandas(votes, "vote double, y int").collect()
+    if found:
+        order = sorted((r["vote"], r["y"]) for r in found)
+        index.votes, index.shares = _isotonic(*(np.array(x, float) for x in zip(*order)))
+    return index
+
+
+def _known_counts(pdf: pd.DataFrame, known: dict[str, int] | set[str]) -> list[dict[str, int]]:
+    return [{t: int(k) for t, k in zip(terms, n) if t in known} for terms, n in zip(pdf["terms"], pdf["n"])]
+
+
 def sampled_labels(labels: DataFrame, id_column: str, label: str, learn: Column | None) -> DataFrame:
     """(id, y) of at most MOST_LABELLED labelled ids."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
@@ -192,12 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
     rows = written(found.mapInPandas(extract, "id long, y int, terms array<string>, n array<int>"), "examples")
-    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
+    size = F.size("terms")
+    totals = rows.agg(F.sum(F.when(F.col("y") == 1, size)).alias("toxic"), F.sum(F.when(F.col("y") == 0, size)).alias("clean")).first()
     a, b = F.sum("y") + 0.5, F.sum(1 - F.col("y")) + 0.5
-    odds = F.log(a / (totals["y"] + 1 - a)) - F.log(b / (totals["n"] - totals["y"] + 1 - b))
+    odds = F.log(a / ((totals["toxic"] or 0) + 1 - a)) - F.log(b / ((totals["clean"] or 0) + 1 - b))
     scored = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(
-        (odds / F.sqrt(1 / a + 1 / b)).alias("z"), F.sum("y").alias("toxic"))
-    top = scored.where((F.col("z") >= LEAST_Z) & (F.col("toxic") >= LEAST_TOXIC)).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
+        odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), F.sum("y").alias("toxic"))
+    telling = (F.col("z") >= LEAST_Z) & (F.col("odds") >= float(np.log(LEAST_ODDS)))
+    top = scored.where(telling & (F.col("toxic") >= LEAST_TOXIC)).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
     vocabulary = sorted(r["term"] for r in top.collect())
     known = set(vocabulary)
 
@@ -213,10 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
     df = {r["term"]: r["df"] for r in docs.select(body.alias("text")).mapInPandas(frequencies, "term string, df long")
           .groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    kept = F.filter(F.arrays_zip("terms", "n"), lambda x: F.array_contains(F.lit(vocabulary or [""]), x["terms"]))
-    examples = [(r["id"], r["y"], {x["terms"]: x["n"] for x in r["c"]})
-                for r in rows.select("id", "y", kept.alias("c")).collect()]
-    return build(examples, vocabulary, df, df.get("", 0))
+    def vocabulary_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = _known_counts(pdf, known)
+            yield pdf.assign(terms=[list(c) for c in counts], n=[list(c.values()) for c in counts])
+
+    narrow = written(rows.mapInPandas(vocabulary_only, rows.schema), "vectors")
+    examples = [(r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in narrow.collect()]
+    return _calibrated(build(examples, vocabulary, df, df.get("", 0)), narrow)
 
 
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -242,3 +242,5 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
         ("a/b/COPYING", "Apache-2.0", "own", None), ("a/x.py", "MIT", "inherited", "a"),
         ("a/own.py", "Apache-2.0", "own", None), ("ab/x.py", None, None, None), (None, None, None, None)}
     assert licenses.scan(files.limit(0)).collect() == []
+    nothing = licenses.scan(files, templates=licenses.Templates(()))
+    assert {r["license"] for r in nothing.collect()} == {None}
