@@ -5,7 +5,8 @@ Every line of a file is a sparse vector: a term (lower-case run of letters and d
 all had it if it is a common word. Templates are vectors alike. A line states the licence of the nearest template if
 their cosine reaches `SIMILARITY` and they share `LEAST_SHARED` terms; a file has the licence of its best line. Each template has anchors: its
 heaviest terms, as many as needed for the others alone to stay below the threshold. So a line without an
-anchor cannot reach it, and only lines with one are cut into terms. Templates are a parameter and their table is
+anchor cannot reach it. Nor can a line whose other words outweigh those it has in common with all templates; what
+is left after these two exact tests, mostly statements, is cut into terms and compared. Templates are a parameter and their table is
 broadcast only if it is small.
 
 A file is a licence file of its directory if its name says so, or if lines that state its licence hold at
@@ -28,7 +29,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import KEY, small, text_key, tokens, written
+from claimweave.llm.common import KEY, let, small, text_key, tokens, written
 
 SIMILARITY = 0.6
 # A line states a licence only if it shares so many different terms with the template.
@@ -95,13 +96,35 @@ class Templates:
         self.anchors = sorted(anchors)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.entries or [], "template int, license string, term string, weight double")
+        return spark.createDataFrame(self.entries, "template int, license string, term string, weight double")
 
 
 def _anchored(terms: Column, anchors: list[str]) -> Column:
     return F.arrays_overlap(terms, F.array(*map(F.lit, anchors))) if anchors else F.lit(False)
 
 
+def _could_state(terms: Column, templates: Templates) -> Column:
+    """Whether a line's terms leave room for the threshold, by the terms that it has in common with any template.
+
+    The cosine is at most the length of the line's vector on these terms over its whole length, and
+    every other term adds at least the weight of an unknown one to the latter.
+    """
+    if not templates.idf:
+        return F.lit(False)
+    known = F.array_intersect(terms, F.array(*map(F.lit, sorted(templates.idf))))
+    idf = F.create_map(*(F.lit(x) for pair in sorted(templates.idf.items()) for x in pair))
+
+    def added(total: Column, term: Column) -> Column:
+        weight = (1 + F.log(F.size(F.filter(terms, lambda x: x == term)))) * F.element_at(idf, term)
+        return total + weight * weight
+
+    others = F.size(F.array_distinct(terms)) - F.size(known)
+    least = F.lit(0.999 * templates.similarity**2)
+    enough = let(F.aggregate(known, F.lit(0.0), added),
+                 lambda v: v >= least * (v + others * F.lit(templates.unknown**2)))
+    return (F.size(known) >= LEAST_SHARED) & enough
+
+
 def statements(files: DataFrame, templates: Templates, text: str = "text") -> DataFrame:
     """(key1, key2, license, similarity, line, covered) of distinct texts that state a licence.
 
@@ -113,7 +136,9 @@ def statements(files: DataFrame, templates: Templates, text: str = "text") -> Da
     lines = texts.select(*text_key(F.col("body")), F.size(tokens(F.col("body"))).alias("terms"),
                          F.posexplode(F.split("body", "\n")).alias("line", "of"))
     # Copies of a text give equal lines, of which one is needed.
-    lines = lines.where(_anchored(tokens(F.col("of")), templates.anchors)).dropDuplicates([*KEY, "line"])
+    of = tokens(F.col("of"))
+    lines = lines.where(_anchored(of, templates.anchors)).where(let(of, lambda t: _could_state(t, templates)))
+    lines = lines.dropDuplicates([*KEY, "line"])
     lines = written(lines, "licence_lines")
     at = [*KEY, "line"]
     counts = lines.select(*at, F.explode(tokens(F.col("of"))).alias("term")).groupBy(*at, "term").agg(F.count("*").alias("n"))
