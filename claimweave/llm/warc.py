@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import written
+from claimweave.llm.common import small, written
 from claimweave.sources.storage import shared_folder
 
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 LEAST_SAMPLES = 16
-LEVEL = 6
+LEVEL = 3
 READ_BYTES = 1 << 18
 # Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -156,7 +156,7 @@ def write(pages: DataFrame, folder: str | None = None, id_column: str = "page_id
                         payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     again = rows.where(F.length("payload") >= least_bytes).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(again, "digest", "left")
+    marked = rows.join(small(written(again, "again"), 64), "digest", "left")
     # Equal payloads shorter than the least never meet in `again`, as equal digests have equal lengths.
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = marked.select("page_id", "url", "payload", F.when(revisits, F.col("first")).alias("refers_to"),
