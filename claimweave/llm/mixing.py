@@ -3,8 +3,8 @@
 Every document of a source is wanted `target / source size` times: a whole number of copies and
 a fraction. Fractions are rounded by pairs: two documents exchange mass (fraction times words) at
 random, each keeping its expected fraction, until one of them is 0 or 1. So the words taken from
-a source never move. The words of the last document left with a fraction go to the largest
-documents of its block that took none and fit.
+a source never move. The words of the last document of a source left with a fraction go to the largest
+documents of the whole source that took none and fit, so what is missing is less than the least of these.
 
 Pairs are made along a reduction tree. Documents of a source are dealt to blocks of about `BLOCK`
 by a hash of their key, a block is reduced by one fold to decisions and a single carry, and the
@@ -18,10 +18,12 @@ without words has target 0. An empty table gives no rows. Other columns are igno
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import words, written
+from claimweave.llm.common import small, words, written
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -29,6 +31,7 @@ BLOCK = 64
 # A fraction this near to 0 or 1 is taken as it.
 NEAR = 1e-9
 UNIFORM = 1 << 52
+HASHES, PARTS = 1 << 40, 1 << 10
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -89,23 +92,38 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def _spent(result: Column) -> Column:
-    """Decisions of the last block of a source, with the carry's words given away."""
-    carry = F.when(result["carry"].isNull(), F.slice(result["done"], 1, 0)).otherwise(
-        F.array(result["carry"].withField("p", F.lit(0.0))))
-    large_first = F.reverse(F.sort_array(F.transform(
-        F.concat(carry, result["done"]), lambda x: F.struct(x["size"].alias("size"), x.alias("x")))))
-
-    def give(acc: Column, s: Column) -> Column:
-        x = s["x"]
-        fits = (x["p"] == 0.0) & (x["size"] <= acc["rest"] + 0.5)
-        return F.struct(
-            F.when(fits, acc["rest"] - x["size"]).otherwise(acc["rest"]).alias("rest"),
-            F.concat(acc["out"], F.array(F.when(fits, x.withField("p", F.lit(1.0))).otherwise(x))).alias("out"))
+def _given(decided: DataFrame, left: DataFrame, seed: int) -> DataFrame:
+    """(source, id, copy, size) of decided documents that took none and are given the words left, largest first.
 
-    rest = F.coalesce(result["carry"]["p"] * result["carry"]["size"], F.lit(0.0))
-    start = F.struct(rest.alias("rest"), F.slice(result["done"], 1, 0).alias("out"))
-    return F.aggregate(large_first, start, give)["out"]
+    left: (source, rest), one row per source. What is given is counted by size, so that the walk
+    from large to small is one row per source and size; the documents of a size are those of least hash.
+    """
+    left = written(left.withColumnRenamed("source", "s"), "left")
+    mine = F.col("source").eqNullSafe(F.col("s"))
+    free = decided.where("extra = 0").join(small(left, 32), mine).where(F.col("size") <= F.col("rest") + 0.5)
+    free = written(free.select("source", "id", "copy", "size", "rest",
+                               F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), "id", "copy"), F.lit(HASHES)).alias("hash")), "free")
+    sizes = free.groupBy("source", "size", "rest").agg(F.count("*").alias("n"))
+    listed = sizes.groupBy("source", "rest").agg(F.reverse(F.sort_array(F.collect_list(F.struct("size", "n")))).alias("sizes"))
+
+    def give(acc: Column, x: Column) -> Column:
+        n = F.least(F.floor((acc["rest"] + 0.5) / x["size"]), x["n"])
+        out = F.when(n > 0, F.concat(acc["out"], F.array(F.struct(x["size"].alias("z"), n.alias("take"))))).otherwise(acc["out"])
+        return F.struct((acc["rest"] - n * x["size"]).alias("rest"), out.alias("out"))
+
+    start = F.struct(F.col("rest"), F.expr("cast(array() as array<struct<z: bigint, take: bigint>>)").alias("out"))
+    takes = written(listed.select(F.col("source").alias("s"), F.inline(F.aggregate("sizes", start, give)["out"])), "takes")
+    wanted = free.join(small(takes, 48), mine & (F.col("size") == F.col("z"))).drop("s", "z")
+    # Of each size the hashes are dealt to parts, so that no task orders all documents of a size.
+    wanted = wanted.withColumn("part", F.floor(F.col("hash") / (HASHES // PARTS)))
+    counts = wanted.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(
+        Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("of"), before.alias("before"))
+    starts = small(written(starts, "starts"), 64)
+    wanted = wanted.join(starts, mine & (F.col("size") == F.col("z")) & (F.col("part") == F.col("of"))).where("before < take")
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("hash", "id", "copy"))
+    return wanted.withColumn("rank", rank).where("before + rank <= take").select("source", "id", "copy", "size")
 
 
 def rounded(rows: DataFrame, seed: int) -> DataFrame:
@@ -114,7 +132,11 @@ def rounded(rows: DataFrame, seed: int) -> DataFrame:
     rows: (source, id, copy, size, p) with 0 < p < 1 and size > 0.
     """
     item = ["id", "copy", "size", "p"]
-    open_rows, results, level = rows, [], 0
+    open_rows, results, lefts, level = rows, [], [], 0
+
+    def decisions(exploded: DataFrame) -> DataFrame:
+        return exploded.select("source", "d.id", "d.copy", "d.size", F.col("d.p").cast("long").alias("extra"))
+
     while True:
         counts = open_rows.groupBy("source").agg(F.count("*").alias("n"))
         known = counts.select(F.col("source").alias("s"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -125,19 +147,21 @@ def rounded(rows: DataFrame, seed: int) -> DataFrame:
             "source", "blocks", _fold(F.transform(F.col("items"), lambda x: F.struct(*(x[c].alias(c) for c in item))),
                                       seed, level).alias("r"))
         folded = written(folded, f"rounding{level}")
-        results.append(folded.select("source", F.explode("r.done").alias("d")).select(
-            "source", "d.id", "d.copy", "d.size", F.col("d.p").cast("long").alias("extra")))
+        results.append(decisions(folded.select("source", F.explode("r.done").alias("d"))))
         carries = folded.where("r.carry IS NOT NULL").select("source", "blocks", "r.carry.*")
+        # A source with one block is done, on whichever level that is: its carry takes none, and its words are left.
+        last = carries.where("blocks = 1")
+        results.append(last.select("source", *item[:3], F.lit(0).cast("long").alias("extra")))
+        lefts.append(last.select("source", (F.col("p") * F.col("size")).alias("rest")))
         if folded.where("blocks > 1").isEmpty():
-            # The carry's words go to documents of its block that took none, the largest that fit.
-            results[-1] = folded.select("source", F.explode(_spent(F.col("r"))).alias("d")).select(
-                "source", "d.id", "d.copy", "d.size", F.col("d.p").cast("long").alias("extra"))
             break
-        open_rows, level = carries.select("source", *item), level + 1
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+        open_rows, level = carries.where("blocks > 1").select("source", *item), level + 1
+    decided = reduce(DataFrame.unionByName, results)
+    given = written(_given(decided, reduce(DataFrame.unionByName, lefts), seed), "given").toDF("s", "i", "c", "z")
+    same = (F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i"))
+            & (F.col("copy") == F.col("c")) & (F.col("size") == F.col("z")))
+    extra = F.when(F.col("z").isNotNull(), 1).otherwise(F.col("extra")).cast("long").alias("extra")
+    return decided.join(small(given, 64), same, "left").select("source", "id", "copy", "size", extra)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",

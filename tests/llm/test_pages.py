@@ -238,6 +238,23 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_mix_misses_less_than_the_least_document_left(spark):
+    """Shallow sources beside one that goes a level deeper, and one with a very long document."""
+    rows = [(i, "w " * (1 + i * 7 % 149), "shallow") for i in range(300)]
+    rows += [(10_000 + i, "w " * (4 + i % 3), "deep") for i in range(4500)]
+    rows += [(20_000 + i, "w " * (1 + i % 30), "long") for i in range(200)] + [(30_000, "w " * 5000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = {}
+    for r in mixing.mix(docs).collect():
+        of.setdefault(r["source"], []).append(r)
+    for rows in of.values():
+        want, size = rows[0]["target"], rows[0]["source_size"]
+        missed = want - sum(r["taken"] for r in rows)
+        assert want % size
+        left = [r["size"] for r in rows if r["copies"] == int(want / size + 1e-9)]
+        assert -0.51 <= missed < (min(left) if left else 0.51), (rows[0]["source"], missed)
+
+
 def test_rounding_is_unbiased(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 20), f"s{i % 2}") for i in range(200)], "doc_id long, text string, source string")
     taken = [0] * 200
