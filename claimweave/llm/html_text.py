@@ -7,9 +7,11 @@ scripts, styles, reader comments) and lines that are links for the most part cou
 
 The distribution is the sum of the text lengths of `WINDOW` lines, for every line from itself on. Text
 surges where the distribution rises from zero, and dives where a whole window is empty again; what lies
-between surge and dive is kept if it reaches `LEAST_MASS`, and the region of greatest mass always
-is. If the page marks articles that hold text, lines outside of them count as empty, and all regions
-are kept. Lines between surge and dive that count as empty are left out.
+between surge and dive is a region. Stripped containers leave no lines, so they part no regions. Heavy are the
+regions that reach `LEAST_MASS`, and that of greatest mass. Kept are they, all regions between the first and the last of
+them, and however short, all regions that share a container (`_CONTAINERS`) with a heavy one: those that lie in it, or
+if it is the whole page, those between its first and its last own line. If the page marks articles that hold text, lines
+outside of them count as empty, and all regions are kept. Lines between surge and dive that count as empty are left out.
 
 Defined results: null, empty and blank pages, and pages without text, give the empty string. Unclosed
 containers end where their parent ends; unclosed comments, scripts and styles at the end of the page. A `<`
@@ -54,6 +56,8 @@ _BOILERPLATE_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus reply replies respond widget pagination pager skip masthead toolbar".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
+# Elements that hold the parts of a text, where others are its parts.
+_CONTAINERS = frozenset("article body center dialog div html main section td th".split())
 # These end an open one of their own kind.
 _CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 
@@ -74,13 +78,18 @@ def _boilerplate(tag: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """Lines as (text, length that counts, in an article), in page order."""
-    out: list[tuple[str, int, bool]] = []
+def lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[list[int]]]:
+    """Lines as (text, length that counts, in an article, container), in page order, and the containers.
+
+    Containers are (parent, line where it ends); number 0 is the page, and so are its html and body.
+    """
+    out: list[tuple[str, int, bool, int]] = []
+    containers = [[0, 0]]
+    inside = 0
     parts: list[str] = []
     linked = 0
     # Open elements that matter: containers, and links.
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
     skipping = articles = links = 0
 
     def flush() -> None:
@@ -88,7 +97,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
             counts = 0 if linked > MOST_LINKED * len(text) else len(text)
-            out.append((text, counts, articles > 0))
+            out.append((text, counts, articles > 0, inside))
         parts.clear()
         linked = 0
 
@@ -101,15 +110,15 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                 linked += len(_SPACE.sub(" ", decoded).strip())
 
     def close(depth: int) -> None:
-        nonlocal skipping, articles, links
+        nonlocal skipping, articles, links, inside
         while len(stack) > depth:
-            tag, skipped, article = stack.pop()
+            tag, skipped, article, container = stack.pop()
             skipping -= skipped
             articles -= article
             links -= tag == "a"
-            if skipped and not skipping:
-                # The stripped container stands as empty lines.
-                out.extend([("", 0, False)] * WINDOW)
+            if container:
+                containers[inside][1] = len(out)
+                inside = containers[inside][0]
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -139,20 +148,53 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             if skipped and not skipping:
                 flush()
             if tag in _BLOCK or skipped or tag == "a":
-                stack.append((tag, skipped, article))
+                container = tag in _CONTAINERS and tag not in ("html", "body")
+                stack.append((tag, skipped, article, container))
+                if container:
+                    containers.append([inside, 0])
+                    inside = len(containers) - 1
                 skipping += skipped
                 articles += article
                 links += tag == "a"
     text(html[at:])
     flush()
-    return out
+    close(0)
+    containers[0][1] = len(out)
+    return out, containers
+
+
+def _of_text(regions: list[list[int]], heavy: list[bool], rows: list[tuple[str, int, bool, int]],
+             containers: list[list[int]]) -> list[bool]:
+    """Which regions belong to the text of the heavy ones."""
+    kept = list(heavy)
+
+    def fill(fits: list[bool]) -> None:
+        if any(fits):
+            low, high = fits.index(True), len(fits) - fits[::-1].index(True)
+            kept[low:high] = [True] * (high - low)
+
+    fill(heavy)
+    homes = set()
+    for r, h in zip(regions, heavy):
+        if h:
+            # The least container that holds the first and the last line.
+            c = rows[r[0]][3]
+            while c and containers[c][1] <= r[-1]:
+                c = containers[c][0]
+            homes.add(c)
+    if 0 in homes:
+        fill([any(rows[i][3] == 0 for i in r) for r in regions])
+    within = [c in homes and c > 0 for c in range(len(containers))]
+    for c in range(1, len(containers)):
+        within[c] |= within[containers[c][0]]
+    return [k or any(within[rows[i][3]] for i in r) for k, r in zip(kept, regions)]
 
 
 def main_text(html: str | None) -> str:
     """The text between surges and dives of the line-block distribution."""
-    rows = lines(html) if html else []
-    marked = any(n and article for _, n, article in rows)
-    counts = [n if article or not marked else 0 for _, n, article in rows]
+    rows, containers = lines(html) if html else ([], [])
+    marked = any(n and article for _, n, article, _ in rows)
+    counts = [n if article or not marked else 0 for _, n, article, _ in rows]
     blocks = [sum(counts[i : i + WINDOW]) for i in range(len(rows))]
     regions: list[list[int]] = []
     for i, n in enumerate(counts):
@@ -162,8 +204,10 @@ def main_text(html: str | None) -> str:
         elif n:
             regions[-1].append(i)
     masses = [sum(counts[i] for i in r) for r in regions]
-    kept = [r for r, m in zip(regions, masses) if marked or m >= LEAST_MASS or m == max(masses)]
-    return "\n".join(rows[i][0] for r in kept for i in r)
+    greatest = max(masses, default=0)
+    heavy = [marked or m >= LEAST_MASS or m == greatest for m in masses]
+    kept = heavy if marked else _of_text(regions, heavy, rows, containers)
+    return "\n".join(rows[i][0] for r, k in zip(regions, kept) if k for i in r)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -121,6 +121,18 @@ def test_surge_and_dive_without_marked_articles():
     assert len(lines) == 5 and lines[-1] == "Short end."
 
 
+def test_short_parts_of_a_text_stay_without_marked_articles():
+    long = "words of a long paragraph " * 20
+    links = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(9))
+    kept = ["Title", long.strip(), "Short last paragraph."]
+    page = f"<h1>Title</h1><div class=share>Share</div><p>{long}</p><div class=advert>Buy</div><p>Short last paragraph.</p>"
+    assert html_text.main_text(page).split("\n") == kept
+    # Lists of links part regions, which then share their container or the page.
+    page = f"<h1>Title</h1><ul>{links}</ul><p>{long}</p><ul>{links}</ul><p>Short last paragraph.</p>"
+    for whole in (page, f"<ul>{links}</ul><div>Tiny.</div><ul>{links}</ul><div>{page}</div><ul>{links}</ul><div>Tiny.</div>"):
+        assert html_text.main_text(whole).split("\n") == kept
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), (" \n", ""), ("<p>", ""), ("a < b and c > d", "a < b and c > d"), ("<div><p>Only text", "Only text"),
     ("<p>x<!-- open", "x"), ("<script>var a", ""), ("<article><p>One</article>tail", "One"), ("<p>&nbsp;a&#8217;b&lt;</p>", "a’b<"),
