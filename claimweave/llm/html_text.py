@@ -3,7 +3,9 @@
 Markup is stripped to lines: block-level tags and line ends of preformatted text start a new line, character
 references are decoded, white space within a line becomes one blank. Lines inside containers that hold
 no article text (menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) and lines that are links for the most part count as empty.
+scripts, styles, reader comments) are stripped, and outside of marked articles, lines that are links for the most part
+count as empty. Forms, headers, and containers known by a whole name of their class or id alone are not stripped if
+they hold a marked article or more than half of the page's text, or if nothing else has text.
 
 The distribution is the sum of the text lengths of `WINDOW` lines, for every line from itself on. Text
 surges where the distribution rises from zero, and dives where a whole window is empty again; what lies
@@ -38,23 +40,27 @@ _TOKEN = re.compile(
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|svg|math|select|canvas)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*)(?:>|\Z)",
     re.S | re.I)
-_ATTRIBUTE = re.compile(r"""(?P<name>class|id|role|hidden|aria-label|itemprop|style)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_ATTRIBUTE = re.compile(r"""(?P<name>[^\s"'<>/=]+)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?""")
+_SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section summary table tbody td tfoot th thead tr ul".split())
-_BOILERPLATE_TAGS = frozenset("head nav footer aside form button menu dialog fieldset search".split())
+_BOILERPLATE_TAGS = frozenset("head nav footer aside button menu dialog search".split())
+_LOOSE_TAGS = frozenset("form fieldset".split())
 _BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words of a class or id that mark a container without article text.
+# Class names and ids of these words, and of any of `_BOX_WORDS`, mark a container without article text.
 _BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar side aside footer cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus reply replies respond widget pagination pager skip masthead toolbar".split())
+_BOX_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content footer header holder icon icons inner item "
+    "items label left link links list module outer panel posts right row section site slot text top unit wrap wrapper zone".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
 # Elements that hold the parts of a text, where others are its parts.
 _CONTAINERS = frozenset("article body center dialog div html main section td th".split())
@@ -62,58 +68,100 @@ _CONTAINERS = frozenset("article body center dialog div html main section td th"
 _CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 
 
-def _boilerplate(tag: str, rest: str, in_article: bool) -> bool:
-    if tag in _BOILERPLATE_TAGS or (tag == "header" and not in_article):
-        return True
+def _named(value: str) -> bool:
+    """Whether a name of a class or id as a whole says that there is no article text."""
+    for token in value.split():
+        names = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+        names = [w.lower() for w in names]
+        if not _BOILERPLATE_WORDS.isdisjoint(names) and all(w in _BOILERPLATE_WORDS or w in _BOX_WORDS for w in names):
+            return True
+    return False
+
+
+def _boilerplate(tag: str, rest: str, in_article: bool) -> str:
+    """Why an element holds no article text: "" if it may, "loose" if a wrapper of the text can look like this, or "sure"."""
+    if tag in _LOOSE_TAGS or (tag == "header" and not in_article):
+        why = "loose"
+    elif tag in _BOILERPLATE_TAGS:
+        return "sure"
+    else:
+        why = ""
     if not rest.strip(" /") or tag in ("html", "body", "article", "main"):
-        return False
+        return why
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
-        if name == "role" and value.lower() in _BOILERPLATE_ROLES or name == "hidden":
-            return True
+        if name == "role" and value.strip().lower() in _BOILERPLATE_ROLES or name == "hidden":
+            return "sure"
+        if name == "aria-hidden" and value.strip().lower() == "true":
+            return "sure"
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and not _BOILERPLATE_WORDS.isdisjoint(_SPLIT.split(value.lower())):
-            return True
-    return False
+            return "sure"
+        if name in ("class", "id") and _named(value):
+            why = "loose"
+    return why
 
 
 def lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[list[int]]]:
+    """Lines and containers, without what looks like boilerplate but holds an article or most of the page's text."""
+    rows, containers, loose, mass = _lines(html, frozenset())
+    wraps = frozenset(at for at, n, articles in loose if articles or 2 * n > mass)
+    if wraps:
+        rows, containers, loose, mass = _lines(html, wraps)
+    if loose and not any(r[1] for r in rows):
+        # The page's text is dealt to containers that all look like boilerplate.
+        rows, containers, *_ = _lines(html, wraps | {at for at, *_ in loose})
+    return rows, containers
+
+
+def _lines(html: str, wraps: frozenset[int]) -> tuple[
+        list[tuple[str, int, bool, int]], list[list[int]], list[tuple[int, int, int]], int]:
     """Lines as (text, length that counts, in an article, container), in page order, and the containers.
 
-    Containers are (parent, line where it ends); number 0 is the page, and so are its html and body.
+    Containers are (parent, line where it ends); number 0 is the page, and so are its html and body. Then come the elements
+    that are loosely taken for boilerplate, as (place, length of their text, articles in them), and the length of all text.
+    wraps: places of elements that are not to be taken for it.
     """
+    loose: list[tuple[int, int, int]] = []
+    seen = marked = 0
     out: list[tuple[str, int, bool, int]] = []
     containers = [[0, 0]]
     inside = 0
     parts: list[str] = []
     linked = 0
     # Open elements that matter: containers, and links.
-    stack: list[tuple[str, bool, bool, bool]] = []
-    skipping = articles = links = 0
+    stack: list[tuple[str, bool, bool, bool, tuple[int, int, int] | None]] = []
+    # Skipped elements that are open, and those of them that are surely boilerplate.
+    skipping = hidden = articles = links = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            counts = 0 if linked > MOST_LINKED * len(text) else len(text)
+            counts = 0 if linked > MOST_LINKED * len(text) and not articles else len(text)
             out.append((text, counts, articles > 0, inside))
         parts.clear()
         linked = 0
 
     def text(raw: str) -> None:
-        nonlocal linked
-        if not skipping and raw:
+        nonlocal linked, seen
+        if raw and not hidden:
             decoded = unescape(raw)
-            parts.append(decoded)
-            if links:
-                linked += len(_SPACE.sub(" ", decoded).strip())
+            length = len(_SPACE.sub(" ", decoded).strip())
+            seen += length
+            if not skipping:
+                parts.append(decoded)
+                if links:
+                    linked += length
 
     def close(depth: int) -> None:
-        nonlocal skipping, articles, links, inside
+        nonlocal skipping, articles, links, inside, hidden
         while len(stack) > depth:
-            tag, skipped, article, container = stack.pop()
+            tag, skipped, article, container, start = stack.pop()
             skipping -= skipped
+            if start:
+                loose.append((start[0], seen - start[1], marked - start[2]))
+            elif skipped:
+                hidden -= 1
             articles -= article
             links -= tag == "a"
             if container:
@@ -144,12 +192,15 @@ def lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[list[int]]]
             if tag in _CLOSED_BY_NEXT and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
             article = tag in _ARTICLE_TAGS
-            skipped = _boilerplate(tag, m["rest"], articles > 0)
+            why = _boilerplate(tag, m["rest"], articles > 0)
+            skipped = bool(why) and m.start() not in wraps
             if skipped and not skipping:
                 flush()
             if tag in _BLOCK or skipped or tag == "a":
                 container = tag in _CONTAINERS and tag not in ("html", "body")
-                stack.append((tag, skipped, article, container))
+                stack.append((tag, skipped, article, container, (m.start(), seen, marked) if skipped and why == "loose" else None))
+                hidden += why == "sure"
+                marked += article and not hidden
                 if container:
                     containers.append([inside, 0])
                     inside = len(containers) - 1
@@ -160,7 +211,7 @@ def lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[list[int]]]
     flush()
     close(0)
     containers[0][1] = len(out)
-    return out, containers
+    return out, containers, loose, seen
 
 
 def _of_text(regions: list[list[int]], heavy: list[bool], rows: list[tuple[str, int, bool, int]],

@@ -133,6 +133,33 @@ def test_short_parts_of_a_text_stay_without_marked_articles():
         assert html_text.main_text(whole).split("\n") == kept
 
 
+@pytest.mark.parametrize("start", [
+    'p aria-hidden="false"', "p data-hidden=1", 'p title="hidden gems"', 'div class="content with-sidebar"', "div class=no-comments",
+    "div id=has-banner", 'div class="x side-by-side"', "div class=skip-none",
+])
+def test_text_is_not_taken_for_boilerplate(start):
+    tag = start.split()[0]
+    for page in (f"<article><p>One</p><{start}>Two</{tag}></article>", f"<p>One</p><{start}>Two</{tag}>"):
+        assert html_text.main_text(page) == "One\nTwo"
+
+
+@pytest.mark.parametrize("start", [
+    'p aria-hidden="true"', "p hidden", "p HIDDEN=''", 'div class="x side-bar"', "div id=cookieNotice", "div class='ad-slot-3'", "form"])
+def test_boilerplate_by_whole_names(start):
+    tag = start.split()[0]
+    assert html_text.main_text(f"<article><p>One and more</p><{start}>Two</{tag}></article>") == "One and more"
+
+
+def test_wrappers_and_links_of_the_text_stay():
+    for start in ("div class=sidebar", "form action=x", "div id=related"):
+        tag = start.split()[0]
+        assert html_text.main_text(f"<{start}><div class=ad>Buy</div><article><p>One and more</p></article></{tag}>") == "One and more"
+        assert html_text.main_text(f"<div>Site</div><{start}><div class=ad>Buy</div><p>One and more of it</{tag}>").endswith("One and more of it")
+    assert html_text.main_text("<div class=social>Ab</div><div class=related>Cd</div>") == "Ab\nCd"
+    assert html_text.main_text("<article><h1><a href=x>Headline</a></h1><p>Text.</p><ol><li><a href=y>Source</a></ol></article>") == (
+        "Headline\nText.\nSource")
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), (" \n", ""), ("<p>", ""), ("a < b and c > d", "a < b and c > d"), ("<div><p>Only text", "Only text"),
     ("<p>x<!-- open", "x"), ("<script>var a", ""), ("<article><p>One</article>tail", "One"), ("<p>&nbsp;a&#8217;b&lt;</p>", "a’b<"),
