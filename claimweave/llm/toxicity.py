@@ -83,7 +83,7 @@ class Index:
         return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
     def nearest(self, at: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the nearest examples, best first, and of these none of the id `without`."""
+        """Numbers and cosines of the nearest examples, best first, of all examples but those of the id `without`."""
         if not len(at) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         bound = w @ self.most[at]
@@ -99,6 +99,8 @@ class Index:
                 if s < e:
                     dots[self.examples[t][s:e] - low] += x * self.weights[t][s:e]
             hit = np.flatnonzero(dots > 0)
+            if without is not None:
+                hit = hit[self.ids[hit + low] != without]
             found.append(hit + low)
             scores.append(np.round(dots[hit], PLACES))
             n += len(hit)
@@ -108,9 +110,6 @@ class Index:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         number, cosine = np.concatenate(found), np.concatenate(scores)
-        if without is not None:
-            other = self.ids[number] != without
-            number, cosine = number[other], cosine[other]
         best = np.lexsort((self.ids[number], -cosine))[:NEIGHBOURS]
         return number[best], cosine[best]
 

@@ -122,6 +122,23 @@ def test_nearest_examples_are_exact():
         assert set(index.ids[number]) == set(index.ids[order]) or np.isclose(got[-1], cosine[order[-1]], atol=2e-6)
 
 
+def test_nearest_examples_without_itself_are_exact(monkeypatch):
+    """Calibration votes with as many neighbours as scoring does, from all blocks that reach them."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    examples, terms = random_examples(700, random.Random(5))
+    index = toxicity.build(examples, terms, {t: 5 + i for i, t in enumerate(terms)}, 1000)
+    dense = np.zeros((len(index.ids), len(terms)))
+    for t, (e, w) in enumerate(zip(index.examples, index.weights)):
+        dense[e, t] = w
+    for n, i in enumerate(index.ids):
+        at = np.flatnonzero(dense[n])
+        cosine = np.round(dense[:, at] @ dense[n, at], toxicity.PLACES)
+        order = [k for k in np.lexsort((index.ids, -cosine)) if cosine[k] > 0 and index.ids[k] != i][: toxicity.NEIGHBOURS]
+        number, got = index.nearest(at, dense[n, at], without=i)
+        assert i not in index.ids[number] and len(got) == len(order)
+        assert np.allclose(got, cosine[order], atol=2e-6)
+
+
 def test_calibration_increases():
     x = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
     at, share = toxicity._isotonic(x, np.array([0, 1, 0, 0, 1, 1.0]))
