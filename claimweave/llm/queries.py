@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm import (
-    decontaminate, html_text, licenses, minhash, mixing, quality_model, quality_rules, toxicity, url_filter, warc,
+    centroids, conversations, decontaminate, html_text, jaccard_join, licenses, minhash, mixing, quality_model, quality_rules, toxicity,
+    url_filter, warc,
 )
 
 
@@ -72,6 +73,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, path, id_column="doc_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, repaired."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings")).drop("n_met")
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_quality_model, op3_toxicity, op4_quality_rules, op5_decontaminate, op6_minhash_dedup,
-    op7_mix_sources, op8_html_text, op9_warc, op10_licenses)}
+    op7_mix_sources, op8_html_text, op9_warc, op10_licenses, op11_conversation_repair, op12_centroid_clustering,
+    op13_ngram_jaccard_join)}
