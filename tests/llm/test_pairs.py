@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontaminate, licenses, minhash
+from claimweave.llm import decontaminate, jaccard_join, licenses, minhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -19,14 +19,14 @@ def text_of(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def expected_components(rows):
+def expected_components(rows, size=5, percent=75):
     """rows: (id, text) with ids; every pair is compared."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, size)) for i, t in rows]
     root = {k: k for k in range(len(sets))}
 
     def find(k):
@@ -37,7 +37,7 @@ def expected_components(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(sets):
@@ -122,6 +122,74 @@ def test_minhash_of_an_empty_table(spark):
     assert minhash.components(docs).collect() == [] and minhash.deduplicated(docs).collect() == []
 
 
+# ---------------------------------------------------------------- n-gram join
+
+
+@pytest.mark.parametrize("block", [128, 5])
+def test_joined_components_equal_brute_force(spark, monkeypatch, block):
+    """Near copies, chains whose ends are apart, boilerplate without links, and short texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(12)
+    texts = [t for _, t in near_copies(rng)]
+    w = text_of(rng, 300).split()
+    texts += [" ".join(w[3 * i : 3 * i + 150]) for i in range(25)]
+    for _ in range(120):
+        w = text_of(rng, rng.randrange(3, 30)).split()
+        texts += [" ".join(w), " ".join([*w[:-1], "new"])]
+    rows = list(enumerate(texts))
+    rows += [(10_000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"node": F.lit("clash"), "n": F.lit(1), "gram": F.lit(2), "label": F.lit(3), "key1": F.lit(4)}).repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs).collect()}
+    assert got == expected_components(rows, 4, 85)
+
+
+def test_overlaps_follow_from_a_similar_sets_overlaps():
+    rng = np.random.default_rng(3)
+    base = rng.choice(5000, 400, replace=False)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < 0.95], rng.choice(5000, 10)])).astype(np.uint64) for _ in range(20)]
+    index = jaccard_join.Overlaps(sets[:8])
+    for s in sets[8:]:
+        assert index.of(s).tolist() == [len(np.intersect1d(s, t)) for t in sets[:8]]
+    assert index.derived == 11
+
+
+def test_a_comparison_gives_no_more_links_than_it_joins():
+    import pandas as pd
+
+    rng = random.Random(2)
+    base = text_of(rng, 150).split()
+    texts = [" ".join(base[:k] + ["new"] + base[k + 1 :]).encode() for k in range(10, 40)]
+    sets = list(jaccard_join.ngram_sets(texts, 4, jaccard_join._Words()))
+    rows = pd.DataFrame({"cell": 1, "node": range(30), "label": range(30), "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+    both = pd.concat([rows.assign(side=0), rows.assign(side=1)], ignore_index=True)
+    assert len(jaccard_join.cell_links(both, 85)) == 29
+
+
+def test_boilerplate_lists_are_never_paired(spark):
+    """Documents that share three fifths of their text, none linked: nobody's prefix holds the shared part."""
+    rng = random.Random(4)
+    shared = text_of(rng, 120)
+    rows = [(i, " ".join([f"a{i}_{k}" for k in range(40)]) + f" {shared} " + " ".join([f"b{i}_{k}" for k in range(40)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = jaccard_join._texts(docs, "text")
+    signed = texts.mapInPandas(jaccard_join._signing(4), "key1 long, key2 long, n long, n_listed long, node long")
+    listed = jaccard_join.prefixes(texts, signed, 4, 85)
+    assert listed.count() < 400 * 6
+    assert {r["component_id"] == r["doc_id"] for r in jaccard_join.components(docs).collect()} == {True}
+
+
+def test_join_of_empty_tables_nulls_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d  e f"), (3, None), (4, ""), (None, "a b c d e f"), (None, "x"), (5, "x y"),
+            (6, "word " * 40_000), (7, "word " * 39_999)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r[0] or -1, r[1], r[2] or -1) for r in jaccard_join.components(docs).collect()))
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (-1, 3, 1), (-1, 1, -1), (5, 1, 5), (6, 1, 6), (7, 1, 6)])
+    assert jaccard_join.components(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        jaccard_join.components(docs, percent=50)
+
+
 # ---------------------------------------------------------------- decontamination
 
 

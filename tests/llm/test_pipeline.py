@@ -57,6 +57,6 @@ def test_empty_tables_pass_all_stages(spark):
 
 def test_one_query_for_each_operator():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
