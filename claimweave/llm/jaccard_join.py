@@ -8,13 +8,14 @@ n-gram in both prefixes. Lists name the position of the n-gram in each set's ord
 * **Skipping by position.** Members of a list are blocks of like size and position. A pair whose first common
   n-gram this is has at most n - o others before it, o being the overlap it needs; two blocks whose least
   positions exceed that, or whose sizes differ too much, are never brought together.
-* **Answers from answers.** Two blocks are compared by an inverted index of the one. The overlaps of a set with
+* **Answers from answers.** Lists of the same members have the same answers and are compared once. Two blocks are compared by an inverted index of the one. The overlaps of a set with
   all members are counted afresh only if the set before it is not like it; otherwise they follow from the
   earlier set's overlaps and the few n-grams that one has and the other lacks. All are exact.
 
-A list first links its members to its least member; only lists whose members are still in several
+Each class is first compared with the least leader of its lists, a list's leader being its least member; only lists whose members are still in several
 components are compared block by block, and a comparison gives no more links than it joins
-components. So groups of thousands of near copies make no quadratic output, while no link between components is lost.
+components. Before texts are brought to a comparison, counts of n-grams in buckets rule out members that differ too much from
+all others; their difference is never less than that of the counts. So groups of thousands of near copies make no quadratic output, while no link between components is lost.
 
 Only n-grams with a hash in the lowest SHARE of the hash range are counted and listed. That is exact too: of
 a set with more than D = n - ceil(t n) such n-grams, a partner has at least one, and at most D of them come before
@@ -47,6 +48,8 @@ SHARE = 0.4
 # Position classes per prefix, and most sets of a block.
 POSITIONS = 4
 BLOCK = 128
+# Most classes that one row of a leader is compared with.
+GROUP = 512
 MOST_CACHED_WORDS = 1 << 18
 MOST_SEEN = 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +92,28 @@ def _listed(ngrams: np.ndarray) -> np.ndarray:
     return ngrams[: np.searchsorted(ngrams, np.uint64(int(SHARE * 2**64)))]
 
 
+def sketch(ngrams: np.ndarray) -> bytes:
+    """How many n-grams fall into each of about n / 2 buckets, at most 255."""
+    bits = max(4, int(len(ngrams) - 1).bit_length() - 1)
+    counts = np.bincount((ngrams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def least_differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """For each pair of sets a number that their symmetric difference reaches at least, from their sketches."""
+    width = max(min(map(len, left + right)), max(map(len, left + right)) // 64)
+    if min(map(len, left + right)) < width:  # sizes too different for a link
+        return np.full((len(left), len(right)), np.iinfo(np.int32).max, np.int32)
+
+    def folded(sketches: list[bytes]) -> np.ndarray:
+        # Buckets are leading bits, so neighbours add up to the bucket of one bit less.
+        return np.stack([np.frombuffer(s, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int16) for s in sketches])
+
+    # Members of a cell are of like size, so a few counts of at most 255 are folded into one.
+    y = folded(right)
+    return np.stack([np.abs(y - x).sum(axis=1, dtype=np.int32) for x in folded(left)])
+
+
 def _spare(n: int, percent: int) -> int:
     """Most n-grams of a set that a partner may lack."""
     return n - -(-percent * n // 100)
@@ -98,10 +123,12 @@ def _signing(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for pdf in batches:
-            rows = [(len(s), len(_listed(s)), _node(s) if len(s) else None) for s in ngram_sets(pdf["text"].tolist(), words, known)]
-            n, listed, node = zip(*rows) if rows else ((), (), ())
+            rows = [(len(s), len(_listed(s)), _node(s), sketch(s)) if len(s) else (0, 0, None, None)
+                    for s in ngram_sets(pdf["text"].tolist(), words, known)]
+            n, listed, node, counts = zip(*rows) if rows else ((), (), (), ())
             yield pdf.drop(columns="text").assign(
-                n=np.array(n, np.int64), n_listed=np.array(listed, np.int64), node=pd.array(node, "Int64"))
+                n=np.array(n, np.int64), n_listed=np.array(listed, np.int64), node=pd.array(node, "Int64"),
+                sketch=pd.Series(counts, pdf.index, dtype=object))
 
     return signed
 
@@ -128,13 +155,29 @@ def _listing(words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Ite
     return listed
 
 
-def _setting(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "grams": [s.tobytes() for s in ngram_sets(pdf["text"].tolist(), words, known)]})
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Copies of a text are many rows; a task sends one of them to each group."""
+    seen: set[tuple[int, int, int]] = set()
+    for pdf in batches:
+        keep = []
+        for row in pdf[["cell", "side", "node"]].itertuples(index=False, name=None):
+            keep.append(row not in seen)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            seen.add(row)
+        yield pdf[np.array(keep, bool)]
+
 
-    return sets
+def _with_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """Texts become sets; of a class that several tasks sent, one row stays."""
+    known, last = _Words(), None
+    for pdf in batches:
+        keep = []
+        for row in pdf[["cell", "side", "node"]].itertuples(index=False, name=None):
+            keep.append(row != last)
+            last = row
+        pdf = pdf[np.array(keep, bool)]
+        yield pdf.drop(columns="text").assign(grams=pd.Series(list(ngram_sets(pdf["text"].tolist(), words, known)), pdf.index, dtype=object))
 
 
 def _overlap_needed(n: Column, m: Column, percent: int) -> Column:
@@ -142,15 +185,21 @@ def _overlap_needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
 
 
-def _verifying(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _verifying(words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links of leaders (side 0) with members (side 1); each cell comes as its leader, then its members."""
+
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (a, b) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pdf.loc[keep, ["a", "b"]]
+        cell, leader, x = None, 0, np.empty(0, np.uint64)
+        for pdf in _with_sets(batches, words):
+            found = []
+            for c, side, node, y in pdf[["cell", "side", "node", "grams"]].itertuples(index=False, name=None):
+                if side == 0:
+                    cell, leader, x = c, node, y
+                elif c == cell:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        found.append((leader, node))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return linked
 
@@ -186,9 +235,10 @@ class Overlaps:
 
 def cell_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links that join components, between the two blocks of a cell (sides 0 and 1)."""
+    rows = rows.assign(n=rows["grams"].map(len))
     left, right = rows[rows["side"] == 0].sort_values(["label", "n"]), rows[rows["side"] == 1]
-    index = Overlaps([np.frombuffer(s, np.uint64) for s in right["grams"]])
-    sizes, labels = right["n"].to_numpy(), right["label"].tolist()
+    index = Overlaps(list(right["grams"]))
+    sizes, labels = np.array([len(s) for s in right["grams"]]), right["label"].tolist()
     root: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -198,7 +248,7 @@ def cell_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
     links = []
     for node, label, n, grams in left[["node", "label", "n", "grams"]].itertuples(index=False):
-        both = index.of(np.frombuffer(grams, np.uint64))
+        both = index.of(grams)
         for j in np.flatnonzero(100 * both >= percent * (n + sizes - both)):
             a, b = find(label), find(labels[j])
             if a != b:
@@ -208,23 +258,55 @@ def cell_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _celling(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells come one after the other; the last of a batch may go on in the next."""
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last = pdf["cell"] == pdf["cell"].iat[-1]
-            rest = pdf[last]
-            found = [x for _, g in pdf[~last].groupby("cell", sort=False) for x in cell_links(g, percent)]
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if rest is not None and len(rest) and (found := cell_links(rest, percent)):
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def screened(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The members of a cell that may have a link to another component, with the member that they differ from least.
+
+    Their sketches do not rule the link out.
+    """
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if left.empty or right.empty:
+        return rows.iloc[:0].assign(partner=0, bound=0)
+    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    # Exact in whole numbers: the overlap that a pair of these sizes needs.
+    needed = -(-percent * (n + m) // (100 + percent))
+    least = least_differences(left["sketch"].tolist(), right["sketch"].tolist())
+    may = (least <= n + m - 2 * needed) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
+    found = []
+    for mine, other, bound, ok in ((left, right, least, may), (right, left, least.T, may.T)):
+        mine, ok, bound = mine[ok.any(axis=1)], ok[ok.any(axis=1)], bound[ok.any(axis=1)]
+        best = np.where(ok, bound, np.iinfo(np.int32).max)
+        found.append(mine.assign(partner=other["node"].to_numpy()[best.argmin(axis=1)] if len(mine) else None, bound=best.min(axis=1, initial=2**31 - 1)))
+    return pd.concat([f for f in found if len(f)]) if any(map(len, found)) else rows.iloc[:0].assign(partner=0, bound=0)
+
+
+def _by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    """The cells of each batch; cells come one after the other, and the last of a batch may go on in the next."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        last = pdf["cell"] == pdf["cell"].iat[-1]
+        rest = pdf[last]
+        yield [g for _, g in pdf[~last].groupby("cell", sort=False)]
+    if rest is not None and len(rest):
+        yield [rest]
+
+
+def _screening(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in _by_cell(batches):
+            yield from (screened(c, percent)[["cell", "side", "node", "label", "partner", "bound"]] for c in cells)
+
+    return screen
+
 
-    return cells
+def _celling(words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in _by_cell(_with_sets(batches, words)):
+            yield pd.DataFrame([x for c in cells for x in cell_links(c, percent)], columns=["a", "b"], dtype="int64")
+
+    return linked
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -232,22 +314,22 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*text_key(body), body.cast("binary").alias("text"))
 
 
-def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The full sets of the wanted classes, each from one of its texts."""
-    keys = small(written(classes.join(wanted.distinct(), "node", "left_semi").select("node", *KEY), "wanted"), 48)
-    # Copies of a text are many rows with the same key; one is enough.
-    one = texts.join(keys, KEY).groupBy("node").agg(F.first("text").alias("text"))
-    return written(one.mapInPandas(_setting(words), "node long, grams binary"), "sets")
+def _gathered(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that each cell needs, cell by cell. wanted: (cell, side, node, label)."""
+    keyed = small(written(wanted.join(classes.select("node", *KEY), "node"), "wanted"), 64)
+    found = texts.join(keyed, KEY).select("cell", "side", "node", "label", "text")
+    once = found.mapInPandas(_once, found.schema)
+    return once.repartition("cell").sortWithinPartitions("cell", "side", "node")
 
 
 def prefixes(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(gram, node, n, pos) of the n-grams in prefixes that another class has too. pos: place in the set's order."""
+    """(gram, often, node, n, pos) of the n-grams in prefixes that another class has too. pos: place in the set's order."""
     grams = texts.select("text").mapInPandas(_listing(words, percent), "node long, grams array<long>")
-    # The one shuffle of n-grams: counts and occurrences are both taken from it.
-    placed = grams.select("node", F.explode("grams").alias("gram")).repartition("gram")
-    counts = placed.groupBy("gram").agg(
-        F.count("node").alias("often"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = placed.join(counts.select("gram", "often"), "gram").groupBy("gram", "node").agg(F.max("often").alias("often"))
+    # The one shuffle of n-grams. An n-gram has at most one row a class and task, a small part of all rows.
+    of_gram = Window.partitionBy("gram")
+    placed = grams.select("node", F.explode("grams").alias("gram")).withColumns({
+        "often": F.count("*").over(of_gram), "low": F.min("node").over(of_gram), "high": F.max("node").over(of_gram)})
+    shared = placed.where("low < high").groupBy("gram", "node").agg(F.max("often").alias("often"))
     shared = shared.withColumn("all", F.col("gram").bitwiseAND(1))
     of_set = Window.partitionBy("node", "all")
     ranked = shared.withColumns({
@@ -256,7 +338,19 @@ def prefixes(texts: DataFrame, classes: DataFrame, words: int, percent: int) ->
     size = F.when(F.col("all") == 1, F.col("n")).otherwise(F.col("n_listed"))
     # What no other class has comes first in the order.
     placed = ranked.join(sizes, "node").withColumn("pos", size - F.col("n_shared") + F.col("at") - 1)
-    return written(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).select("gram", "node", "n", "pos"), "prefixes")
+    return written(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).select("gram", "often", "node", "n", "pos"), "prefixes")
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links among the pairs (node, a): each class with one other, in groups of a bounded size around it."""
+    pairs = written(pairs, "pairs")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    cell, none = F.xxhash64("a", "part").alias("cell"), F.lit(0).cast("long").alias("label")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    to_each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    members = pairs.join(sizes, "a").withColumn("part", part).select(cell, F.lit(1).alias("side"), "node", none)
+    leaders = sizes.withColumn("part", to_each).select(cell, F.lit(0).alias("side"), F.col("a").alias("node"), none)
+    return written(_gathered(members.union(leaders), classes, texts).mapInPandas(_verifying(words, percent), "a long, b long"), "links")
 
 
 def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -267,16 +361,18 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     need = _overlap_needed(F.col("n"), F.col("leader.n"), percent)
     star = members.where(F.col("node") != F.col("leader.node")).where(
         (F.col("pos") <= F.col("n") - need) & (F.col("leader.pos") <= F.col("leader.n") - need))
-    pairs = written(star.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    sets = _sets_of(pairs.select("a").union(pairs.select("b")).toDF("node"), classes, texts, words)
-    both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    first = written(both.select("a", "b", "set_a", "set_b").mapInPandas(_verifying(percent), "a long, b long"), "links")
+    first = _compared(star.groupBy("node").agg(F.min("leader.node").alias("a")), classes, texts, words, percent)
     # What the least members leave apart.
     label = F.coalesce("label", "node").alias("label")
-    labelled = members.drop("leader").join(connected(first), "node", "left").select("gram", "node", "n", "pos", label)
-    several = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    labelled = members.drop("leader").join(connected(first), "node", "left").select("gram", "often", "node", "n", "pos", label)
+    hashed = F.xxhash64("node").cast("decimal(38,0)")
+    several = labelled.groupBy("gram").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("often").alias("often"), F.count("*").alias("size"),
+        F.sum(hashed).alias("one"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("other")).where("low < high")
+    # Lists of the same members have the same answers; positions are least in the one that is first in the order.
+    several = several.groupBy("size", "one", "other").agg(F.min(F.struct("often", "gram")).alias("first")).select("first.gram")
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)
-    apart = written(labelled.join(several.select("gram"), "gram").withColumns({
+    apart = written(labelled.join(several, "gram").drop("often").withColumns({
         "size": F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"),
         "place": F.floor(F.lit(POSITIONS) * F.col("pos") / (spare + 1)).cast("int")}), "apart")
     if apart.isEmpty():
@@ -287,9 +383,9 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
         F.min("pos").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")), "blocks")
     names = blocks.columns
     x, y = (blocks.toDF(*(c if c == "gram" else f"{s}_{c}" for c in names)) for s in "xy")
-    near = lambda p, q: F.col(f"{p}_first") * (100 + percent) <= F.col(f"{p}_most") * 100 - F.col(f"{q}_least") * percent
+    close = lambda p, q: F.col(f"{p}_first") * (100 + percent) <= F.col(f"{p}_most") * 100 - F.col(f"{q}_least") * percent
     together = x.join(y, "gram").where(
-        (F.struct("x_size", "x_place") <= F.struct("y_size", "y_place")) & near("x", "y") & near("y", "x")
+        (F.struct("x_size", "x_place") <= F.struct("y_size", "y_place")) & close("x", "y") & close("y", "x")
         & (F.least("x_low", "y_low") < F.greatest("x_high", "y_high")))
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cells = together.withColumn("x_part", numbers("x_parts")).withColumn("y_part", numbers("y_parts")).where(
@@ -298,10 +394,22 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     cells = written(cells.select("gram", *sides[0], *sides[1], F.xxhash64("gram", *sides[0], *sides[1]).alias("cell")), "cells")
     parted = apart.join(blocks.select(*at, "parts"), at).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = [parted.join(cells.select("gram", *(F.col(c).alias(c[2:]) for c in side), "cell"), [*at, "part"]).select(
-        "cell", F.lit(i).alias("side"), "node", "label", "n") for i, side in enumerate(sides)]
+        "cell", F.lit(i).alias("side"), "node") for i, side in enumerate(sides)]
     rows = written(rows[0].union(rows[1]), "cell_rows")
-    sets = _sets_of(rows.select("node"), classes, texts, words)
-    found = rows.join(sets, "node").repartition("cell").sortWithinPartitions("cell").mapInPandas(_celling(percent), "a long, b long")
+
+    def screened_by(found: DataFrame, rows: DataFrame) -> DataFrame:
+        known = classes.select("node", "n", "sketch").join(connected(found), "node", "left")
+        known = known.select("node", "n", "sketch", label)
+        of_cell = rows.join(known, "node").repartition("cell").sortWithinPartitions("cell")
+        return written(of_cell.select("cell", "side", "node", "label", "n", "sketch").mapInPandas(
+            _screening(percent), "cell long, side int, node long, label long, partner long, bound long"), "near")
+
+    # Each class apart is first compared with the one that it seems to differ from least, which joins most components.
+    could = screened_by(first, rows)
+    nearest = could.groupBy("node").agg(F.min(F.struct("bound", "partner")).alias("to"))
+    first = written(first.union(_compared(nearest.select("node", F.col("to.partner").alias("a")), classes, texts, words, percent)), "first")
+    near = screened_by(first, could.select(*rows.columns)).select("cell", "side", "node", "label")
+    found = _gathered(near, classes, texts).mapInPandas(_celling(words, percent), "a long, b long")
     return first.union(written(found.distinct(), "more"))
 
 
@@ -313,11 +421,11 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     body = F.col(text).cast("string")
     # Ids go through Python as texts, as pandas would round whole numbers next to a null.
     read = docs.select(F.col(id_column).cast("string").alias("id"), *text_key(body), body.cast("binary").alias("text"))
-    signed = read.mapInPandas(_signing(words), "id string, key1 long, key2 long, n long, n_listed long, node long")
+    signed = read.mapInPandas(_signing(words), "id string, key1 long, key2 long, n long, n_listed long, node long, sketch binary")
     rows = written(signed.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "signed")
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("n_listed").alias("n_listed"), F.min(F.struct(*KEY)).alias("k"),
-        F.min("id").alias("least")).select("node", "n", "n_listed", "k.*", "least"), "classes")
+        F.first("n").alias("n"), F.first("n_listed").alias("n_listed"), F.first("sketch").alias("sketch"),
+        F.min(F.struct(*KEY)).alias("k"), F.min("id").alias("least")).select("node", "n", "n_listed", "sketch", "k.*", "least"), "classes")
     linked = connected(written(links(texts, classes, words, percent), "all"))
     labelled = written(linked.join(classes.select("node", "least"), "node"), "labelled")
     names = small(written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "names"), 32)
