@@ -129,6 +129,7 @@ def test_minhash_of_an_empty_table(spark):
 def test_joined_components_equal_brute_force(spark, monkeypatch, block):
     """Near copies, chains whose ends are apart, boilerplate without links, and short texts."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "GROUP", block)
     rng = random.Random(12)
     texts = [t for _, t in near_copies(rng)]
     w = text_of(rng, 300).split()
@@ -161,11 +162,25 @@ def test_a_comparison_gives_no_more_links_than_it_joins():
     base = text_of(rng, 150).split()
     texts = [" ".join(base[:k] + ["new"] + base[k + 1 :]).encode() for k in range(10, 40)]
     sets = list(jaccard_join.ngram_sets(texts, 4, jaccard_join._Words()))
-    rows = pd.DataFrame({"cell": 1, "node": range(30), "label": range(30), "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+    rows = pd.DataFrame({"cell": 1, "node": range(30), "label": range(30), "grams": sets})
     both = pd.concat([rows.assign(side=0), rows.assign(side=1)], ignore_index=True)
     assert len(jaccard_join.cell_links(both, 85)) == 29
 
 
+def test_sketches_never_rule_out_a_pair():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2) for n in (1, 2, 15, 16, 17, 31, 60, 64, 500, 513, 9000)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) < 0.9], rng.integers(0, 1 << 63, 1 + len(s) // 20, dtype=np.uint64)])) for s in sets]
+    counts = [jaccard_join.sketch(s) for s in sets]
+    for x, a in zip(sets, counts):
+        for y, b in zip(sets, counts):
+            found = jaccard_join.least_differences([a], [b])[0, 0]
+            if max(len(x), len(y)) > 32 * min(len(x), len(y)):
+                continue  # no cell has such sizes
+            assert found <= len(np.setxor1d(x, y)) and (len(x) != len(y) or (x != y).any() or found == 0)
+    assert jaccard_join.least_differences([counts[8]], [counts[9]])[0, 0] > 300
+
+
 def test_boilerplate_lists_are_never_paired(spark):
     """Documents that share three fifths of their text, none linked: nobody's prefix holds the shared part."""
     rng = random.Random(4)
@@ -173,7 +188,7 @@ def test_boilerplate_lists_are_never_paired(spark):
     rows = [(i, " ".join([f"a{i}_{k}" for k in range(40)]) + f" {shared} " + " ".join([f"b{i}_{k}" for k in range(40)])) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = jaccard_join._texts(docs, "text")
-    signed = texts.mapInPandas(jaccard_join._signing(4), "key1 long, key2 long, n long, n_listed long, node long")
+    signed = texts.mapInPandas(jaccard_join._signing(4), "key1 long, key2 long, n long, n_listed long, node long, sketch binary")
     listed = jaccard_join.prefixes(texts, signed, 4, 85)
     assert listed.count() < 400 * 6
     assert {r["component_id"] == r["doc_id"] for r in jaccard_join.components(docs).collect()} == {True}
