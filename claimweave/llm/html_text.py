@@ -38,7 +38,7 @@ MOST_LINKED = 0.6
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|svg|math|select|canvas)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^<>]*+)(?:>|\Z)",
     re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(?P<name>[^\s"'<>/=]+)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -61,6 +61,9 @@ _BOILERPLATE_WORDS = frozenset(
 _BOX_WORDS = frozenset(
     "area bar block body bottom box btn button buttons center col column container content footer header holder icon icons inner item "
     "items label left link links list module outer panel posts right row section site slot text top unit wrap wrapper zone".split())
+# Names that end in one of these, as article-comments, are what readers wrote, unless they only tell whether there is any.
+_COMMENT_WORDS = frozenset("comment comments replies respond disqus".split())
+_TELLING_WORDS = frozenset("no has with without".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
 # Elements that hold the parts of a text, where others are its parts.
 _CONTAINERS = frozenset("article body center dialog div html main section td th".split())
@@ -73,6 +76,8 @@ def _named(value: str) -> bool:
     for token in value.split():
         names = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
         names = [w.lower() for w in names]
+        if names and names[-1] in _COMMENT_WORDS and names[0] not in _TELLING_WORDS:
+            return True
         if not _BOILERPLATE_WORDS.isdisjoint(names) and all(w in _BOILERPLATE_WORDS or w in _BOX_WORDS for w in names):
             return True
     return False
@@ -186,7 +191,7 @@ def _lines(html: str, wraps: frozenset[int]) -> tuple[
                 if stack[depth][0] in ("nav", "aside", "footer", "form", "table", "article", "main") and tag not in ("body", "html"):
                     if not any(s[0] == tag for s in stack[:depth]) or tag in ("p", "b", "i", "span", "a", "li"):
                         break
-        elif tag not in _VOID and not m["rest"].endswith("/"):
+        elif tag not in _VOID:  # a slash at the end closes nothing in HTML, and may belong to a value
             if tag == "body" and stack and stack[0][0] == "head":
                 close(0)
             if tag in _CLOSED_BY_NEXT and stack and stack[-1][0] == tag:

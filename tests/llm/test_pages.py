@@ -308,3 +308,34 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(mixed_table(spark).limit(0)).collect() == []
     only = spark.createDataFrame([(1, None, None), (1, "", None)], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.mix(only).collect()] == [0, 0]
+
+
+def test_tags_that_never_close_take_time_in_proportion():
+    import time
+
+    from claimweave.llm.html_text import main_text
+
+    for quotes in ('x="1" ', "x='1' ", "x=\"' ", '" '):
+        page = "<article><p>Text that stays here.</p></article><a " + quotes * 10_000 + "<b>end</b>"
+        start = time.perf_counter()
+        assert "Text that stays here." in main_text(page)
+        assert time.perf_counter() - start < 1, quotes
+
+
+def test_a_slash_at_the_end_of_a_value_closes_no_link():
+    from claimweave.llm.html_text import main_text
+
+    long = "This is the long text of the page, which goes on for a while and then some more. " * 4
+    menu = "<div>" + "".join(f"<a href=/{w}/>{w}</a> " for w in ("Home", "News", "Sport")) + "</div>"
+    assert main_text(f"<body>{menu}<p>{long}</p></body>") == long.strip()
+    assert main_text(f"<article><div/><p>{long}</p><p>last<br/>line</p></article>") == f"{long.strip()}\nlast\nline"
+
+
+def test_what_readers_wrote_goes_by_names_that_end_so():
+    from claimweave.llm.html_text import main_text
+
+    long = "This is the long text of the page, which goes on for a while and then some more. " * 4
+    for name in ("article-comments", "post-comments", "postComments", "entry-replies"):
+        assert main_text(f"<article><p>{long}</p><div class='{name}'><p>I liked it.</p></div></article>") == long.strip(), name
+    for name in ("no-comments", "has-comments", "commentary"):
+        assert main_text(f"<article><div class='{name}'><p>Short one.</p></div><p>{long}</p></article>").startswith("Short one."), name
