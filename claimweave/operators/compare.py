@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions import sketches
+from claimweave.functions.normal import literal_array
 from claimweave.functions.statistics import correlation
 from claimweave.operators import ranks
 from claimweave.operators.profile import DATE_TYPES
 from claimweave.sources.metadata import DATETIME, ID, NUMERICAL, Metadata
+from claimweave.sources.storage import written
 
 KS = "KSComplement"
 TV = "TVComplement"
@@ -25,6 +29,8 @@ IDS = "KeyUniqueness"
 IS_REAL = "_is_real"
 # Numeric columns are cut into this many ranges of equal width in pairs with categories.
 PAIR_RANGES = 10
+# Places at which sketched distribution functions are compared.
+SKETCH_STEPS = 500
 
 
 def stack(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -69,6 +75,44 @@ def ks_scores(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def ks_intervals(both: DataFrame, columns: Sequence[str], steps: int = SKETCH_STEPS) -> DataFrame:
+    """(column, metric, low, high): an interval that holds the score of ``ks_scores``, without a shuffle of values.
+
+    Each side's values go into one sketch per column. Between neighbouring places the functions can part by
+    no more than one of them rises there; that and both sketches' errors widen the interval. It is null
+    where a side has no values.
+    """
+    flag = F.col(IS_REAL)
+    wide = ranks.numbers(both, columns, [IS_REAL])
+    states = wide.agg(*[
+        sketches.quantile_state(F.when(flag if side == "real" else ~flag, F.col(c))).alias(f"{side}{i}")
+        for i, c in enumerate(columns) for side in ("real", "synthetic")
+    ])
+    states = written(states, "states")  # one row
+    sides = [(F.col(f"real{i}"), F.col(f"synthetic{i}")) for i in range(len(columns))]
+    row = states.select(*[sketches.quantile_points(s, steps).alias(f"{k}_{i}") for i, pair in enumerate(sides) for k, s in enumerate(pair)]).first()
+    places = [sorted({*(row[f"0_{i}"] or []), *(row[f"1_{i}"] or [])}) for i in range(len(columns))]
+
+    def interval(i: int) -> Column:
+        at = places[i]
+        if row[f"0_{i}"] is None or row[f"1_{i}"] is None:
+            low = high = F.lit(None).cast("double")
+        else:
+            upto = [sketches.ranks_of(s, literal_array(at, "double")) for s in sides[i]]
+            below = [sketches.ranks_of(s, literal_array([math.nextafter(x, -math.inf) for x in at], "double")) for s in sides[i]]
+            # Before the first place both are 0, from the last one on both are 1.
+            starts = [F.concat(F.array(F.lit(0.0)), u) for u in upto]
+            ends = [F.concat(b, F.array(F.lit(1.0))) for b in below]
+            apart = F.array_max(F.zip_with(upto[0], upto[1], lambda x, y: F.abs(x - y)))
+            most = F.greatest(*[F.array_max(F.zip_with(ends[k], starts[1 - k], lambda x, y: x - y)) for k in (0, 1)])
+            error = F.lit(2 * sketches.RANK_ERROR)
+            low = F.greatest(F.lit(0.0), F.lit(1.0) - F.greatest(most, apart) - error)
+            high = F.least(F.lit(1.0), F.lit(1.0) - apart + error)
+        return F.struct(F.lit(columns[i]).alias("column"), F.lit(KS).alias("metric"), low.alias("low"), high.alias("high"))
+
+    return states.select(F.inline(F.array(*[interval(i) for i in range(len(columns))])))
+
+
 def _tv_of_counts(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total-variation complement from (keys, one row per value with both counts).
 

@@ -1,7 +1,8 @@
 """Gaussian copula over one table: fit the joint distribution, sample new rows.
 
-Every column gets a marginal: a quantile grid for columns of many numbers or dates, the
-share of each value for categories and columns of few numbers. A row's values are turned
+Every column gets a marginal: a quantile grid for continuous numbers and dates, the share of
+each value for categories and discrete numbers and dates, however many they are (the metadata
+tells which, see ``is_discrete``). A row's values are turned
 into normal scores by their place in the marginals; the correlation of the scores is the
 joint part of the model. Sampling draws correlated normals by row key and goes the way back.
 """
@@ -23,14 +24,13 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions import draws
+from claimweave.functions import draws, sketches
 from claimweave.functions.dates import coerce_date, spark_pattern
 from claimweave.functions.normal import literal_array, normal_cdf, normal_level, normal_quantile
-from claimweave.functions.statistics import distinct_estimate
 from claimweave.operators import ranks
 from claimweave.operators.parse import normalise_nulls
 from claimweave.operators.profile import DATE_TYPES, is_number
-from claimweave.sources.metadata import DATETIME, ID, NUMERICAL, Metadata
+from claimweave.sources.metadata import DATETIME, ID, NUMERICAL, Metadata, is_discrete
 from claimweave.sources.storage import written
 
 GRID_STEPS = 1000
@@ -51,11 +51,12 @@ MOST_MIXED_BY_COLUMN = 30
 MOST_ID_PLACES = {10: 18, 36: 12}
 DAY_MICROS, SECOND_MICROS = 86400e6, 1e6
 MOST_DECIMALS = 6
+MOST_EXACT_NUMBER = 2.0**53
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Marginal of a column of many numbers: quantiles at equal steps of probability."""
+    """Marginal of a continuous column: quantiles at equal steps of probability."""
 
     column: str
     data_type: str
@@ -63,6 +64,8 @@ class Grid:
     points: list[float]
     # Values are multiples of this, as in the real column; 0 if it has no such unit.
     unit: float = 0.0
+    # The rank of each point is off by this share of the rows at most, with 99 % confidence; 0 if exact.
+    rank_error: float = 0.0
 
     @property
     def columns(self) -> list[str]:
@@ -81,10 +84,10 @@ class Grid:
 
 @dataclass(frozen=True)
 class Shares:
-    """Marginal of categories, or of few numbers: each value with its count, in order.
+    """Marginal of categories or discrete numbers: each value with its count, in order.
 
     ``columns`` are several for a combination kept whole; a value is then a JSON text.
-    Columns of few numbers have them in ``numbers`` instead of ``values``.
+    Numbers and dates are in ``numbers`` instead of ``values``.
     """
 
     name: str
@@ -111,7 +114,10 @@ class Shares:
 
 @dataclass(frozen=True)
 class SharesTable:
-    """As ``Shares``, with too many values for the driver: (value, n, before) as a table."""
+    """As ``Shares``, with too many values for the driver: (value, n, before) as a table.
+
+    Values are texts, of numbers and dates too, which come in the order of the numbers.
+    """
 
     name: str
     columns: list[str]
@@ -182,9 +188,9 @@ def fit(
 ) -> CopulaModel:
     """Model of the columns named in ``metadata``.
 
-    Exact grids shuffle the distinct values of the number columns. Without ``exact`` they
-    are sketched in one pass, each point within a tenth of a step of its rank, and may
-    differ in that range from run to run.
+    Exact grids shuffle the distinct values of the continuous columns. Without ``exact`` they
+    come from one mergeable sketch per column, in one pass; how far the points' ranks may be off
+    is kept with the grid, and they may differ in that range from run to run.
 
     Columns of a fixed combination are one categorical together, so only combinations that
     occur are ever sampled. What reaches the driver per column is the grid or at most
@@ -217,7 +223,10 @@ def fit(
         or (metadata[c]["sdtype"] == DATETIME and types[c] in DATE_TYPES)
     ]
     ids = [c for c in single if metadata[c]["sdtype"] == ID]
-    numbers = (_fit_numbers if exact else _sketch_numbers)(df, numeric, steps)
+    discrete = [c for c in numeric if is_discrete(metadata[c], types[c])]
+    continuous = [c for c in numeric if c not in discrete]
+    numbers = (_fit_grids if exact else _sketch_grids)(df, continuous, steps)
+    numbers.update(_fit_discrete(df, discrete))
     units = {c: [c] for c in single if c not in numbers and c not in ids}
     units.update({"+".join(group): group for group in combined})
     shares = _fit_shares(df, units)
@@ -272,8 +281,8 @@ def _fit_ids(df: DataFrame, columns: Sequence[str]) -> dict[str, Marginal]:
     return result
 
 
-def _fit_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
-    """Grids of the columns with more distinct values than steps, shares of the others."""
+def _fit_grids(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
+    """Exact grids, from the counts of the distinct values."""
     if not columns:
         return {}
     types = dict(df.dtypes)
@@ -285,55 +294,89 @@ def _fit_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str,
             F.count("value").alias("distinct"),
             F.sum("n").alias("total"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+            *_unit_tests(F.col("value")),
         )
         .collect()
     }
-    many = [c for c in columns if c in stats and stats[c]["distinct"] > steps]
-    few = [c for c in columns if c in stats and c not in many]
+    grid = ranks.quantiles_of_ranked(ranks.running_counts(counted, ["n"]), steps).collect()  # columns x (steps + 1)
     result: dict[str, Marginal] = {}
-    found: dict[str, list] = {c: [] for c in few}
-    if few:  # at most steps + 1 rows per column
-        for r in counted.filter(F.col("column").isin(few)).collect():
-            found[r["column"]].append((r["value"], r["n"]))
-    for c, rows in found.items():
-        rows.sort(key=lambda r: ranks.LOWEST if r[0] is None else r[0])
-        result[c] = Shares(
-            c, [c], [types[c]], [None] * len(rows), [n for _, n in rows], [v for v, _ in rows]
-        )
-    if many:
-        ranked = ranks.running_counts(counted.filter(F.col("column").isin(many)), ["n"])
-        grid = ranks.quantiles_of_ranked(ranked, steps).collect()  # columns x (steps + 1)
-        tried = counted.groupBy("column").agg(*_unit_tests(F.col("value"))).collect()
-        units = {r["column"]: value_unit(r, types[r["column"]]) for r in tried}
-        for c in many:
-            mine = sorted((r["idx"], r["quantile"], r["lower"]) for r in grid if r["column"] == c)
-            null_share = stats[c]["nulls"] / stats[c]["total"]
-            result[c] = Grid(c, types[c], null_share, [q for _, q, _ in mine], units[c])
+    for c, r in stats.items():
+        points = [q for _, q in sorted((g["idx"], g["quantile"]) for g in grid if g["column"] == c)]
+        result[c] = _grid(c, types[c], r["total"], r["nulls"], points, r)
     return result
 
 
-def _sketch_numbers(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
-    """As ``_fit_numbers``, with grids from quantile sketches and no shuffle of values."""
+def _grid(c: str, data_type: str, total: int, nulls: int, points: list[float], tested: Row, error: float = 0.0) -> Marginal:
+    if nulls == total:
+        return Shares(c, [c], [data_type], [None], [total], [None])
+    return Grid(c, data_type, nulls / total, points, value_unit(tested, data_type), error)
+
+
+def _sketch_grids(df: DataFrame, columns: Sequence[str], steps: int) -> dict[str, Marginal]:
+    """Grids from quantile sketches: no shuffle of values, one state per column and task."""
     if not columns:
         return {}
     types = dict(df.dtypes)
     wide = ranks.numbers(df, columns)
-    places = [i / steps for i in range(steps + 1)]
     row = wide.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[distinct_estimate(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, places, 10 * steps).alias(f"q{i}") for i, c in enumerate(columns)],
+        *[sketches.quantile_points(sketches.quantile_state(F.col(c)), steps).alias(f"q{i}") for i, c in enumerate(columns)],
         *[F.struct(*_unit_tests(F.col(c))).alias(f"t{i}") for i, c in enumerate(columns)],
     ).first()
+    if not row["n"]:
+        return {}
+    return {
+        c: _grid(c, types[c], row["n"], row["n"] - row[f"n{i}"], list(row[f"q{i}"] or []), row[f"t{i}"], sketches.RANK_ERROR)
+        for i, c in enumerate(columns)
+    }
+
+
+def _fit_discrete(df: DataFrame, columns: Sequence[str]) -> dict[str, Marginal]:
+    """Shares of the values of discrete numbers and dates, in the order of the numbers.
+
+    Up to ``COLLECTED_CATEGORIES`` values are collected, more stay a table; both hold the same
+    values, counts and order. Numbers beyond 2**53 stay a table too, as doubles merge some of them.
+    """
+    if not columns:
+        return {}
+    types = dict(df.dtypes)
+    pairs = df.select(*[
+        F.struct(ranks.as_number(df, c).alias("number"), F.col(c).cast("string").alias("value")).alias(c) for c in columns
+    ])
+    long = pairs.unpivot([], list(columns), "unit", "pair").select("unit", "pair.value", "pair.number")
+    counted = written(
+        long.groupBy("unit", "value").agg(F.max("number").alias("number"), F.count(F.lit(1)).alias("n")), "numbers")
+    sizes = {
+        r["unit"]: r
+        for r in counted.groupBy("unit")
+        .agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"), F.max(F.abs("number")).alias("most"))
+        .collect()
+    }
+    collected = {
+        c: [] for c, r in sizes.items()
+        if r["distinct"] <= COLLECTED_CATEGORIES and (r["most"] or 0.0) < MOST_EXACT_NUMBER
+    }
+    if collected:
+        for r in counted.filter(F.col("unit").isin(list(collected))).collect():
+            collected[r["unit"]].append((r["number"], r["n"]))
     result: dict[str, Marginal] = {}
-    few = [c for i, c in enumerate(columns) if row[f"d{i}"] <= steps]
-    for i, c in enumerate(columns):
-        if c not in few:
-            points = list(row[f"q{i}"])
-            null_share = 1.0 - row[f"n{i}"] / row["n"]
-            result[c] = Grid(c, types[c], null_share, points, value_unit(row[f"t{i}"], types[c]))
-    return {**result, **_fit_numbers(df, few, 2 * steps)}
+    for c, r in sizes.items():
+        if c in collected:
+            rows = sorted(collected[c], key=lambda v: ranks.LOWEST if v[0] is None else v[0])
+            result[c] = Shares(c, [c], [types[c]], [None] * len(rows), [n for _, n in rows], [v for v, _ in rows])
+        else:
+            table = counted.filter(F.col("unit") == c).select("value", "n", "number")
+            result[c] = _as_table(c, [c], [types[c]], table, r["total"], r["distinct"], ["number", "value"])
+    return result
+
+
+def _as_table(
+    name: str, columns: list[str], data_types: list[str], table: DataFrame, total: int, distinct: int, order: list[str]
+) -> SharesTable:
+    hot = table.filter(F.col("n") > HOT_SHARE * total)  # fewer than 1 / HOT_SHARE
+    hot_values = [r["value"] for r in hot.select("value").collect()]
+    return SharesTable(name, columns, data_types, sorted_running_counts(table, order), total, distinct, hot_values)
 
 
 def _unit_tests(value: Column) -> list[Column]:
@@ -386,17 +429,8 @@ def _fit_shares(df: DataFrame, units: dict[str, list[str]]) -> dict[str, Margina
             result[name] = Shares(name, list(cols), data_types, [v for v, _ in rows], [n for _, n in rows])
         elif name in sizes:
             table = counted.filter(F.col("unit") == name).select("value", "n")
-            total, distinct = sizes[name]["total"], sizes[name]["distinct"]
-            hot = table.filter(F.col("n") > HOT_SHARE * total)  # fewer than 1 / HOT_SHARE
-            result[name] = SharesTable(
-                name,
-                cols,
-                data_types,
-                sorted_running_counts(table),
-                total,
-                distinct,
-                [r["value"] for r in hot.select("value").collect()],
-            )
+            result[name] = _as_table(
+                name, cols, data_types, table, sizes[name]["total"], sizes[name]["distinct"], ["value"])
     return result
 
 
@@ -408,15 +442,16 @@ def shares_table(spark: SparkSession, m: Shares | SharesTable) -> DataFrame:
     return spark.createDataFrame(list(zip(m.values, m.counts, before)), "value string, n long, before long")
 
 
-def sorted_running_counts(table: DataFrame) -> DataFrame:
-    """(value, n) -> (value, n, before): counts summed up in the order of the texts, null first.
+def sorted_running_counts(table: DataFrame, order: Sequence[str] = ("value",)) -> DataFrame:
+    """(value, n) -> (value, n, before): counts summed up in the given order, null first.
 
     That is the order of collected categories too, so the model does not depend on where they
     are kept. Ranges of values are cut by sampling and written with their number; the range totals
     are summed up and joined back, so no window spans the table.
     """
     ranges = ranks.range_count(table.sparkSession)
-    ordered = table.repartitionByRange(ranges, F.col("value").asc_nulls_first())
+    by = [F.col(c).asc_nulls_first() for c in order]
+    ordered = table.repartitionByRange(ranges, *by)
     ranged = written(ordered.withColumn("range_no", F.spark_partition_id()), "ranges")
     lower = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range.
@@ -427,7 +462,7 @@ def sorted_running_counts(table: DataFrame) -> DataFrame:
     )
     inside = (
         Window.partitionBy("range_no")
-        .orderBy(F.col("value").asc_nulls_first())
+        .orderBy(*by)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     counted = ranged.join(F.broadcast(starts), "range_no").select(

@@ -31,31 +31,52 @@ def is_number(dtype: str) -> bool:
     return dtype in ("float", "double") or dtype.startswith("decimal") or dtype in INTEGER_TYPES
 
 
-def _parsed_dates(df: DataFrame, column: str, formats: Sequence[str]) -> Column:
+def _votes(df: DataFrame, column: str, formats: Sequence[str]) -> Column:
+    """Per format the number of texts of a column that are dates in it."""
     if dict(df.dtypes)[column] != "string":
-        return F.lit(0).cast("bigint")
-    return F.count(coerce_date(F.col(column), formats))
+        return F.array(*[F.lit(0).cast("bigint") for _ in formats])
+    return F.array(*[F.count(coerce_date(F.col(column), [f])) for f in formats])
+
+
+def format_votes(df: DataFrame, date_formats: Sequence[str] = DEFAULT_FORMATS) -> DataFrame:
+    """(column, datetime_format, votes, won) of every text column and format, in one pass.
+
+    The format of most texts wins, of several the first in ``date_formats``; without any date none does.
+    """
+    texts = [c for c, t in df.dtypes if t == "string"]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, datetime_format string, votes long, won boolean")
+    votes = df.agg(*[_votes(df, c, date_formats).alias(c) for c in texts]).unpivot([], texts, "column", "all")
+    names = F.array(*[F.lit(_strftime(f)) for f in date_formats])
+    counted = votes.select("column", "all", F.posexplode("all").alias("at", "votes"))
+    return counted.select(
+        "column", F.element_at(names, F.col("at") + 1).alias("datetime_format"), "votes",
+        ((F.col("votes") > 0) & (F.array_position("all", F.array_max("all")) == F.col("at") + 1)).alias("won"))
 
 
 def column_kinds(
     df: DataFrame, exact: bool = False, date_formats: Sequence[str] = DEFAULT_FORMATS
 ) -> DataFrame:
-    """(column, kind, non_null, n_distinct, datetime_format) of every column.
+    """(column, kind, non_null, n_distinct, datetime_format, format_conflicts) of every column.
 
     Dates and texts that all parse as dates are ``datetime``; whole numbers and texts without
     repeats are ``id``; other numbers are ``numerical`` unless they are a few integer codes;
-    the rest is ``categorical``. Whether a column has repeats is always known exactly: a sketch in
-    the one pass over the table only tells which columns are worth grouping by their values.
-    ``exact`` gives exact numbers of distinct values for all columns too.
+    the rest is ``categorical``. Texts may parse in several formats: the one of most texts is the column's
+    (see ``format_votes``), and ``format_conflicts`` counts the texts that it does not fit. Whether a column has
+    repeats is always known exactly: a sketch in the one pass over the table tells which columns are
+    worth counting, and one more pass counts all of these. ``exact`` gives exact numbers of distinct
+    values for all columns too.
     """
     types = dict(df.dtypes)
     no_sketch = F.lit(0).cast("bigint")
+    parsed = lambda c: F.count(coerce_date(F.col(c), date_formats)) if types[c] == "string" else no_sketch
     stats = df.agg(
         *[
             F.struct(
                 F.count(c).alias("non_null"),
                 (no_sketch if exact else distinct_estimate(F.col(c))).alias("n_distinct"),
-                _parsed_dates(df, c, date_formats).alias("n_dates"),
+                parsed(c).alias("n_dates"),
+                _votes(df, c, date_formats).alias("votes"),
                 F.lit(types[c]).alias("data_type"),
             ).alias(c)
             for c in df.columns
@@ -71,7 +92,7 @@ def column_kinds(
         counted = [r["column"] for r in stats.filter(near & could).collect()]
     stats = stats.withColumnRenamed("n_distinct", "sketched").join(
         F.broadcast(_distinct_counts(df, counted)), "column", "left"
-    ).withColumn("n_distinct", F.coalesce("exactly", "sketched"))
+    ).withColumn("n_distinct", F.coalesce("exactly", "sketched" if not exact else no_sketch))
 
     dtype, non_null, n_distinct = F.col("data_type"), F.col("non_null"), F.col("n_distinct")
     integer = dtype.isin(*INTEGER_TYPES)
@@ -85,25 +106,31 @@ def column_kinds(
         .when(number, F.lit(NUMERICAL))
         .otherwise(F.lit(CATEGORICAL))
     )
-    text_format = F.when(text_date, F.lit(_strftime(date_formats[0])))
+    names = F.array(*[F.lit(_strftime(f)) for f in date_formats])
+    most = F.array_max("votes")
+    text_format = F.when(text_date, F.element_at(names, F.array_position("votes", most).cast("int")))
     return stats.select(
-        "column", kind.alias("kind"), "non_null", "n_distinct", text_format.alias("datetime_format")
+        "column", kind.alias("kind"), "non_null", "n_distinct", text_format.alias("datetime_format"),
+        F.when(text_date, non_null - most).otherwise(no_sketch).alias("format_conflicts"),
     )
 
 
 def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, exactly): distinct non-null values, each column grouped by its own type."""
-    parts = [
-        df.select(F.col(c).alias("value")).filter("value IS NOT NULL").distinct().agg(
-            F.count(F.lit(1)).alias("exactly")).select(F.lit(c).alias("column"), "exactly")
-        for c in columns
-    ]
-    if not parts:
+    """(column, exactly): distinct non-null values of all columns, by one scan and one shuffle.
+
+    Values go by their column's number and 128 bits of hash; equal ones are merged before the shuffle.
+    """
+    if not columns:
         return df.sparkSession.createDataFrame([], "column string, exactly long")
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    return counts
+    keys = F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(
+            F.lit(i).alias("at"), F.xxhash64(F.col(c)).alias("h1"), F.xxhash64(F.lit(1), F.col(c), F.lit(2)).alias("h2")))
+        for i, c in enumerate(columns)
+    ])
+    values = df.select(F.explode(F.array_compact(keys)).alias("key")).select("key.*").distinct()
+    names = F.array(*[F.lit(c) for c in columns])
+    return values.groupBy("at").agg(F.count(F.lit(1)).alias("exactly")).select(
+        F.element_at(names, F.col("at") + 1).alias("column"), "exactly")
 
 
 def _strftime(pattern: str) -> str:

@@ -21,7 +21,7 @@ CLAIM_FIELDS = (
 )
 FIRST_DATE, DATE_SPAN_DAYS = "2000-01-01", 8765
 
-STEPS = 100
+STEPS = 1000
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -444,6 +444,47 @@ SELECT id, steps.q[1 + len(list_filter(steps.upto[1:len(steps.upto) - 1], lambda
   round({grid_value("grid.net", "u3")}, 4) AS net
 FROM uniforms, grid, steps"""
 
+def discrete_draws(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", id, value FROM (
+  SELECT id, least(CAST(floor(u * (SELECT count(*) FROM keyed)) AS BIGINT), (SELECT count(*) FROM keyed) - 1) AS place FROM uniforms) AS d
+ASOF JOIN (
+  SELECT value, CAST(coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM (SELECT {column} AS value, count(*) AS n FROM keyed GROUP BY {column})) AS v ON d.place >= v.before"""
+
+
+DISCRETE_NUMBERS = f"""WITH keyed AS (
+  SELECT (l_partkey * 7919 + l_orderkey) % 1000 AS thousand, (l_partkey * 7919 + l_orderkey) % 1001 AS one_more,
+    l_orderkey AS many FROM lineitem),
+ids AS (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS id),
+normals AS (SELECT id, {normal_draw(md5_of("normal0", "id"), "cos")} AS z FROM ids),
+uniforms AS (SELECT id, {normal_cdf("z")} AS u FROM normals)
+{union_all([discrete_draws(c) for c in ("thousand", "one_more", "many")])}"""
+
+SKETCHED_MARGINALS = union_all([
+    f"""SELECT '{c}' AS "column", {STEPS + 1} AS real_points, count(*) AS n_rows, true AS within FROM lineitem"""
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "net")])
+
+
+def date_votes() -> str:
+    thirds, all_rows = "count(*) FILTER (o_orderkey % 3 = 0)", "count(*)"
+    fifths = "count(*) FILTER (o_orderkey % 5 <> 0)"
+    cases = {  # votes of both formats, whether the column is a date
+        "mostly_first": (f"{all_rows} - {thirds}", thirds, True),
+        "mostly_second": (thirds, f"{all_rows} - {thirds}", True),
+        "partly": (fifths, "0 * count(*)", False),
+        "o_orderpriority": ("0 * count(*)", "0 * count(*)", False),
+    }
+    parts = []
+    for c, (a, b, is_date) in cases.items():
+        for votes, other, name, won in ((a, b, "%Y%m%d", f"{a} > 0 AND {a} >= {b}"), (b, a, "%Y-%m-%d", f"{b} > {a}")):
+            stored = f"CASE WHEN {a} >= {b} THEN '%Y%m%d' ELSE '%Y-%m-%d' END" if is_date else "NULL"
+            conflicts = f"least({a}, {b})" if is_date else "0"
+            parts.append(
+                f"""SELECT '{c}' AS "column", '{name}' AS datetime_format, {votes} AS votes, {won} AS won,
+  {'\'datetime\'' if is_date else '\'categorical\''} AS kind, {stored} AS stored, {conflicts} AS format_conflicts FROM orders""")
+    return union_all(parts)
+
+
 COMBINATIONS = f"""WITH counted AS (
   SELECT p_brand, p_type, count(*) AS n, '["' || p_brand || '","' || p_type || '"]' AS text
   FROM part GROUP BY p_brand, p_type),
@@ -623,6 +664,11 @@ SELECT value, n, coalesce(sum(n) OVER (ORDER BY value NULLS FIRST
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts"""
 
 
+def sketched_shapes() -> str:
+    scores = rounded(union_all([ks(c, "items", FLAG_A) for c in SHAPE_COLUMNS]), ITEMS)
+    return f"""SELECT "column", score, true AS held, true AS narrow FROM ({scores})"""
+
+
 ORACLE = {
     "q01_layout_offsets": layout_offsets(),
     "q02_render_lines": f"WITH {ORDER_LINES} SELECT o_orderkey, value AS line FROM order_lines",
@@ -641,6 +687,10 @@ ORACLE = {
     "q15_copula_correlation": CORRELATION,
     "q16_copula_sample": SAMPLE,
     "q17_fixed_combinations": COMBINATIONS,
+    "q41_discrete_numbers": DISCRETE_NUMBERS,
+    "q42_sketched_marginals": SKETCHED_MARGINALS,
+    "q43_sketched_shapes": sketched_shapes(),
+    "q44_date_votes": date_votes(),
     "q18_shape_numeric": rounded(union_all([ks(c, "items", FLAG_A) for c in SHAPE_COLUMNS]), ITEMS),
     "q19_shape_categorical": rounded(
         union_all([tv(c, "orders", OPEN) for c in ("o_orderpriority", "o_custkey", "o_orderdate")])

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.functions import sketches
 from claimweave.functions.amounts import NEGATIVE_SIGNS, POSITIVE_SIGNS, decode_amount
 from claimweave.functions.dates import coerce_date
 from claimweave.operators import compare, copula, ranks
@@ -19,7 +20,7 @@ from claimweave.operators.generate import (
     parse_claims,
 )
 from claimweave.operators.parse import head, mask_columns, normalise_nulls, parse_fields
-from claimweave.operators.profile import column_kinds, non_null_counts
+from claimweave.operators.profile import column_kinds, format_votes, non_null_counts
 from claimweave.operators.render import control_line, join_sections, render_line, section_lines, write_sections
 from claimweave.operators.trailer import DECODE, NUMBERS, ZERO, decode_totals, page_trailers
 from claimweave.plans.flows import LINE_KEY, generate_file, stored_or_detected, synthesize_headers
@@ -30,6 +31,7 @@ from claimweave.sources.lines import CONTROL, HEADER, read_lines, route
 from claimweave.sources.metadata import (
     CATEGORICAL,
     DATETIME,
+    DISCRETE,
     ID,
     NUMERICAL,
     latest_metadata_version,
@@ -50,7 +52,7 @@ ORDER_WIDTHS = (
     ("o_orderpriority", 15),
 )
 ORDER_FIELDS = fields_from_widths(ORDER_WIDTHS)
-GRID_STEPS = 100
+GRID_STEPS = copula.GRID_STEPS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -436,6 +438,7 @@ def copula_marginals(spark: SparkSession, folder: str) -> DataFrame:
 def price_model(spark: SparkSession, folder: str) -> tuple[DataFrame, copula.CopulaModel]:
     items = priced_items(spark, folder).select("l_quantity", "l_extendedprice", "net")
     kinds = {c: {"sdtype": NUMERICAL} for c in items.columns}
+    kinds["l_quantity"]["distribution"] = DISCRETE
     return items, copula.fit(items, kinds, steps=GRID_STEPS)
 
 
@@ -459,6 +462,60 @@ def copula_sample(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def discrete_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Draws from discrete numbers, of 1,000, of 1,001 and of any number of values; all of them are real values."""
+    key = F.col("l_partkey") * 7919 + F.col("l_orderkey")
+    items = spread(table(spark, folder, "lineitem")).select(
+        (key % 1000).alias("thousand"), (key % 1001).alias("one_more"), F.col("l_orderkey").alias("many"))
+    n = table(spark, folder, "orders").count()
+    parts = []
+    for c in items.columns:
+        model = copula.fit(items, {c: {"sdtype": NUMERICAL}}, steps=GRID_STEPS)
+        made = copula.sample(model, numbered_rows(spark, n), ["id"])
+        parts.append(made.select(F.lit(c).alias("column"), "id", F.col(c).alias("value")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def sketched_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """Grids from sketches: whether every point's exact rank is as near as the model says."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "net"]
+    items = priced_items(spark, folder).select(*columns)
+    model = copula.fit(items, {c: {"sdtype": NUMERICAL} for c in columns}, steps=GRID_STEPS, exact=False)
+    points = [(m.column, i / GRID_STEPS, p, m.rank_error) for m in model.marginals for i, p in enumerate(m.points)]
+    grid = spark.createDataFrame(points, "column string, place double, value double, rank_error double")
+    ranked = ranks.running_counts(ranks.count_values(ranks.numbers(items, columns), columns, {"n": F.count(F.lit(1))}), ["n"])
+    found = grid.join(ranked, ["column", "value"], "left")
+    low, high = F.col("before_n") / F.col("total_n"), (F.col("before_n") + F.col("n")) / F.col("total_n")
+    off = F.greatest(low - F.col("place"), F.col("place") - high, F.lit(0.0))
+    return found.groupBy("column").agg(
+        F.count("n").alias("real_points"), F.max("total_n").alias("n_rows"),
+        (F.max(off) <= F.max("rank_error") + F.lit(1e-12)).alias("within"))
+
+
+def sketched_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the sketched interval of each Kolmogorov-Smirnov score holds the exact one, and is narrow."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "l_partkey"]
+    both = compare.stack(*flagged_items(spark, folder), columns)
+    found = compare.ks_intervals(both, columns).drop("metric")
+    scores = compare.ks_scores(both, columns).join(found, "column")
+    bound = 4 * sketches.RANK_ERROR + 4 / compare.SKETCH_STEPS
+    held = (F.col("low") <= F.col("score")) & (F.col("score") <= F.col("high"))
+    return rounded_scores(scores.select("column", "score", held.alias("held"), (F.col("high") - F.col("low") <= bound).alias("narrow")))
+
+
+def date_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with dates in two formats: mostly the one, mostly the other, both alike, and none."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    first, second = F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy-MM-dd")
+    texts = table(spark, folder, "orders").select(
+        F.when(key % 3 == 0, second).otherwise(first).alias("mostly_first"),
+        F.when(key % 3 == 0, first).otherwise(second).alias("mostly_second"),
+        F.when(key % 5 == 0, F.lit("none")).otherwise(first).alias("partly"), F.col("o_orderpriority"))
+    formats = ("yyyyMMdd", "yyyy-MM-dd")
+    kinds = column_kinds(texts, date_formats=formats).select("column", "kind", F.col("datetime_format").alias("stored"), "format_conflicts")
+    return format_votes(texts, formats).join(kinds, "column")
+
+
 def fixed_combinations(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_brand", "p_type")
     kinds = {c: {"sdtype": CATEGORICAL} for c in parts.columns}
@@ -614,4 +671,8 @@ QUERIES = {
     "q38_category_marginal": category_marginal,
     "q39_numeric_trailers": numeric_trailers,
     "q40_id_diagnostic": id_diagnostic,
+    "q41_discrete_numbers": discrete_numbers,
+    "q42_sketched_marginals": sketched_marginals,
+    "q43_sketched_shapes": sketched_shapes,
+    "q44_date_votes": date_votes,
 }

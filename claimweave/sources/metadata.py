@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPEC_VERSION = "SINGLE_TABLE_V1"
 DOCUMENT_SCHEMA = (
     "METADATA_SPEC_VERSION string, "
-    "columns map<string, struct<sdtype: string, datetime_format: string>>"
+    "columns map<string, struct<sdtype: string, datetime_format: string, distribution: string>>"
 )
 
 CATEGORICAL = "categorical"
@@ -19,7 +19,14 @@ NUMERICAL = "numerical"
 DATETIME = "datetime"
 ID = "id"
 
-# Column name -> {"sdtype": kind, "datetime_format": strftime format, if a date}
+# How numbers and dates are distributed. Discrete ones only take values that occur, however many
+# those are; continuous ones take any value between them.
+DISCRETE = "discrete"
+CONTINUOUS = "continuous"
+DISCRETE_TYPES = ("tinyint", "smallint", "int", "bigint", "date")
+
+# Column name -> {"sdtype": kind, "datetime_format": strftime format, if a date,
+# "distribution": discrete or continuous, if a number or date; by default as ``is_discrete`` has it}
 Metadata = dict[str, dict[str, str]]
 
 
@@ -80,17 +87,25 @@ def latest_metadata_version(spark: SparkSession, base: str, kind: str) -> int |
     return row["latest_version"] if row else None
 
 
+def is_discrete(spec: dict[str, str], data_type: str) -> bool:
+    """By the metadata; without an entry there whole numbers and days are discrete, all else is not."""
+    found = spec.get("distribution")
+    if found not in (None, DISCRETE, CONTINUOUS):
+        raise ValueError(f"unknown distribution: {found}")
+    return found == DISCRETE if found else data_type in DISCRETE_TYPES
+
+
 def _quoted(name: str) -> str:
     return "\\Q" + name + "\\E"
 
 
 def read_metadata_table(spark: SparkSession, path: str) -> DataFrame:
-    """(column, sdtype, datetime_format) of one metadata document."""
+    """(column, sdtype, datetime_format, distribution) of one metadata document."""
     document = spark.read.text(path, wholetext=True).select(
         F.from_json("value", DOCUMENT_SCHEMA).alias("document")
     )
     return document.select(F.explode("document.columns").alias("column", "spec")).select(
-        "column", "spec.sdtype", "spec.datetime_format"
+        "column", "spec.sdtype", "spec.datetime_format", "spec.distribution"
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimweave.operators import compare, copula, ranks
 from claimweave.operators.combinations import synthesize_with_combinations, unseen_combinations
 from claimweave.operators.parse import head, normalise_nulls
-from claimweave.operators.profile import column_kinds, detect_metadata, non_null_counts
+from claimweave.operators.profile import _distinct_counts, column_kinds, detect_metadata, format_votes, non_null_counts
 from claimweave.operators.trailer import page_trailers
 from claimweave.plans import flows
 from claimweave.sources.metadata import (
@@ -333,3 +333,75 @@ def test_table_flow(spark, folder):
     assert {r["score"] for r in result.diagnostic.collect()} == {1.0}
     none = flows.synthesize_table(spark, f"{folder}/stock.csv", ["Boxes"], n=10, export=False)
     assert none.output_path is None and none.quality is None
+
+
+@pytest.mark.parametrize("distinct", [1000, 1001, 20_000])
+def test_discrete_numbers_give_real_values_only(spark, distinct):
+    """However many they are, and beyond the whole numbers that doubles hold."""
+    real = spark.range(40_000).select(
+        (F.col("id") % distinct * 7 - 1000).alias("whole"),
+        ((F.col("id") % distinct * 3 + 1) / 8).alias("part"),
+        F.when(F.col("id") % 11 != 0, F.col("id") % distinct + 2**60).alias("large"),
+        F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % distinct * 2).cast("int")).alias("day"),
+    )
+    kinds = {c: {"sdtype": "numerical"} for c in ("whole", "part", "large")}
+    kinds["part"]["distribution"] = "discrete"
+    kinds["day"] = {"sdtype": "datetime"}
+    model = copula.fit(real, kinds, steps=50)
+    assert all(not isinstance(m, copula.Grid) for m in model.marginals)
+    made = copula.sample(model, spark.range(3000), ["id"])
+    assert [t for c, t in made.dtypes if c != "id"] == [t for _, t in real.dtypes]
+    for c in real.columns:
+        assert made.filter(F.col(c).isNotNull()).join(real, c, "left_anti").count() == 0, c
+        assert made.select(c).distinct().count() > 500
+    assert 150 < made.filter("large IS NULL").count() < 400
+    assert made.stat.corr("whole", "part") > 0.99
+
+
+def test_metadata_decides_between_values_and_grid(spark, folder):
+    real = spark.range(300).select(F.col("id").alias("n"), (F.col("id") * 1.0).alias("x"))
+    kinds = {c: {"sdtype": "numerical"} for c in real.columns}
+    assert [type(m).__name__ for m in copula.fit(real, kinds, steps=1000).marginals] == ["Shares", "Grid"]
+    kinds["n"]["distribution"], kinds["x"]["distribution"] = "continuous", "discrete"
+    stored = save_metadata(spark, f"{folder}/m", "data", kinds)
+    assert read_metadata(spark, stored) == kinds
+    for exact in (True, False):
+        assert [type(m).__name__ for m in copula.fit(real, kinds, steps=1000, exact=exact).marginals] == ["Grid", "Shares"]
+    with pytest.raises(ValueError, match="distribution"):
+        copula.fit(real, {"n": {"sdtype": "numerical", "distribution": "other"}})
+
+
+def test_sketched_intervals_hold_the_exact_scores(spark):
+    both = spark.range(30_000).select(
+        (F.col("id") % 3 == 0).alias(compare.IS_REAL), (F.col("id") % 9).cast("double").alias("few"),
+        F.sqrt(F.col("id") * F.when(F.col("id") % 3 == 0, 1.0).otherwise(1.5)).alias("moved"), F.lit(4.0).alias("one"),
+        F.when(F.col("id") % 3 == 0, 1.0).alias("real_only"))
+    columns = ["few", "moved", "one", "real_only"]
+    exact = {r["column"]: r["score"] for r in compare.ks_scores(both, columns).collect()}
+    got = {r["column"]: (r["low"], r["high"]) for r in compare.ks_intervals(both, columns).collect()}
+    for c in columns[:3]:
+        low, high = got[c]
+        assert low <= exact[c] <= high and high - low < 0.01, (c, got[c], exact[c])
+    assert got["real_only"] == (None, None)
+
+
+def test_formats_are_voted_on_and_conflicts_counted(spark):
+    rows = [("20200101", "2020-01-01", "20200101", None), ("2020-01-02", "2020-01-02", "2020-01-02", None),
+            ("2020-01-03", "20200103", "x", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "most string, tie_less string, broken string, void string").withColumn("n", F.lit(1))
+    formats = ("yyyyMMdd", "yyyy-MM-dd")
+    found = {r["column"]: r for r in column_kinds(df, date_formats=formats).collect()}
+    assert (found["most"]["kind"], found["most"]["datetime_format"], found["most"]["format_conflicts"]) == ("datetime", "%Y-%m-%d", 1)
+    assert found["broken"]["kind"] != "datetime" and found["broken"]["datetime_format"] is None
+    assert detect_metadata(df, date_formats=formats)["most"]["datetime_format"] == "%Y-%m-%d"
+    votes = {(r["column"], r["datetime_format"]): (r["votes"], r["won"]) for r in format_votes(df, formats).collect()}
+    assert votes["broken", "%Y%m%d"] == (1, True) and votes["broken", "%Y-%m-%d"] == (1, False)
+    assert votes["void", "%Y%m%d"] == (0, False) and ("n", "%Y%m%d") not in votes
+
+
+def test_distinct_counts_of_all_columns_take_one_shuffle(spark):
+    df = spark.range(5000).select(*[(F.col("id") % k).alias(f"c{k}") for k in range(1, 30)], F.lit(None).cast("string").alias("void"))
+    found = {r["column"]: r["n_distinct"] for r in column_kinds(df, exact=True).collect()}
+    assert found == {**{f"c{k}": k for k in range(1, 30)}, "void": 0}
+    plan = _distinct_counts(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("Exchange hashpartitioning") == 2
