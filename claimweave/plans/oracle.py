@@ -664,6 +664,26 @@ SELECT value, n, coalesce(sum(n) OVER (ORDER BY value NULLS FIRST
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts"""
 
 
+TRAILER_RECONCILIATION = f"""WITH details AS (
+  SELECT o_orderstatus AS file, o_orderkey // 500 AS page, {cents("o_totalprice")} AS amount FROM orders),
+pages AS (SELECT file, page, count(*) AS n, sum(amount) AS total FROM details GROUP BY ALL),
+closing AS (SELECT file, page FROM pages WHERE file <> 'P' OR page % 9 <> 4),
+-- A page without a trailer goes on to the next one, or to the end of the file.
+closed AS (
+  SELECT p.file, (SELECT min(c.page) FROM closing c WHERE c.file = p.file AND c.page >= p.page) AS page, n, total FROM pages p),
+found AS (
+  SELECT c.file, c.page, sum(c.n) AS counted_rows, sum(c.total) AS counted_total, any_value(d.n) AS own_n, any_value(d.total) AS own_total
+  FROM closed c LEFT JOIN pages d ON d.file = c.file AND d.page = c.page GROUP BY c.file, c.page),
+declared AS (
+  SELECT *, CASE WHEN page % 11 <> 6 THEN own_n + CASE WHEN page % 7 = 3 THEN 1 ELSE 0 END END AS declared_rows,
+    CASE WHEN page % 11 <> 6 THEN own_total + CASE WHEN page % 5 = 2 THEN 100 ELSE 0 END END AS declared_total FROM found)
+SELECT file, page * 1000 + 999 AS line_no, declared_rows, counted_rows, declared_total, counted_total,
+  CASE WHEN page IS NULL THEN 'unclosed' WHEN declared_rows IS NULL THEN 'unreadable'
+    WHEN declared_rows = counted_rows AND declared_total = counted_total THEN 'equal'
+    WHEN declared_total = counted_total THEN 'rows' WHEN declared_rows = counted_rows THEN 'total' ELSE 'both' END AS status
+FROM declared"""
+
+
 def sketched_shapes() -> str:
     scores = rounded(union_all([ks(c, "items", FLAG_A) for c in SHAPE_COLUMNS]), ITEMS)
     return f"""SELECT "column", score, true AS held, true AS narrow FROM ({scores})"""
@@ -691,6 +711,7 @@ ORACLE = {
     "q42_sketched_marginals": SKETCHED_MARGINALS,
     "q43_sketched_shapes": sketched_shapes(),
     "q44_date_votes": date_votes(),
+    "q45_trailer_reconciliation": TRAILER_RECONCILIATION,
     "q18_shape_numeric": rounded(union_all([ks(c, "items", FLAG_A) for c in SHAPE_COLUMNS]), ITEMS),
     "q19_shape_categorical": rounded(
         union_all([tv(c, "orders", OPEN) for c in ("o_orderpriority", "o_custkey", "o_orderdate")])

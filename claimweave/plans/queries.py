@@ -21,6 +21,7 @@ from claimweave.operators.generate import (
 )
 from claimweave.operators.parse import head, mask_columns, normalise_nulls, parse_fields
 from claimweave.operators.profile import column_kinds, format_votes, non_null_counts
+from claimweave.operators.reconcile import reconciled
 from claimweave.operators.render import control_line, join_sections, render_line, section_lines, write_sections
 from claimweave.operators.trailer import DECODE, NUMBERS, ZERO, decode_totals, page_trailers
 from claimweave.plans.flows import LINE_KEY, generate_file, stored_or_detected, synthesize_headers
@@ -608,6 +609,21 @@ def claim_file(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def trailer_reconciliation(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of several pages, some of whose trailers declare too much or nothing, against their lines."""
+    page = F.floor(F.col("o_orderkey") / 500)
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("file"), (F.col("o_orderkey") * 2).alias("line_no"), page.alias("page"), cents(F.col("o_totalprice")).alias("amount"))
+    details = orders.select("file", "line_no", F.concat(F.lit("DE"), F.col("amount").cast("string")).alias("value"), "amount")
+    counted = orders.where("file <> 'P' OR page % 9 <> 4").groupBy("file", "page").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    n = F.col("n") + F.when(F.col("page") % 7 == 3, F.lit(1)).otherwise(F.lit(0))
+    total = F.col("total") + F.when(F.col("page") % 5 == 2, F.lit(100)).otherwise(F.lit(0))
+    line = F.concat(F.lit("PT"), F.lpad(n.cast("string"), 10, "0"), F.lpad(total.cast("string"), 11, "0"), F.lit("A"))
+    broken = F.when(F.col("page") % 11 == 6, F.lit("PTnone")).otherwise(line)
+    trailers = counted.select("file", (F.col("page") * 1000 + 999).alias("line_no"), broken.alias("value"), F.lit(None).cast("long").alias("amount"))
+    return reconciled(details.unionByName(trailers))
+
+
 def metadata_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as stored versions: the brand names a document, the size is its version."""
     parts = table(spark, folder, "part").select("p_brand", F.col("p_size").alias("version"))
@@ -675,4 +691,5 @@ QUERIES = {
     "q42_sketched_marginals": sketched_marginals,
     "q43_sketched_shapes": sketched_shapes,
     "q44_date_votes": date_votes,
+    "q45_trailer_reconciliation": trailer_reconciliation,
 }
