@@ -261,6 +261,57 @@ def test_matches_equal_brute_force(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def changed(rng, item):
+    """An item with words inserted, deleted or replaced in one place or several."""
+    w = item.split()
+    kind = rng.randrange(5)
+    at = rng.randrange(len(w) // 4, 3 * len(w) // 4)
+    if kind == 0:
+        w[at:at] = [f"new{rng.randrange(9)}" for _ in range(rng.randrange(1, 7))]
+    elif kind == 1:
+        del w[at : at + rng.randrange(1, 6)]
+    elif kind == 2:
+        del w[: rng.randrange(1, 8)]
+    elif kind == 3:
+        del w[-rng.randrange(1, 8) :]
+    else:
+        w[at] = "changed"
+        w[at // 2 : at // 2] = ["two", "more"]
+    return " ".join(w)
+
+
+def test_matches_with_inserted_and_deleted_words_equal_brute_force(spark):
+    """Items share their edges, so that only shingles in their middle are rare; some passages end a text."""
+    rng = random.Random(23)
+    head, tail = text_of(rng, 12), text_of(rng, 12)
+    items = [(i, f"{head} {text_of(rng, rng.choice([30, 36, 60]))} {tail}") for i in range(12)]
+    items += [(20 + i, text_of(rng, rng.choice([20, 40, 60]))) for i in range(8)]
+    docs = []
+    for d in range(160):
+        passage = changed(rng, rng.choice(items)[1])
+        before, after = text_of(rng, rng.choice([0, 3, 40])), text_of(rng, rng.choice([0, 3, 40]))
+        docs.append((d, f"{before} {passage} {after}"))
+    docs += [(300, f"{items[0][1]} {text_of(rng, 9)} {changed(rng, items[0][1])}"), (301, head), (302, f"{head} {tail}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, benchmark).collect()}
+    want = brute_matches(docs, items)
+    assert got == want and 60 < len(want) < 320
+
+
+def test_inserted_words_between_shared_edges_are_found(spark):
+    """Five words in the middle of an item whose edges other items have: a start between the two alignments is best."""
+    middle = [f"m{i}" for i in range(36)]
+    edge = [f"e{i}" for i in range(24)]
+    item = " ".join(edge[:12] + middle + edge[12:])
+    others = [" ".join(edge[:12] + [f"o{k}x{i}" for i in range(36)] + edge[12:]) for k in range(6)]
+    text = " ".join(["z"] * 30 + edge[:12] + middle[:18] + [f"n{i}" for i in range(3)] + middle[18:] + edge[12:] + ["y"] * 30)
+    items = list(enumerate([item, *others]))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_matches([(1, text)], items)
+
+
 def test_index_holds_all_fingerprints_within_the_radius():
     rng = random.Random(4)
     for _ in range(300):
