@@ -1,23 +1,30 @@
 """Quality rules: base rules, then robust multivariate outliers per language and source.
 
 Location and scatter of transformed text statistics are minimum-covariance-determinant
-estimates: they start at medians and median deviations, and every concentration step takes mean
-and covariance of the three quarters of a group that lie nearest. A document is rejected if its
-squared Mahalanobis distance exceeds `CUT`.
+estimates. They start twice, at medians with median deviations and at mean and covariance of all. Every
+concentration step takes mean and covariance of the three quarters of a group that lie nearest, until no
+determinant falls by more than `SETTLED`, `MOST_STEPS` at most; the start with the least determinant is
+taken. The squares of `FLOORS` are added to the variances, before determinants are compared as well, so
+small differences never count as unusual. A document is rejected if its squared Mahalanobis distance exceeds `CUT`.
+
+A language and source with fewer than `LEAST_GROUP` documents is judged by the estimate of its source in all languages,
+if that has fewer by that of its language in all sources, and else by that of all documents, few as they may be.
 
 All work is aggregation by group of a narrow table: histograms with fixed bins (merged map side)
 give medians and the distance of the nearest three quarters, sums of products give covariances.
-No group meets in one task, so a source of a third of all rows is no special case.
+Estimates are broadcast if their counted rows prove them small, so a source of a third of all rows is no special
+case; only with some hundred thousand groups are rows shuffled by group.
 
 Defined results: a null text is empty, has no words and fails the base rules. Null languages and
-sources are groups of their own. Groups of fewer than `LEAST_GROUP` documents share one
-estimate; if even that has fewer, its documents are kept. Equal rows get equal verdicts. Other
+sources are groups of their own. Equal rows get equal verdicts. Other
 columns of the input, of whatever name, are ignored by `judge` and kept by `kept_documents`.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +37,9 @@ PLACE_BITS = 24
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 NEAREST = 0.75
-STEPS = 3
+MOST_STEPS = 12
+# A determinant that falls by less than this share has settled.
+SETTLED = 1e-3
 LEAST_GROUP = 64
 # The covariance of the nearest three quarters of a 4-dimensional normal, times this, is its own.
 CONSISTENCY = 1.48
@@ -136,6 +145,15 @@ def inverse(matrix: Column, n: int = N) -> Column:
     return F.transform(swept, lambda v: -v)
 
 
+def _determinant(matrix: Column, n: int = N) -> Column:
+    """Determinant of an array of n * n by rows."""
+    def signed(p: tuple[int, ...]) -> Column:
+        sign = prod(-1 if p[i] > p[j] else 1 for j in range(n) for i in range(j))
+        return prod((F.get(matrix, F.lit(i * n + j)) for i, j in enumerate(p)), start=F.lit(float(sign)))
+
+    return reduce(lambda x, y: x + y, map(signed, permutations(range(n))))
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of the features from the joined `mean` and `inverse`."""
     off = [F.col(f) - F.get("mean", F.lit(i)) for i, f in enumerate(FEATURES)]
@@ -145,9 +163,9 @@ def _distance() -> Column:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and inverse covariance per group, spread to a normal's and not below the floors."""
+    """Mean, inverse covariance and its determinant per group and start, spread to a normal's and not below the floors."""
     pairs = [(i, j) for i in range(N) for j in range(i, N)]
-    sums = rows.groupBy("group").agg(
+    sums = rows.groupBy("group", "start").agg(
         F.count("*").alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)),
         *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs))
 
@@ -156,31 +174,57 @@ def _moments(rows: DataFrame) -> DataFrame:
         c = (F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / F.col("n") * CONSISTENCY
         return F.round(c + FLOORS[FEATURES[i]] ** 2 if i == j else c, PLACES)
 
-    return sums.select("group", F.array(*(F.round(F.col(f"s{i}") / F.col("n"), PLACES) for i in range(N))).alias("mean"),
-                       inverse(F.array(*(covariance(i, j) for i in range(N) for j in range(N)))).alias("inverse"))
+    mean = F.array(*(F.round(F.col(f"s{i}") / F.col("n"), PLACES) for i in range(N)))
+    of = sums.select("group", "start", mean.alias("mean"), F.array(*(covariance(i, j) for i in range(N) for j in range(N))).alias("c"))
+    return of.select("group", "start", "mean", inverse(F.col("c")).alias("inverse"), _determinant(F.col("c")).alias("determinant"))
 
 
 def _nearest(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The three quarters of each group that lie nearest, to a thirty-second of a doubling."""
-    far = rows.join(estimate, "group").withColumn(
+    """The three quarters of each group that lie nearest, for each start, to a thirty-second of a doubling."""
+    far = rows.join(estimate.select("group", "start", "mean", "inverse"), "group").withColumn(
         "bin", F.ceil(F.log2(F.greatest(_distance(), F.lit(1e-6))) * DISTANCE_BINS)).drop("mean", "inverse")
-    counts = far.groupBy("group", "bin").agg(F.count("*").alias("n"))
-    return far.join(_at_rank(counts, ["group"], NEAREST).withColumnRenamed("bin", "most"), "group").where("bin <= most")
+    counts = far.groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
+    most = written(_at_rank(counts, ["group", "start"], NEAREST).withColumnRenamed("bin", "most"), "most")
+    return far.join(small(most, 100), ["group", "start"]).where("bin <= most")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(group, mean, inverse) by concentration steps; rows hold a group and the features."""
-    medians = written(_medians(rows, {f: F.col(f) for f in FEATURES}), "medians")
+def _starts(rows: DataFrame) -> DataFrame:
+    """(group, start, mean, inverse): medians with median deviations, and mean and covariance of all."""
+    medians = small(written(_medians(rows, {f: F.col(f) for f in FEATURES}), "medians"), 200)
     off = rows.join(medians, "group")
     deviations = _medians(off, {f: F.abs(F.col(f) - F.get("median", F.lit(i))) for i, f in enumerate(FEATURES)})
     # 1.4826 median deviations are a standard deviation of a normal.
     scale = [F.greatest(1.4826 * F.get("deviation", F.lit(i)), F.lit(FLOORS[f])) for i, f in enumerate(FEATURES)]
-    start = F.array(*(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(N) for j in range(N)))
-    estimate = medians.join(deviations.withColumnRenamed("median", "deviation"), "group").select(
-        "group", F.col("median").alias("mean"), start.alias("inverse"))
-    for step in range(STEPS):
-        estimate = written(_moments(_nearest(rows, written(estimate, f"start{step}") if not step else estimate)), f"step{step}")
-    return estimate
+    inverse_of = F.array(*(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(N) for j in range(N)))
+    robust = medians.join(deviations.withColumnRenamed("median", "deviation"), "group").select(
+        "group", F.lit(0).alias("start"), F.col("median").alias("mean"), inverse_of.alias("inverse"))
+    return robust.union(_moments(rows.withColumn("start", F.lit(1))).drop("determinant"))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(group, mean, inverse) by concentration steps; rows hold a group and the features."""
+    estimate, before = written(_starts(rows), "starts"), None
+    for step in range(MOST_STEPS):
+        estimate = written(_moments(_nearest(rows, small(estimate, 400))), f"step{step}")
+        if before is not None:
+            earlier = before.select("group", "start", F.col("determinant").alias("earlier"))
+            falls = F.col("determinant") * (1 + SETTLED) < F.col("earlier")
+            if estimate.join(earlier, ["group", "start"]).where(falls).isEmpty():
+                break
+        before = estimate
+    least = estimate.groupBy("group").agg(F.min(F.struct("determinant", "start", "mean", "inverse")).alias("e"))
+    return least.select("group", "e.mean", "e.inverse")
+
+
+def _groups(passing: DataFrame) -> DataFrame:
+    """(g1, g2, levels, group): the groups whose estimates the documents of g1, g2 may enter, and the one that judges them."""
+    sizes = passing.groupBy("g1", "g2").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("n1", F.sum("n").over(Window.partitionBy("g1"))).withColumn("n2", F.sum("n").over(Window.partitionBy("g2")))
+    own, source, language = (F.concat(F.lit(level), F.to_json(F.struct(*names))) for level, names in (
+        ("both", ("g1", "g2")), ("second", ("g2",)), ("first", ("g1",))))
+    chosen = F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("n2") >= LEAST_GROUP, source).when(
+        F.col("n1") >= LEAST_GROUP, language).otherwise("all")
+    return sizes.select("g1", "g2", F.array(own, source, language, F.lit("all")).alias("levels"), chosen.alias("group"))
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -188,15 +232,14 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)."""
     measured = written(_measured(docs, id_column, text, list(group)), "measured")
     passing = measured.where("NOT base_failed")
-    sizes = passing.groupBy("g1", "g2").agg(F.count("*").alias("n"))
-    own = F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.struct("g1", "g2"))).otherwise("rest")
-    groups = written(sizes.select("g1", "g2", "n", own.alias("group")), "groups")
-    usable = groups.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_GROUP).select("group")
-    place = groups.join(usable, "group").select(F.col("g1").alias("p1"), F.col("g2").alias("p2"), "group")
+    groups = written(_groups(passing), "groups")
+    place = groups.select(F.col("g1").alias("p1"), F.col("g2").alias("p2"), "levels", "group")
     same = F.col("g1").eqNullSafe(F.col("p1")) & F.col("g2").eqNullSafe(F.col("p2"))
-    rows = passing.join(place, same).select("group", *FEATURES)
+    # Only groups that judge documents are estimated, from all documents of theirs.
+    enters = place.select("p1", "p2", F.explode("levels").alias("group")).join(place.select("group").distinct(), "group", "left_semi")
+    rows = written(passing.join(small(written(enters, "enters"), 200), same).select("group", *FEATURES), "rows")
     estimate = estimates(rows)
-    known = place.join(estimate, "group").drop("group")
+    known = small(written(place.join(estimate, "group").drop("group", "levels"), "estimates"), 400)
     judged = measured.join(known, same & ~F.col("base_failed"), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return judged.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines",

@@ -26,18 +26,24 @@ def base(text):
 
 
 def brute_distances(rows):
-    """MCD by the same steps without bins, for one group; rows: features."""
-    x = np.array(rows)
-    floors = np.array(list(quality_rules.FLOORS.values()))
-    mean = np.median(x, axis=0)
-    scale = np.maximum(1.4826 * np.median(np.abs(x - mean), axis=0), floors)
-    inverse = np.diag(1 / scale**2)
-    distance = lambda: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    for _ in range(quality_rules.STEPS):
-        near = x[np.argsort(distance(), kind="stable")[: int(np.ceil(quality_rules.NEAREST * len(x)))]]
-        mean = near.mean(axis=0)
-        inverse = np.linalg.inv(np.cov(near.T, bias=True) * quality_rules.CONSISTENCY + np.diag(floors**2))
-    return distance()
+    """MCD of one group from many random starts, without bins; rows: features."""
+    x, rng = np.array(rows), np.random.default_rng(2)
+    floors = np.diag(np.array(list(quality_rules.FLOORS.values())) ** 2)
+    h = int(np.ceil(quality_rules.NEAREST * len(x)))
+    best = None
+    for _ in range(40):
+        near = x[rng.choice(len(x), 12, replace=False)]
+        last = np.inf
+        while True:
+            mean, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENCY + floors
+            distance = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(c), x - mean)
+            if len(near) == h and np.linalg.det(c) >= last * (1 - 1e-9):
+                break
+            last = np.linalg.det(c) if len(near) == h else np.inf
+            near = x[np.argsort(distance, kind="stable")[:h]]
+        if best is None or last < best[0]:
+            best = last, distance
+    return best[1]
 
 
 def test_base_counts_and_verdicts(spark):
@@ -78,6 +84,34 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert counts[0, False] >= 0.5 * counts.get((0, True), 0)
 
 
+def prose(rng, n=80):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+def test_small_groups_are_judged_by_wider_ones(spark):
+    """A language and source of few documents goes by its source, its language, or all documents; none stays unjudged."""
+    rng = random.Random(8)
+    junk = lambda: " ".join(w + "#|*$<>" if rng.random() < 0.5 else "&%$#*|<>" * 3 for w in prose(rng).split())
+    rows = [("en", "web", prose(rng)) for _ in range(150)] + [("de", "web", prose(rng)) for _ in range(20)] + [("de", "web", junk())]
+    rows += [("en", "books", prose(rng)) for _ in range(20)] + [("en", "books", junk()), ("fr", None, prose(rng)), ("fr", None, junk())]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    groups = {(r["g1"], r["g2"]): r["group"] for r in quality_rules._groups(docs.selectExpr("lang AS g1", "source AS g2")).collect()}
+    assert groups == {("en", "web"): 'both{"g1":"en","g2":"web"}', ("de", "web"): 'second{"g2":"web"}',
+                      ("en", "books"): 'first{"g1":"en"}', ("fr", None): "all"}
+    got = quality_rules.judge(docs).collect()
+    assert all(r["distance"] is not None for r in got if not r["base_failed"])
+    assert sorted(r["doc_id"] for r in got if not r["kept"]) == [i for i, (_, _, t) in enumerate(rows) if "#" in t]
+    # Alone in their table, few documents are held against each other.
+    few = quality_rules.judge(docs.where("lang = 'de'")).collect()
+    assert [r["doc_id"] for r in few if not r["kept"]] == [170]
+
+
+def test_determinant(spark):
+    m = np.random.default_rng(3).normal(size=(4, 4))
+    row = spark.createDataFrame([(m.ravel().tolist(),)], "m array<double>").select(quality_rules._determinant(F.col("m")).alias("d")).first()
+    assert np.isclose(row["d"], np.linalg.det(m))
+
+
 def test_quality_rules_of_few_and_no_documents(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert quality_rules.judge(spark.createDataFrame([], schema)).collect() == []
