@@ -1,53 +1,51 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled documents (`MOST_LABELLED`, those with the least hash of
-their id). Terms are lower-case words between white space, without the marks at their ends; the vocabulary holds the `MOST_TERMS`
-terms that are most significantly more frequent in toxic examples: of a class's terms (each counted once per
-document, so that long documents do not make all terms frequent) the log odds ratio over its standard error is at
-least `LEAST_Z`, and the ratio itself at least `LEAST_ODDS`. Document frequencies for the weights are counted over all
-documents. A vector has (1 + ln tf) * ln((1 + documents) / (1 + df)) for each term it contains and
-length 1.
-
-Examples with a vector form an inverted index: a term's postings are split into blocks of `BLOCK`
-example numbers, each with its greatest weight. A document's bound for a block is the sum of
+their id). Terms are lower-case words between white space, without the marks at their ends. Every term of an
+example is indexed; terms that no example has are outside the vector space. A vector has
+(1 + ln tf) * ln((1 + documents) / (1 + df)) * told for each of its terms and length 1. Document frequencies are
+counted over all documents. told weighs terms by what labels tell of them: the odds of the term in toxic examples over those in
+others (each counted once per document, so that long documents do not make all terms frequent), less `LEAST_Z` standard errors
+of its logarithm, and at least 1; it only raises weights, no term is dropped.
+
+The inverted index lists a term's postings by example number, split into blocks of `BLOCK`
+numbers, each with its greatest weight. A document's bound for a block is the sum of
 its weights times those maxima; blocks are visited by falling bound until no bound reaches the
 `NEIGHBOURS`-th best cosine, so the neighbours are exact. Cosines are rounded to `PLACES` and ties
-go to the lesser example id. A neighbour votes with weight 1 / (distance + SOFT), distance being
+go to the lesser example id. A neighbour votes with weight 1 / (distance^2 + SOFT), distance being
 1 - cosine; the prior votes with `PRIOR` weight. Calibration maps the vote to the share of toxic
 labels: a least-squares increasing step function over the examples, each scored without itself,
 and one share for documents without a neighbour.
 
-Defined results: null, empty and blank texts, and texts without a vocabulary term, have no
+Defined results: null, empty and blank texts, and texts without a term of an example, have no
 neighbour and get that one share. Labels: null ones are not learnt from; of several for one id, the greatest
-counts. Repeated rows get equal scores. Without labelled documents every score is `NO_LABELS`.
-Empty tables give no rows. Other columns are ignored by `score` and kept by `kept_documents`.
+counts. Ids may be of any type that can be ordered and cast to text and back. Repeated rows get equal scores. Without labelled documents
+every score is `NO_LABELS`. Empty tables give no rows. Other columns are ignored by `score` and kept by `kept_documents`.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import small, written
+from claimweave.llm.common import small, text_key, written
 
-MOST_LABELLED = 20_000
-MOST_TERMS = 2_048
-LEAST_Z = 3.0
-LEAST_ODDS = 4.0
-LEAST_TOXIC = 3
+MOST_LABELLED = 3_000
+LEAST_Z = 2.0
 NEIGHBOURS = 15
 BLOCK = 512
 PLACES = 6
-SOFT, PRIOR = 0.1, 1.0
+SOFT, PRIOR = 0.01, 1.0
 NO_LABELS = 0.0
-MOST_CACHED = 1 << 17
+# Scores that a task remembers for further copies of a text.
+MOST_CACHED = 1 << 15
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^…„“”«»‚‘’¡¿–—·"
 
 
@@ -55,6 +53,12 @@ def _terms(text: str | None) -> list[str]:
     return [w for w in (w.strip(MARKS) for w in text.lower().split()) if w] if text else []
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to before its end, run after run."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
     """Block-max inverted index over example vectors of length 1."""
@@ -62,23 +66,31 @@ class Index:
     ids: np.ndarray
     toxic: np.ndarray
     term: dict[str, int]
-    idf: np.ndarray
-    # Postings of each term: example numbers (rising) and weights.
-    examples: list[np.ndarray]
-    weights: list[np.ndarray]
-    # Greatest weight of each term in each block, and where a block starts in the term's postings.
+    # What a term weighs before its count: idf * told.
+    weight: np.ndarray
+    # Postings by term and example number: the numbers and weights.
+    numbers: np.ndarray
+    weights: np.ndarray
+    # Blocks by term: number, greatest weight, and where it starts in the postings (with an end); of each term the first block.
+    blocks: np.ndarray
     most: np.ndarray
     starts: np.ndarray
+    first: np.ndarray
     prior: float
     # Increasing steps of votes, and the share of toxic labels of each; then without neighbours.
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
     shares: np.ndarray = field(default_factory=lambda: np.zeros(0))
     alone: float = NO_LABELS
+    # Of each id its text, if ids are numbers given in the order of others.
+    names: list[str] = field(default_factory=list)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(self.term[t] for t in counts), np.int64)
-        names = {self.term[t]: n for t, n in counts.items()}
-        w = np.array([(1 + np.log(names[t])) * self.idf[t] for t in at])
+        """Terms, rising, and their weights as a vector of length 1; none if all terms are unknown or weigh nothing."""
+        at = np.array([self.term.get(t, -1) for t in counts], np.int64)
+        n = np.array(list(counts.values()), float)
+        order = np.argsort(at)[np.count_nonzero(at < 0) :]
+        at = at[order]
+        w = (1 + np.log(n[order])) * self.weight[at]
         norm = np.sqrt((w * w).sum())
         return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
@@ -86,22 +98,26 @@ class Index:
         """Numbers and cosines of the nearest examples, best first, of all examples but those of the id `without`."""
         if not len(at) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[at]
+        low, high = self.first[at], self.first[at + 1]
+        entry, weight = _runs(low, high), np.repeat(w, high - low)
+        bound = np.bincount(self.blocks[entry], weight * self.most[entry], -(-len(self.ids) // BLOCK))
+        order = np.argsort(self.blocks[entry], kind="stable")
+        entry, weight = entry[order], weight[order]
+        cuts = np.searchsorted(self.blocks[entry], np.arange(len(bound) + 1))
         found, scores, least = [], [], 0.0
         n = 0
         for block in np.argsort(-bound, kind="stable"):
             if bound[block] <= 0 or (n >= NEIGHBOURS and round(bound[block] + 10**-PLACES, PLACES) < least):
                 break
-            low = block * BLOCK
-            dots = np.zeros(BLOCK)
-            for t, x in zip(at, w):
-                s, e = self.starts[t, block], self.starts[t, block + 1]
-                if s < e:
-                    dots[self.examples[t][s:e] - low] += x * self.weights[t][s:e]
+            here = slice(cuts[block], cuts[block + 1])
+            s, e = self.starts[entry[here]], self.starts[entry[here] + 1]
+            posting = _runs(s, e)
+            start = block * BLOCK
+            dots = np.bincount(self.numbers[posting] - start, np.repeat(weight[here], e - s) * self.weights[posting], BLOCK)
             hit = np.flatnonzero(dots > 0)
             if without is not None:
-                hit = hit[self.ids[hit + low] != without]
-            found.append(hit + low)
+                hit = hit[self.ids[hit + start] != without]
+            found.append(hit + start)
             scores.append(np.round(dots[hit], PLACES))
             n += len(hit)
             if n >= NEIGHBOURS:
@@ -114,7 +130,7 @@ class Index:
         return number[best], cosine[best]
 
     def vote(self, number: np.ndarray, cosine: np.ndarray) -> float:
-        weight = 1 / (1 - cosine + SOFT)
+        weight = 1 / (np.square(1 - cosine) + SOFT)
         return float(((weight * self.toxic[number]).sum() + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
     def share(self, vote: float) -> float:
@@ -140,29 +156,33 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s[1] / s[2] for s in steps]), np.array([s[0] / s[2] for s in steps])
 
 
-def build(examples: list[tuple[int, int, dict[str, int]]], vocabulary: list[str], frequencies: dict[str, int],
-          documents: int) -> Index:
+def build(examples: Iterable[tuple[int, int, dict[str, int]]], vocabulary: list[str], frequencies: dict[str, int],
+          documents: int, told: dict[str, float] | None = None) -> Index:
     """Index from (id, toxic, term counts) of labelled documents, with and without terms; not calibrated."""
-    terms = {t: i for i, t in enumerate(vocabulary)}
     idf = np.array([np.log((1 + documents) / (1 + frequencies.get(t, 0))) for t in vocabulary])
-    prior = sum(e[1] for e in examples) / len(examples) if examples else NO_LABELS
-    bare = Index(np.zeros(0, np.int64), np.zeros(0), terms, np.maximum(idf, 0), [], [], np.zeros((0, 0)), np.zeros((0, 0), int), prior)
-    vectors = sorted(((i, y, *bare.vector(c)) for i, y, c in examples), key=lambda v: (v[2][:1].tolist() if len(v[2]) else [-1], v[0]))
-    empty = [v for v in vectors if not len(v[2])]
-    vectors = [v for v in vectors if len(v[2])]
-    blocks = -(-len(vectors) // BLOCK)
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-    for n, (_, _, at, w) in enumerate(vectors):
-        for t, x in zip(at, w):
-            postings[t].append((n, x))
-    index = Index(
-        np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), terms, bare.idf,
-        [np.array([p[0] for p in ps], np.int64) for ps in postings], [np.array([p[1] for p in ps], float) for ps in postings],
-        np.zeros((len(vocabulary), blocks)), np.zeros((len(vocabulary), blocks + 1), np.int64), prior)
-    for t, (e, w) in enumerate(zip(index.examples, index.weights)):
-        np.maximum.at(index.most[t], e // BLOCK, w)
-        index.starts[t] = np.searchsorted(e, np.arange(blocks + 1) * BLOCK)
-    index.alone = (sum(v[1] for v in empty) + PRIOR * prior) / (len(empty) + PRIOR) if examples else NO_LABELS
+    weight = np.maximum(idf, 0) * np.array([(told or {}).get(t, 1.0) for t in vocabulary])
+    nothing = np.zeros(0, np.int64)
+    index = Index(nothing, np.zeros(0), {t: i for i, t in enumerate(vocabulary)}, weight, nothing, np.zeros(0), nothing,
+                  np.zeros(0), np.zeros(1, np.int64), np.zeros(len(vocabulary) + 1, np.int64), 0.0)
+    every = [(i, y, *index.vector(counts)) for i, y, counts in examples]
+    index.prior = sum(v[1] for v in every) / len(every) if every else NO_LABELS
+    empty = [v for v in every if not len(v[2])]
+    index.alone = (sum(v[1] for v in empty) + PRIOR * index.prior) / (len(empty) + PRIOR) if every else NO_LABELS
+    # Examples with the same heaviest term share blocks, which makes other blocks' maxima of it small.
+    vectors = sorted((v for v in every if len(v[2])), key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
+    if not vectors:
+        return index
+    index.ids, index.toxic = np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float)
+    terms = np.concatenate([v[2] for v in vectors])
+    order = np.argsort(terms, kind="stable")
+    terms = terms[order]
+    index.numbers = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])[order]
+    index.weights = np.concatenate([v[3] for v in vectors])[order]
+    block = index.numbers // BLOCK
+    new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])
+    index.blocks, index.most = block[new], np.maximum.reduceat(index.weights, new)
+    index.starts = np.r_[new, len(terms)]
+    index.first = np.searchsorted(terms[new], np.arange(len(vocabulary) + 1))
     return index
 
 
@@ -174,9 +194,10 @@ def _calibrated(index: Index, rows: DataFrame) -> Index:
         index = cloudpickle.loads(shared.value)
         for pdf in batches:
             out = []
-            for i, y, counts in zip(pdf["id"], pdf["y"], _known_counts(pdf, index.term)):
-                if counts:
-                    near = index.nearest(*index.vector(counts), without=i)
+            for i, y, terms, n in zip(pdf["id"], pdf["y"], pdf["terms"], pdf["n"]):
+                at, w = index.vector(dict(zip(terms, n)))
+                if len(at):
+                    near = index.nearest(at, w, without=i)
                     out.append((index.vote(*near) if len(near[0]) else index.prior, y))
             yield pd.DataFrame(out, columns=["vote", "y"])
 
@@ -187,10 +208,6 @@ def _calibrated(index: Index, rows: DataFrame) -> Index:
     return index
 
 
-def _known_counts(pdf: pd.DataFrame, known: dict[str, int] | set[str]) -> list[dict[str, int]]:
-    return [{t: int(k) for t, k in zip(terms, n) if t in known} for terms, n in zip(pdf["terms"], pdf["n"])]
-
-
 def sampled_labels(labels: DataFrame, id_column: str, label: str, learn: Column | None) -> DataFrame:
     """(id, y) of at most MOST_LABELLED labelled ids."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
@@ -202,9 +219,13 @@ def sampled_labels(labels: DataFrame, id_column: str, label: str, learn: Column
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic",
         learn: Column | None = None) -> Index:
     """learn: which labels may be learnt from, a condition on the labels' columns."""
-    sample = small(written(sampled_labels(labels, id_column, label, learn), "labelled"), 16)
+    # Ids are numbered in their order; at most MOST_LABELLED rows.
+    numbered = sampled_labels(labels, id_column, label, learn).withColumn("number", F.row_number().over(Window.orderBy("id")).cast("long"))
+    sample = small(written(numbered, "labelled"), 256)
+    names = [r["name"] for r in sample.select("number", F.col("id").cast("string").alias("name")).orderBy("number").collect()]
     body = F.col(text).cast("string")
-    found = docs.select(F.col(id_column).alias("id"), body.alias("text")).join(sample, "id")
+    found = docs.select(F.col(id_column).alias("id"), body.alias("text")).join(sample, "id").select(
+        F.col("number").alias("id"), "y", "text")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,14 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     totals = rows.agg(F.sum(F.when(F.col("y") == 1, size)).alias("toxic"), F.sum(F.when(F.col("y") == 0, size)).alias("clean")).first()
     a, b = F.sum("y") + 0.5, F.sum(1 - F.col("y")) + 0.5
     odds = F.log(a / ((totals["toxic"] or 0) + 1 - a)) - F.log(b / ((totals["clean"] or 0) + 1 - b))
-    scored = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(
-        odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), F.sum("y").alias("toxic"))
-    telling = (F.col("z") >= LEAST_Z) & (F.col("odds") >= float(np.log(LEAST_ODDS)))
-    top = scored.where(telling & (F.col("toxic") >= LEAST_TOXIC)).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
-    vocabulary = sorted(r["term"] for r in top.collect())
-    known = set(vocabulary)
+    sure = F.greatest(odds - LEAST_Z * F.sqrt(1 / a + 1 / b), F.lit(0.0))
+    told = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.exp(sure).alias("told")).orderBy("term").toPandas()
+    vocabulary = told["term"].tolist()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = set(shared.value)
         seen: Counter[str] = Counter()
         n = 0
         for pdf in batches:
@@ -233,16 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         # The count of documents comes with the empty term.
         yield pd.DataFrame({"term": ["", *seen], "df": [n, *seen.values()]})
 
-    df = {r["term"]: r["df"] for r in docs.select(body.alias("text")).mapInPandas(frequencies, "term string, df long")
-          .groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    def vocabulary_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts = _known_counts(pdf, known)
-            yield pdf.assign(terms=[list(c) for c in counts], n=[list(c.values()) for c in counts])
-
-    narrow = written(rows.mapInPandas(vocabulary_only, rows.schema), "vectors")
-    examples = [(r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in narrow.collect()]
-    return _calibrated(build(examples, vocabulary, df, df.get("", 0)), narrow)
+    df = docs.select(body.alias("text")).mapInPandas(frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = dict(zip(df["term"], df["df"]))
+    examples = ((r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in rows.toLocalIterator())
+    index = build(examples, vocabulary, df, int(df.get("", 0)), dict(zip(vocabulary, told["told"])))
+    index.names = names
+    return _calibrated(index, rows)
 
 
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,30 +269,31 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str =
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = cloudpickle.loads(shared.value)
-        known, cache = index.term, {}
+        cache: dict[tuple[int, int], tuple[float, list[dict]]] = {}
 
-        def result(text: str | None) -> tuple[float, list[dict]]:
-            counts = Counter(t for t in _terms(text) if t in known)
-            at = tuple(sorted(counts.items()))
-            if at not in cache:
-                if len(cache) > MOST_CACHED:
+        def result(key: tuple[int, int], text: str | None) -> tuple[float, list[dict]]:
+            if key not in cache:
+                if len(cache) >= MOST_CACHED:
                     cache.clear()
-                number, cosine = index.nearest(*index.vector(counts)) if counts else ((), ())
-                cache[at] = (index.share(index.vote(number, cosine)), [
-                    {"id": int(index.ids[n]), "cosine": float(c), "toxic": int(index.toxic[n])} for n, c in zip(number, cosine)]
+                number, cosine = index.nearest(*index.vector(Counter(_terms(text))))
+                cache[key] = (index.share(index.vote(number, cosine)), [
+                    {"id": index.names[index.ids[n] - 1], "cosine": float(c), "toxic": int(index.toxic[n])} for n, c in zip(number, cosine)]
                 ) if len(number) else (index.alone, [])
-            return cache[at]
+            return cache[key]
 
         for pdf in batches:
-            results = [result(t) for t in pdf["text"]]
+            results = [result((a, b), t) for a, b, t in zip(pdf["key"], pdf["key2"], pdf["text"])]
             yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "score": [r[0] for r in results],
                                 "neighbours": [r[1] for r in results]})
 
     # Ids go through Python as texts, as pandas would round whole numbers next to a null.
-    read = docs.select(F.col(id_column).cast("string").alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
-    out = read.mapInPandas(judge, "id string, key long, score double, neighbours array<struct<id: long, cosine: double, toxic: int>>")
+    key, key2 = text_key(body)
+    read = docs.select(F.col(id_column).cast("string").alias("id"), key.alias("key"), key2, body.alias("text"))
+    out = read.mapInPandas(judge, "id string, key long, score double, neighbours array<struct<id: string, cosine: double, toxic: int>>")
     id_type = docs.schema[id_column].dataType
-    return out.select(F.col("id").cast(id_type).alias(id_column), "key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
+    near = f"array<struct<id: {id_type.simpleString()}, cosine: double, toxic: int>>"
+    return out.select(F.col("id").cast(id_type).alias(id_column), "key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                      F.col("neighbours").cast(near).alias("neighbours"))
 
 
 def kept_documents(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "text") -> DataFrame:

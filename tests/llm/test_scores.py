@@ -139,13 +139,21 @@ def random_examples(n, rng):
     return [(i, rng.randrange(2), dict(Counter(rng.choices(terms, k=rng.randrange(7))))) for i in range(n)], terms
 
 
+def vectors_of(index):
+    dense = np.zeros((len(index.ids), len(index.term)))
+    for t in range(len(index.term)):
+        entries = slice(index.first[t], index.first[t + 1])
+        for block, most, s, e in zip(index.blocks[entries], index.most[entries], index.starts[:-1][entries], index.starts[1:][entries]):
+            assert (index.numbers[s:e] // toxicity.BLOCK == block).all() and most == index.weights[s:e].max()
+            dense[index.numbers[s:e], t] = index.weights[s:e]
+    return dense
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(3)
     examples, terms = random_examples(700, rng)
     index = toxicity.build(examples, terms, {t: 5 + i for i, t in enumerate(terms)}, 1000)
-    dense = np.zeros((len(index.ids), len(terms)))
-    for t, (e, w) in enumerate(zip(index.examples, index.weights)):
-        dense[e, t] = w
+    dense = vectors_of(index)
     assert np.allclose(np.linalg.norm(dense, axis=1), 1)
     for _ in range(300):
         at, w = index.vector(dict(Counter(rng.choices(terms, k=rng.randrange(1, 6)))))
@@ -161,9 +169,7 @@ def test_nearest_examples_without_itself_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 16)
     examples, terms = random_examples(700, random.Random(5))
     index = toxicity.build(examples, terms, {t: 5 + i for i, t in enumerate(terms)}, 1000)
-    dense = np.zeros((len(index.ids), len(terms)))
-    for t, (e, w) in enumerate(zip(index.examples, index.weights)):
-        dense[e, t] = w
+    dense = vectors_of(index)
     for n, i in enumerate(index.ids):
         at = np.flatnonzero(dense[n])
         cosine = np.round(dense[:, at] @ dense[n, at], toxicity.PLACES)
@@ -199,6 +205,50 @@ def test_toxic_documents_are_found(spark):
     assert kept.columns == frame.columns and kept.where("doc_id IS NULL").isEmpty()
 
 
+def test_neighbours_of_whole_documents(spark):
+    """All terms count: neighbours of documents under brute-force TF-IDF cosine, text ids, copies of labelled examples."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("concat('d', doc_id) AS doc_id", "text")
+    rare = "quorvex blenthish " + " ".join(f"zyx{i}w" for i in range(30))
+    extra = [("rare", rare), ("copy", rare), ("void", None), ("other", "qqqq wwww vvvv")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").selectExpr("concat('d', doc_id) AS doc_id", "toxic")
+    labels = labels.union(spark.createDataFrame([("rare", 1)], labels.schema))
+    index = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    counts = {i: Counter(w for w in (w.strip(toxicity.MARKS) for w in (t or "").lower().split()) if w) for i, t in text.items()}
+    examples = sorted(i for i in label if i in text)
+    df = Counter(t for c in counts.values() for t in c)
+    of_class = [Counter(t for i in examples if label[i] == y for t in counts[i]) for y in (0, 1)]
+    total = [sum(c.values()) for c in of_class]
+
+    def weight(t):
+        b, a = (c[t] + 0.5 for c in of_class)
+        odds = np.log(a / (total[1] + 1 - a)) - np.log(b / (total[0] + 1 - b))
+        return np.log((1 + len(text)) / (1 + df[t])) * np.exp(max(0, odds - toxicity.LEAST_Z * np.sqrt(1 / a + 1 / b)))
+
+    weights = {t: weight(t) for t in of_class[0] | of_class[1]}
+
+    def vector(i):
+        v = {t: (1 + np.log(n)) * weights[t] for t, n in counts[i].items() if weights.get(t)}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in examples}
+    for i in text:
+        v = vector(i)
+        cosine = sorted((-round(sum(x * u.get(t, 0) for t, x in v.items()), toxicity.PLACES), k) for k, u in vectors.items())
+        want = [(-c, k) for c, k in cosine if c < 0][: toxicity.NEIGHBOURS]
+        near = got[i]["neighbours"]
+        assert np.allclose([n["cosine"] for n in near], [c for c, _ in want], atol=2e-6), i
+        clear = {k for c, k in want if c > want[-1][0] + 3e-6} if want else set()
+        assert clear <= {n["id"] for n in near} and all(n["toxic"] == label[n["id"]] for n in near)
+    assert got["copy"]["neighbours"][0]["id"] == "rare" and np.isclose(got["copy"]["neighbours"][0]["cosine"], 1)
+    assert got["copy"]["score"] > 0.5 and got["rare"]["score"] == got["copy"]["score"]
+    assert got["void"]["score"] == got["other"]["score"] == index.alone and got["other"]["neighbours"] == []
+
+
 @pytest.mark.parametrize("labels", [[], [(1, None), (None, 1)]])
 def test_toxicity_without_labels(spark, labels):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
