@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,9 @@ from claimweave.llm.common import small, text_key, written
 MOST_LABELLED = 3_000
 LEAST_Z = 2.0
 NEIGHBOURS = 15
-BLOCK = 512
+BLOCK = 1_024
+# Blocks of which a term fills one part in so many are kept as rows.
+FULL = 8
 PLACES = 6
 SOFT, PRIOR = 0.01, 1.0
 NO_LABELS = 0.0
@@ -49,8 +52,14 @@ MOST_CACHED = 1 << 15
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^…„“”«»‚‘’¡¿–—·"
 
 
-def _terms(text: str | None) -> list[str]:
-    return [w for w in (w.strip(MARKS) for w in text.lower().split()) if w] if text else []
+def _counts(text: str | None) -> dict[str, int]:
+    """How often each term occurs; different words are stripped once."""
+    counts: dict[str, int] = {}
+    for word, n in Counter(text.lower().split()).items() if text else ():
+        term = word.strip(MARKS)
+        counts[term] = counts.get(term, 0) + n
+    counts.pop("", None)
+    return counts
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -76,6 +85,9 @@ class Index:
     most: np.ndarray
     starts: np.ndarray
     first: np.ndarray
+    # Blocks with many postings, also as rows of BLOCK weights: the row of a block, or -1.
+    row: np.ndarray
+    rows: np.ndarray
     prior: float
     # Increasing steps of votes, and the share of toxic labels of each; then without neighbours.
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -86,8 +98,8 @@ class Index:
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms, rising, and their weights as a vector of length 1; none if all terms are unknown or weigh nothing."""
-        at = np.array([self.term.get(t, -1) for t in counts], np.int64)
-        n = np.array(list(counts.values()), float)
+        at = np.fromiter(map(self.term.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))
         order = np.argsort(at)[np.count_nonzero(at < 0) :]
         at = at[order]
         w = (1 + np.log(n[order])) * self.weight[at]
@@ -110,10 +122,13 @@ class Index:
             if bound[block] <= 0 or (n >= NEIGHBOURS and round(bound[block] + 10**-PLACES, PLACES) < least):
                 break
             here = slice(cuts[block], cuts[block + 1])
-            s, e = self.starts[entry[here]], self.starts[entry[here] + 1]
-            posting = _runs(s, e)
             start = block * BLOCK
-            dots = np.bincount(self.numbers[posting] - start, np.repeat(weight[here], e - s) * self.weights[posting], BLOCK)
+            of, x, row = entry[here], weight[here], self.row[entry[here]]
+            thin, full = row < 0, row >= 0
+            s, e = self.starts[of[thin]], self.starts[of[thin] + 1]
+            posting = _runs(s, e)
+            dots = np.bincount(self.numbers[posting] - start, np.repeat(x[thin], e - s) * self.weights[posting], BLOCK)
+            dots = dots + x[full] @ self.rows[row[full]]
             hit = np.flatnonzero(dots > 0)
             if without is not None:
                 hit = hit[self.ids[hit + start] != without]
@@ -163,7 +178,7 @@ def build(examples: Iterable[tuple[int, int, dict[str, int]]], vocabulary: list[
     weight = np.maximum(idf, 0) * np.array([(told or {}).get(t, 1.0) for t in vocabulary])
     nothing = np.zeros(0, np.int64)
     index = Index(nothing, np.zeros(0), {t: i for i, t in enumerate(vocabulary)}, weight, nothing, np.zeros(0), nothing,
-                  np.zeros(0), np.zeros(1, np.int64), np.zeros(len(vocabulary) + 1, np.int64), 0.0)
+                  np.zeros(0), np.zeros(1, np.int64), np.zeros(len(vocabulary) + 1, np.int64), nothing, np.zeros((0, BLOCK)), 0.0)
     every = [(i, y, *index.vector(counts)) for i, y, counts in examples]
     index.prior = sum(v[1] for v in every) / len(every) if every else NO_LABELS
     empty = [v for v in every if not len(v[2])]
@@ -183,6 +198,12 @@ def build(examples: Iterable[tuple[int, int, dict[str, int]]], vocabulary: list[
     index.blocks, index.most = block[new], np.maximum.reduceat(index.weights, new)
     index.starts = np.r_[new, len(terms)]
     index.first = np.searchsorted(terms[new], np.arange(len(vocabulary) + 1))
+    full = np.diff(index.starts) >= BLOCK // FULL
+    index.row = np.where(full, np.cumsum(full) - 1, -1)
+    index.rows = np.zeros((np.count_nonzero(full), BLOCK))
+    low, high = index.starts[:-1][full], index.starts[1:][full]
+    posting = _runs(low, high)
+    index.rows[np.repeat(np.arange(len(index.rows)), high - low), index.numbers[posting] % BLOCK] = index.weights[posting]
     return index
 
 
@@ -229,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = [Counter(_terms(t)) for t in pdf["text"]]
+            counts = [_counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "terms": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
     rows = written(found.mapInPandas(extract, "id long, y int, terms array<string>, n array<int>"), "examples")
@@ -249,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         for pdf in batches:
             n += len(pdf)
             for t in pdf["text"]:
-                seen.update(known.intersection(_terms(t)))
+                seen.update(known.intersection({w.strip(MARKS) for w in set(t.lower().split())}) if t else ())
         # The count of documents comes with the empty term.
         yield pd.DataFrame({"term": ["", *seen], "df": [n, *seen.values()]})
 
@@ -275,7 +296,7 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str =
             if key not in cache:
                 if len(cache) >= MOST_CACHED:
                     cache.clear()
-                number, cosine = index.nearest(*index.vector(Counter(_terms(text))))
+                number, cosine = index.nearest(*index.vector(_counts(text)))
                 cache[key] = (index.share(index.vote(number, cosine)), [
                     {"id": index.names[index.ids[n] - 1], "cosine": float(c), "toxic": int(index.toxic[n])} for n, c in zip(number, cosine)]
                 ) if len(number) else (index.alone, [])
