@@ -378,3 +378,10 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).collect() == []
     nothing = licenses.scan(files, templates=licenses.Templates(()))
     assert {r["license"] for r in nothing.collect()} == {None}
+
+
+def test_versions_of_a_header_are_told_apart(spark):
+    header = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+              "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    files = spark.createDataFrame([("a/x.c", "/* " + header.format(2)), ("b/y.c", "/* " + header.format(3))], "path string, text string")
+    assert {r["path"]: r["license"] for r in licenses.scan(files).collect()} == {"a/x.c": "GPL-2.0", "b/y.c": "GPL-3.0"}
