@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.sources.storage import written
@@ -13,6 +14,9 @@ from claimweave.sources.storage import written
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
 # Tables up to this size may be sent whole to every executor.
 BROADCAST_BYTES = 64 << 20
+# Rows go to Python and back in batches of about so many bytes, however long their texts are.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,4 +54,15 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-__all__ = ["GAP_PATTERN", "KEY", "let", "small", "text_key", "tokens", "windows_hashed", "words", "written"]
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Steps that are written inside hold few rows at a time, in Python and in the buffers that lead there."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
+__all__ = ["GAP_PATTERN", "KEY", "let", "small", "small_batches", "text_key", "tokens", "windows_hashed", "words", "written"]

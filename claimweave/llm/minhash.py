@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import KEY, small, text_key, written
+from claimweave.llm.common import KEY, small, small_batches, text_key, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -42,7 +42,7 @@ COORDINATES = BANDS * ROWS
 LEAST_AGREEMENT = 0.55
 BLOCK = 256
 CHUNK = 2048
-MOST_CACHED_WORDS = 1 << 18
+MOST_CACHED_WORDS = 1 << 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -286,10 +286,11 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     body = F.col(text).cast("string")
     # Ids go through Python as texts, as pandas would round whole numbers next to a null.
     read = docs.select(F.col(id_column).cast("string").alias("id"), *text_key(body), body.cast("binary").alias("text"))
-    rows = written(read.mapInPandas(
-        _signed, "id string, key1 long, key2 long, n_shingles long, node long, signature binary"
-    ).withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "signed")
-    linked = connected(written(links(rows, _texts(docs, text)), "all"))
+    with small_batches(docs.sparkSession):
+        rows = written(read.mapInPandas(
+            _signed, "id string, key1 long, key2 long, n_shingles long, node long, signature binary"
+        ).withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "signed")
+        linked = connected(written(links(rows, _texts(docs, text)), "all"))
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     named = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))

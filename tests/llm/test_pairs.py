@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontaminate, jaccard_join, licenses, minhash
+from claimweave.llm import common, decontaminate, jaccard_join, licenses, minhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -122,6 +122,27 @@ def test_minhash_of_an_empty_table(spark):
     assert minhash.components(docs).collect() == [] and minhash.deduplicated(docs).collect() == []
 
 
+def test_long_texts_come_in_small_batches(spark, monkeypatch):
+    """An executor holds a few texts at a time, however many its task reads."""
+    signed, most = minhash._signed, 2 * common.BATCH_BYTES
+
+    def checked(batches):
+        def small():
+            for pdf in batches:
+                assert pdf["text"].map(len).sum() <= most
+                yield pdf
+
+        return signed(small())
+
+    monkeypatch.setattr(minhash, "_signed", checked)
+    docs = spark.range(0, 250, 1, 1).select(F.col("id").alias("doc_id"), F.expr("concat(id % 50, repeat(' long text', 8000))").alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    # Sets of three shingles, two of them in all texts: similarity 1/2.
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.components(docs).collect()}
+    assert got == {i: (3, i % 50) for i in range(250)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 # ---------------------------------------------------------------- n-gram join
 
 
