@@ -5,9 +5,9 @@ one the set of its whole sequence. Documents of equal sets are one class. The n-
 first, and every class is listed under the n-grams of its prefix: a pair at the threshold has its first common
 n-gram in both prefixes. Lists name the position of the n-gram in each set's order.
 
-* **Skipping by position.** Members of a list are blocks of like size and position. A pair whose first common
-  n-gram this is has at most n - o others before it, o being the overlap it needs; two blocks whose least
-  positions exceed that, or whose sizes differ too much, are never brought together.
+* **Skipping by position.** Members of a list are blocks of like size. A pair whose first common n-gram this is has
+  at most n - o others before it, o being the overlap it needs; blocks whose least positions exceed that, or whose
+  sizes differ too much, are never brought together, and in a block no pair whose own positions exceed it is compared.
 * **Answers from answers.** Lists of the same members have the same answers and are compared once. Two blocks are compared by an inverted index of the one. The overlaps of a set with
   all members are counted afresh only if the set before it is not like it; otherwise they follow from the
   earlier set's overlaps and the few n-grams that one has and the other lacks. All are exact.
@@ -38,16 +38,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimweave.llm.common import KEY, small, text_key, written
+from claimweave.llm.common import KEY, small, small_batches, text_key, written
 from claimweave.llm.minhash import connected
 
 WORDS = 4
 PERCENT = 85
 # Share of the hash range whose n-grams are listed; above 1 - PERCENT / 100, so that prefixes fit into it.
 SHARE = 0.4
-# Position classes per prefix, and most sets of a block.
-POSITIONS = 4
-BLOCK = 128
+# Most members, and about most n-grams, of a block that is compared by sketches, and of one that is compared by full sets.
+SCREEN, SCREEN_GRAMS = 1024, 1 << 22
+BLOCK, BLOCK_GRAMS = 512, 1 << 18
+# Sketches are compared in so many rows and buckets at a time, up to this count in a bucket.
+ROWS, BUCKETS, LEVELS = 256, 256, 8
+NEVER = np.iinfo(np.int32).max
 # Most classes that one row of a leader is compared with.
 GROUP = 512
 MOST_CACHED_WORDS = 1 << 18
@@ -109,9 +112,16 @@ def least_differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
         # Buckets are leading bits, so neighbours add up to the bucket of one bit less.
         return np.stack([np.frombuffer(s, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int16) for s in sketches])
 
-    # Members of a cell are of like size, so a few counts of at most 255 are folded into one.
-    y = folded(right)
-    return np.stack([np.abs(y - x).sum(axis=1, dtype=np.int32) for x in folded(left)])
+    # A difference is both sums less twice the sum of the lesser counts. Of these a product of matrices counts
+    # the first LEVELS of each bucket; of what is above them, no more than the lesser sum can be common.
+    x, y = folded(left), folded(right)
+    common = np.minimum(*(np.maximum(c - LEVELS, 0).sum(axis=1, dtype=np.float32)[at] for c, at in ((x, np.s_[:, None]), (y, np.s_[None, :]))))
+    levels = np.arange(1, min(LEVELS, max(x.max(), y.max())) + 1)[:, None]
+    for at in range(0, width, BUCKETS):
+        a, b = ((c[:, None, at : at + BUCKETS] >= levels).reshape(len(c), -1).astype(np.float32) for c in (x, y))
+        common = common + a @ b.T
+    sums = x.sum(axis=1, dtype=np.int32)[:, None] + y.sum(axis=1, dtype=np.int32)[None, :]
+    return np.maximum(sums - 2 * common.astype(np.int32), 0)
 
 
 def _spare(n: int, percent: int) -> int:
@@ -234,9 +244,9 @@ class Overlaps:
 
 
 def cell_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links that join components, between the two blocks of a cell (sides 0 and 1)."""
+    """Links that join components, between the two blocks of a cell (sides 0 and 1) or inside one (side 2)."""
     rows = rows.assign(n=rows["grams"].map(len))
-    left, right = rows[rows["side"] == 0].sort_values(["label", "n"]), rows[rows["side"] == 1]
+    left, right = rows[rows["side"] != 1].sort_values(["label", "n"]), rows[rows["side"] != 0]
     index = Overlaps(list(right["grams"]))
     sizes, labels = np.array([len(s) for s in right["grams"]]), right["label"].tolist()
     root: dict[int, int] = {}
@@ -258,25 +268,85 @@ def cell_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def screened(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The members of a cell that may have a link to another component, with the member that they differ from least.
+def possible_links(cell: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some of the left members at a time: (members, least differences from the right ones, which pairs may be links).
 
-    Their sketches do not rule the link out.
+    A pair of two components may be a link if their first common n-gram can be the list's, by its places, and the
+    sketches do not rule it out.
     """
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    if left.empty or right.empty:
-        return rows.iloc[:0].assign(partner=0, bound=0)
-    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    # Exact in whole numbers: the overlap that a pair of these sizes needs.
-    needed = -(-percent * (n + m) // (100 + percent))
-    least = least_differences(left["sketch"].tolist(), right["sketch"].tolist())
-    may = (least <= n + m - 2 * needed) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
-    found = []
-    for mine, other, bound, ok in ((left, right, least, may), (right, left, least.T, may.T)):
-        mine, ok, bound = mine[ok.any(axis=1)], ok[ok.any(axis=1)], bound[ok.any(axis=1)]
-        best = np.where(ok, bound, np.iinfo(np.int32).max)
-        found.append(mine.assign(partner=other["node"].to_numpy()[best.argmin(axis=1)] if len(mine) else None, bound=best.min(axis=1, initial=2**31 - 1)))
-    return pd.concat([f for f in found if len(f)]) if any(map(len, found)) else rows.iloc[:0].assign(partner=0, bound=0)
+    n, pos, label, counts = cell["n"], cell["pos"], cell["label"], cell["sketch"]
+    width = np.array([len(c) for c in counts])
+    for at in range(0, len(left), ROWS):
+        x = left[at : at + ROWS]
+        a, b = n[x][:, None], n[right][None, :]
+        # Exact in whole numbers: the overlap that a pair of these sizes needs.
+        needed = -(-percent * (a + b) // (100 + percent))
+        may = (pos[x][:, None] <= a - needed) & (pos[right][None, :] <= b - needed) & (label[x][:, None] != label[right][None, :])
+        least = np.full(may.shape, NEVER, np.int32)
+        some, others = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        for v in np.unique(width[x[some]]):
+            for w in np.unique(width[right[others]]):
+                # Sets whose sketches differ more in width differ too much in size.
+                if max(v, w) <= 2 * min(v, w):
+                    i, j = some[width[x[some]] == v], others[width[right[others]] == w]
+                    least[np.ix_(i, j)] = least_differences(counts[x[i]].tolist(), counts[right[j]].tolist())
+        yield x, least, may & (least <= a + b - 2 * needed)
+
+
+def sides(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the left and the right members: sides 0 and 1; members of side 2 are compared with one another."""
+    return np.flatnonzero(cell["side"] != 1), np.flatnonzero(cell["side"] != 0)
+
+
+def nearest(cell: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, partner, bound) of members that may have a link: the member that they seem to differ from least."""
+    left, right = sides(cell)
+    bound = np.full(len(cell["node"]), NEVER, np.int32)
+    partner = np.zeros(len(bound), np.int64)
+    for x, least, may in possible_links(cell, left, right, percent):
+        least = np.where(may, least, NEVER)
+        for mine, other, of in ((x, right, least), (right, x, least.T)):
+            best = of.argmin(axis=1)
+            found = of[np.arange(len(mine)), best]
+            nearer = found < bound[mine]
+            bound[mine[nearer]], partner[mine[nearer]] = found[nearer], cell["node"][other[best[nearer]]]
+    at = np.flatnonzero(bound < NEVER)
+    return at, partner[at], bound[at]
+
+
+def smaller_cells(cell: dict[str, np.ndarray], percent: int, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cell, places, sides): members with a possible link, in cells whose full sets may be held at once."""
+    left, right = sides(cell)
+    # Blocks of members: at most so many, and so many n-grams unless one set has more.
+    in_block = []
+    for of in (left, right):
+        n = np.cumsum(cell["n"][of]) // BLOCK_GRAMS
+        _, first, group = np.unique(n, return_index=True, return_inverse=True)
+        within = (np.arange(len(of)) - first[group]) // block
+        in_block.append(np.unique(np.stack([group, within]), axis=1, return_inverse=True)[1].ravel())
+    found: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    itself = bool((cell["side"] == 2).all())
+    at = 0
+    for x, _, may in possible_links(cell, left, right, percent):
+        mine = in_block[0][at : at + len(x)]
+        at += len(x)
+        for i in np.unique(mine):
+            of_i = may[mine == i]
+            for j in np.unique(in_block[1][of_i.any(axis=0)]):
+                if not itself or i <= j:
+                    part = of_i & (in_block[1] == j)
+                    one, other = found.setdefault((int(i), int(j)), ([], []))
+                    one.append(x[mine == i][part.any(axis=1)])
+                    other.append(right[part.any(axis=0)])
+    for (i, j), (one, other) in found.items():
+        a, b = np.unique(np.concatenate(one)), np.unique(np.concatenate(other))
+        # A hash of whole numbers is the same in every process.
+        name = hash((int(cell["cell"][0]), i, j))
+        if itself and i == j:
+            both = np.union1d(a, b)
+            yield name, both, np.full(len(both), 2)
+        else:
+            yield name, np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
 
 
 def _by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
@@ -293,10 +363,44 @@ def _by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
         yield [rest]
 
 
-def _screening(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _columns_by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """The cells of each batch as arrays; the last cell of a batch may go on in the next."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        cell = pdf["cell"].to_numpy()
+        ends = [*np.flatnonzero(cell[1:] != cell[:-1]) + 1]
+        rest = pdf.iloc[ends[-1] if ends else 0 :]
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        yield [{c: v[a:b] for c, v in columns.items()} for a, b in zip([0, *ends], ends)]
+    if rest is not None and len(rest):
+        yield [{c: rest[c].to_numpy() for c in rest.columns}]
+
+
+def _frame(parts: list[dict[str, np.ndarray]], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[c] for p in parts] or [np.empty(0, np.int64)]) for c in columns})
+
+
+def _nearest(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in _columns_by_cell(batches):
+            parts = []
+            for c in cells:
+                at, partner, bound = nearest(c, percent)
+                parts.append({k: c[k][at] for k in ("cell", "side", "node", "pos")} | {"partner": partner, "bound": bound})
+            yield _frame(parts, ["cell", "side", "node", "pos", "partner", "bound"])
+
+    return screen
+
+
+def _screening(percent: int, block: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cells in _by_cell(batches):
-            yield from (screened(c, percent)[["cell", "side", "node", "label", "partner", "bound"]] for c in cells)
+        for cells in _columns_by_cell(batches):
+            yield _frame([
+                {"cell": np.full(len(at), name), "side": side, "node": c["node"][at], "label": c["label"][at]}
+                for c in cells for name, at, side in smaller_cells(c, percent, block)], ["cell", "side", "node", "label"])
 
     return screen
 
@@ -370,45 +474,51 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
         F.min("label").alias("low"), F.max("label").alias("high"), F.min("often").alias("often"), F.count("*").alias("size"),
         F.sum(hashed).alias("one"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("other")).where("low < high")
     # Lists of the same members have the same answers; positions are least in the one that is first in the order.
-    several = several.groupBy("size", "one", "other").agg(F.min(F.struct("often", "gram")).alias("first")).select("first.gram")
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9)
-    apart = written(labelled.join(several, "gram").drop("often").withColumns({
-        "size": F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"),
-        "place": F.floor(F.lit(POSITIONS) * F.col("pos") / (spare + 1)).cast("int")}), "apart")
+    several = several.groupBy("size", "one", "other").agg(F.min(F.struct("often", "gram")).alias("first")).select(
+        "first.gram", F.col("size").alias("total"))
+    # A list of one block is one cell; larger ones are cut by size first.
+    of_size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    apart = written(labelled.join(several, "gram").drop("often").withColumn(
+        "size", F.when(F.col("total") > SCREEN, of_size).otherwise(0)).drop("total"), "apart")
     if apart.isEmpty():
         return first
-    at = ["gram", "size", "place"]
+    at = ["gram", "size"]
+    parts = F.greatest(F.count("*") / SCREEN, F.sum("n") / SCREEN_GRAMS)
     blocks = written(apart.groupBy(*at).agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.ceil(parts).cast("int").alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"),
         F.min("pos").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")), "blocks")
     names = blocks.columns
     x, y = (blocks.toDF(*(c if c == "gram" else f"{s}_{c}" for c in names)) for s in "xy")
     close = lambda p, q: F.col(f"{p}_first") * (100 + percent) <= F.col(f"{p}_most") * 100 - F.col(f"{q}_least") * percent
     together = x.join(y, "gram").where(
-        (F.struct("x_size", "x_place") <= F.struct("y_size", "y_place")) & close("x", "y") & close("y", "x")
+        (F.col("x_size") <= F.col("y_size")) & close("x", "y") & close("y", "x")
         & (F.least("x_low", "y_low") < F.greatest("x_high", "y_high")))
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cells = together.withColumn("x_part", numbers("x_parts")).withColumn("y_part", numbers("y_parts")).where(
-        (F.struct("x_size", "x_place") < F.struct("y_size", "y_place")) | (F.col("x_part") <= F.col("y_part")))
-    sides = [[f"{s}_{c}" for c in ("size", "place", "part")] for s in "xy"]
-    cells = written(cells.select("gram", *sides[0], *sides[1], F.xxhash64("gram", *sides[0], *sides[1]).alias("cell")), "cells")
+        (F.col("x_size") < F.col("y_size")) | (F.col("x_part") <= F.col("y_part")))
+    ends = [[f"{s}_{c}" for c in ("size", "part")] for s in "xy"]
+    itself = (F.col("x_size") == F.col("y_size")) & (F.col("x_part") == F.col("y_part"))
+    cells = written(cells.select("gram", *ends[0], *ends[1], itself.alias("itself"), F.xxhash64("gram", *ends[0], *ends[1]).alias("cell")), "cells")
     parted = apart.join(blocks.select(*at, "parts"), at).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = [parted.join(cells.select("gram", *(F.col(c).alias(c[2:]) for c in side), "cell"), [*at, "part"]).select(
-        "cell", F.lit(i).alias("side"), "node") for i, side in enumerate(sides)]
-    rows = written(rows[0].union(rows[1]), "cell_rows")
 
-    def screened_by(found: DataFrame, rows: DataFrame) -> DataFrame:
+    def members_of(end: list[str], cells: DataFrame, side: Column) -> DataFrame:
+        named = cells.select("gram", *(F.col(c).alias(c[2:]) for c in end), "cell", side.alias("side"))
+        return parted.join(named, [*at, "part"]).select("cell", "side", "node", "pos")
+
+    rows = members_of(ends[0], cells, F.when(F.col("itself"), 2).otherwise(0)).union(
+        members_of(ends[1], cells.where("NOT itself"), F.lit(1)))
+
+    def screened_by(found: DataFrame, rows: DataFrame, screening: Callable, schema: str) -> DataFrame:
         known = classes.select("node", "n", "sketch").join(connected(found), "node", "left")
         known = known.select("node", "n", "sketch", label)
         of_cell = rows.join(known, "node").repartition("cell").sortWithinPartitions("cell")
-        return written(of_cell.select("cell", "side", "node", "label", "n", "sketch").mapInPandas(
-            _screening(percent), "cell long, side int, node long, label long, partner long, bound long"), "near")
+        return written(of_cell.select("cell", "side", "node", "label", "n", "pos", "sketch").mapInPandas(screening, schema), "near")
 
     # Each class apart is first compared with the one that it seems to differ from least, which joins most components.
-    could = screened_by(first, rows)
-    nearest = could.groupBy("node").agg(F.min(F.struct("bound", "partner")).alias("to"))
-    first = written(first.union(_compared(nearest.select("node", F.col("to.partner").alias("a")), classes, texts, words, percent)), "first")
-    near = screened_by(first, could.select(*rows.columns)).select("cell", "side", "node", "label")
+    could = screened_by(first, rows, _nearest(percent), "cell long, side int, node long, pos long, partner long, bound long")
+    closest = could.groupBy("node").agg(F.min(F.struct("bound", "partner")).alias("to"))
+    first = written(first.union(_compared(closest.select("node", F.col("to.partner").alias("a")), classes, texts, words, percent)), "first")
+    near = screened_by(first, could.select("cell", "side", "node", "pos"), _screening(percent, BLOCK), "cell long, side int, node long, label long")
     found = _gathered(near, classes, texts).mapInPandas(_celling(words, percent), "a long, b long")
     return first.union(written(found.distinct(), "more"))
 
@@ -422,11 +532,13 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     # Ids go through Python as texts, as pandas would round whole numbers next to a null.
     read = docs.select(F.col(id_column).cast("string").alias("id"), *text_key(body), body.cast("binary").alias("text"))
     signed = read.mapInPandas(_signing(words), "id string, key1 long, key2 long, n long, n_listed long, node long, sketch binary")
-    rows = written(signed.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "signed")
+    with small_batches(docs.sparkSession):
+        rows = written(signed.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType)), "signed")
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.first("n_listed").alias("n_listed"), F.first("sketch").alias("sketch"),
         F.min(F.struct(*KEY)).alias("k"), F.min("id").alias("least")).select("node", "n", "n_listed", "sketch", "k.*", "least"), "classes")
-    linked = connected(written(links(texts, classes, words, percent), "all"))
+    with small_batches(docs.sparkSession):
+        linked = connected(written(links(texts, classes, words, percent), "all"))
     labelled = written(linked.join(classes.select("node", "least"), "node"), "labelled")
     names = small(written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "names"), 32)
     of_node = small(written(labelled.join(names, "label").select("node", "component_id"), "components"), 32)

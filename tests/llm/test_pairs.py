@@ -166,6 +166,68 @@ def test_joined_components_equal_brute_force(spark, monkeypatch, block):
     assert got == expected_components(rows, 4, 85)
 
 
+def edited_copies(rng, n, share):
+    """Texts of like sizes that share much of one base, each with places of its own where words differ."""
+    base = [f"b{i}" for i in range(160)]
+    return [" ".join(f"e{rng.randrange(10**9)}" if rng.random() < share else w for w in base[: 160 - rng.randrange(6)]) for _ in range(n)]
+
+
+def test_screening_names_a_member_once_in_a_list(spark, monkeypatch):
+    """Copies too different to be linked all at once share many lists; nothing is made for each pair of blocks."""
+    rows = list(enumerate(edited_copies(random.Random(6), 700, 0.012)))
+    tables = []
+
+    def kept(df, name, *more):
+        tables.append((name, common.written(df, name, *more)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs).collect()}
+    assert got == expected_components(rows, 4, 85)
+    made = [t.count() for name, t in tables if name == "near"]
+    members = next(t for name, t in tables if name == "apart").count()
+    assert members > 700 and made and max(made) <= members
+
+
+def test_larger_lists_are_cut_into_blocks(spark, monkeypatch):
+    """Lists of more members than a block, or of more n-grams, give the same components."""
+    monkeypatch.setattr(jaccard_join, "SCREEN", 30)
+    monkeypatch.setattr(jaccard_join, "SCREEN_GRAMS", 3000)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    rng = random.Random(16)
+    rows = list(enumerate(edited_copies(rng, 120, 0.012) + [t for _, t in near_copies(rng)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs).collect()}
+    assert got == expected_components(rows, 4, 85)
+
+
+@pytest.mark.parametrize("side", [2, None])
+@pytest.mark.parametrize("most", [1 << 18, 400])
+def test_smaller_cells_hold_every_possible_link(monkeypatch, side, most):
+    monkeypatch.setattr(jaccard_join, "ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", most)
+    rng = random.Random(9)
+    sets = list(jaccard_join.ngram_sets([t.encode() for t in edited_copies(rng, 60, 0.015)], 4, jaccard_join._Words()))
+    cell = {"cell": np.full(60, 5), "side": np.array([side if side else k % 2 for k in range(60)]), "node": np.arange(60), "label": np.arange(60) // 3,
+            "n": np.array([len(s) for s in sets]), "pos": np.zeros(60, np.int64), "sketch": np.array([jaccard_join.sketch(s) for s in sets], object)}
+    together, bounds = set(), {}
+    for _, at, sides in jaccard_join.smaller_cells(cell, 85, 5):
+        assert len(at) <= 10
+        together |= {(int(a), int(b)) for a, i in zip(at, sides) for b, j in zip(at, sides) if i != 1 and j != 0}
+    at, partner, bound = jaccard_join.nearest(cell, 85)
+    bounds = {int(a): (int(p), int(b)) for a, p, b in zip(at, partner, bound)}
+    linked = 0
+    for a in range(60):
+        for b in range(60):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if a // 3 != b // 3 and 100 * len(x & y) >= 85 * len(x | y) and (side == 2 or (a % 2, b % 2) == (0, 1)):
+                linked += 1
+                assert (a, b) in together or (side == 2 and (b, a) in together)
+                assert bounds[a][1] <= len(x ^ y) and bounds[b][1] <= len(x ^ y)
+    assert linked > 20 and all(p // 3 != a // 3 for a, (p, _) in bounds.items())
+
+
 def test_overlaps_follow_from_a_similar_sets_overlaps():
     rng = np.random.default_rng(3)
     base = rng.choice(5000, 400, replace=False)
