@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -87,7 +88,6 @@ class Index:
     first: np.ndarray
     # Blocks with many postings, also as rows of BLOCK weights: the row of a block, or -1.
     row: np.ndarray
-    rows: np.ndarray
     prior: float
     # Increasing steps of votes, and the share of toxic labels of each; then without neighbours.
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -96,6 +96,16 @@ class Index:
     # Of each id its text, if ids are numbers given in the order of others.
     names: list[str] = field(default_factory=list)
 
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """The rows, made where neighbours are looked for: they take many times the room of their postings."""
+        full = self.row >= 0
+        rows = np.zeros((np.count_nonzero(full), BLOCK))
+        low, high = self.starts[:-1][full], self.starts[1:][full]
+        posting = _runs(low, high)
+        rows[np.repeat(np.arange(len(rows)), high - low), self.numbers[posting] % BLOCK] = self.weights[posting]
+        return rows
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms, rising, and their weights as a vector of length 1; none if all terms are unknown or weigh nothing."""
         at = np.fromiter(map(self.term.get, counts, repeat(-1)), np.int64, len(counts))
@@ -178,7 +188,7 @@ def build(examples: Iterable[tuple[int, int, dict[str, int]]], vocabulary: list[
     weight = np.maximum(idf, 0) * np.array([(told or {}).get(t, 1.0) for t in vocabulary])
     nothing = np.zeros(0, np.int64)
     index = Index(nothing, np.zeros(0), {t: i for i, t in enumerate(vocabulary)}, weight, nothing, np.zeros(0), nothing,
-                  np.zeros(0), np.zeros(1, np.int64), np.zeros(len(vocabulary) + 1, np.int64), nothing, np.zeros((0, BLOCK)), 0.0)
+                  np.zeros(0), np.zeros(1, np.int64), np.zeros(len(vocabulary) + 1, np.int64), nothing, 0.0)
     every = [(i, y, *index.vector(counts)) for i, y, counts in examples]
     index.prior = sum(v[1] for v in every) / len(every) if every else NO_LABELS
     empty = [v for v in every if not len(v[2])]
@@ -200,10 +210,6 @@ def build(examples: Iterable[tuple[int, int, dict[str, int]]], vocabulary: list[
     index.first = np.searchsorted(terms[new], np.arange(len(vocabulary) + 1))
     full = np.diff(index.starts) >= BLOCK // FULL
     index.row = np.where(full, np.cumsum(full) - 1, -1)
-    index.rows = np.zeros((np.count_nonzero(full), BLOCK))
-    low, high = index.starts[:-1][full], index.starts[1:][full]
-    posting = _runs(low, high)
-    index.rows[np.repeat(np.arange(len(index.rows)), high - low), index.numbers[posting] % BLOCK] = index.weights[posting]
     return index
 
 
@@ -223,6 +229,7 @@ def _calibrated(index: Index, rows: DataFrame) -> Index:
             yield pd.DataFrame(out, columns=["vote", "y"])
 
     found = rows.mapInPandas(votes, "vote double, y int").collect()
+    shared.destroy()
     if found:
         order = sorted((r["vote"], r["y"]) for r in found)
         index.votes, index.shares = _isotonic(*(np.array(x, float) for x in zip(*order)))
@@ -259,8 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     a, b = F.sum("y") + 0.5, F.sum(1 - F.col("y")) + 0.5
     odds = F.log(a / ((totals["toxic"] or 0) + 1 - a)) - F.log(b / ((totals["clean"] or 0) + 1 - b))
     sure = F.greatest(odds - LEAST_Z * F.sqrt(1 / a + 1 / b), F.lit(0.0))
-    told = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.exp(sure).alias("told")).orderBy("term").toPandas()
-    vocabulary = told["term"].tolist()
+    told = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.exp(sure).alias("told")).orderBy("term").toArrow()
+    vocabulary = told["term"].to_pylist()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,11 +281,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         # The count of documents comes with the empty term.
         yield pd.DataFrame({"term": ["", *seen], "df": [n, *seen.values()]})
 
-    df = docs.select(body.alias("text")).mapInPandas(frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    df = dict(zip(df["term"], df["df"]))
+    df = docs.select(body.alias("text")).mapInPandas(frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    shared.destroy()
+    df = dict(zip(df["term"].to_pylist(), df["df"].to_pylist()))
     examples = ((r["id"], r["y"], dict(zip(r["terms"], r["n"]))) for r in rows.toLocalIterator())
-    index = build(examples, vocabulary, df, int(df.get("", 0)), dict(zip(vocabulary, told["told"])))
+    index = build(examples, vocabulary, df, int(df.get("", 0)), dict(zip(vocabulary, told["told"].to_pylist())))
     index.names = names
+    del told, df
     return _calibrated(index, rows)
 
 

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -179,6 +181,32 @@ def test_nearest_examples_without_itself_are_exact(monkeypatch):
         assert np.allclose(got, cosine[order], atol=2e-6)
 
 
+def test_index_travels_without_its_rows(monkeypatch):
+    """Full blocks become rows where neighbours are looked for; the driver holds and sends postings only."""
+    monkeypatch.setattr(toxicity, "FULL", 64)
+    examples, terms = random_examples(700, random.Random(7))
+    index = toxicity.build(examples, terms, {t: 5 + i for i, t in enumerate(terms)}, 1000)
+    full = np.count_nonzero(index.row >= 0) * toxicity.BLOCK * 8
+    sent = cloudpickle.dumps(index)
+    assert "rows" not in vars(index) and 0 < len(sent) < full / 2
+    there = cloudpickle.loads(sent)
+    assert there.rows.nbytes == full
+    for _, _, counts in examples:
+        for got, want in zip(there.nearest(*there.vector(counts)), index.nearest(*index.vector(counts))):
+            assert (got == want).all()
+
+
+def test_fit_frees_what_it_broadcast(spark, monkeypatch):
+    sent, freed = [], []
+    send, free = type(spark.sparkContext).broadcast, Broadcast.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(x := send(self, value)) or x)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **b: freed.append(self) or free(self, *a, **b))
+    docs = spark.createDataFrame([(i, f"you {'idiot' if i % 2 else 'friend'} w{i}") for i in range(20)], "doc_id long, text string")
+    index = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic"))
+    assert len(sent) == 2 and freed == sent and len(index.term) == 23
+    assert {r["doc_id"] for r in toxicity.kept_documents(docs, index).collect()} == set(range(0, 20, 2))
+
+
 def test_calibration_increases():
     x = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
     at, share = toxicity._isotonic(x, np.array([0, 1, 0, 0, 1, 1.0]))
